@@ -24,6 +24,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_ngram_jaccard_join, op10_quality_rules)}
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .pii import KINDS, scan, written
+
+    out = scan(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(written("base_spans"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_ngram_jaccard_join, op10_quality_rules, op5_pii)}
 
 ORACLE_SQL: dict[str, str] = {}
