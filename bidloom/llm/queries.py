@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .curriculum import ORACLE as MIXING_SQL
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,14 +28,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     from .pii import KINDS, scan, written
 
     out = scan(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(written("base_spans"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_ngram_jaccard_join, op10_quality_rules, op5_pii)}
+def op6_mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .curriculum import mixed
+
+    mix = mixed(_read(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", F.get("takes.position", F.lit(0)).alias("position"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import packed
+
+    return packed(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_ngram_jaccard_join, op10_quality_rules, op5_pii, op6_mixing_curriculum, op3_best_fit_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_mixing_curriculum": MIXING_SQL}
