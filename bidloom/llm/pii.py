@@ -106,9 +106,11 @@ def discovered(docs: DataFrame) -> DataFrame:
     )
     spans = "concat(" + ", ".join(f"transform(s_{k}, s -> struct(s.start, s.end))" for k in KINDS) + ")"
     df = df.withColumn("spans", F.expr(spans)).withColumn("mentions", F.expr(f"concat({seeds}, {unknown})"))
-    mentions = saved(df.where(F.size("mentions") > 0).select("doc_id", "key", F.explode("mentions").alias("m")).select("doc_id", "key", "m.*"), "mentions")
+    # A filter on mentions would be pushed below all that they are made of.
+    mentions = df.select("doc_id", "key", F.explode(F.filter("mentions", lambda m: m["value"] != "")).alias("m"))
+    mentions = saved(mentions.select("doc_id", "key", "m.*"), "mentions")
 
-    edges = saved(mentions.where("value <> ''").select(F.explode("patterns").alias("pattern"), "value", "kind").groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
+    edges = saved(mentions.select(F.explode("patterns").alias("pattern"), "value", "kind").groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
     known = edges.groupBy("value").agg(F.max("kind").alias("known"))
     edges = saved(edges.join(known, "value").select("pattern", "value", F.col("known").alias("kind")), "edges")
     votes = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("n")).groupBy("pattern").agg(F.max_by("kind", F.struct("n", "kind")).alias("of"), F.sum("n").alias("seeds")).where(F.col("seeds") >= SUPPORT)

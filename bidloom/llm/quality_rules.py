@@ -227,3 +227,9 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     """
     rules = fit(labelled(docs, labels, sample))
     return with_statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", rules.fired()).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def kept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that the rules keep, with the columns they came with."""
+    # A filter would be pushed below the statistics and repeat them; a generator isn't.
+    return judge(docs, labels, sample).select(F.inline(F.when(F.col("kept"), F.array("row"))))
