@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .curriculum import ORACLE as MIXING_SQL
+from .url_rules import ORACLE as URL_SQL
+from .warc import ORACLE as WARC_SQL
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +51,50 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_ngram_jaccard_join, op10_quality_rules, op5_pii, op6_mixing_curriculum, op3_best_fit_packing)}
+def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import judged
 
-ORACLE_SQL: dict[str, str] = {"op6_mixing_curriculum": MIXING_SQL}
+    return judged(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op2_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .additive_quantisation import search
+
+    return search(_read(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 20 == 0, k=20)
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_rules import decided, rule_table
+
+    return decided(_read(spark, sf_dir, "pages"), rule_table(spark))
+
+
+def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import roundtrip
+
+    return roundtrip(_read(spark, sf_dir, "pages")).drop("payload")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import laid_out, scanned
+
+    return scanned(laid_out(_read(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_kneser_ney_quality,
+        op2_additive_quantisation,
+        op3_best_fit_packing,
+        op4_url_filters,
+        op5_pii,
+        op6_mixing_curriculum,
+        op7_warc_bundles,
+        op8_ngram_jaccard_join,
+        op9_license_scan,
+        op10_quality_rules,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": URL_SQL, "op6_mixing_curriculum": MIXING_SQL, "op7_warc_bundles": WARC_SQL}
