@@ -185,13 +185,14 @@ def cyclic(rules: DataFrame, depth: int = 64) -> DataFrame:
 def visible(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows all of whose evaluable ancestors have a row that is neither disqualified nor dormant.
 
-    One join and one aggregation instead of an order of evaluation: a rule's own result never depends on its parent.
+    No order of evaluation: a rule's own result never depends on its parent. A run has at most one row per rule, so its
+    rows fit one array, and one aggregation by run suffices; rules are a few hundred.
     """
-    anc = ancestors(rules)
-    state = rows.select("run_id", F.col("rule_id").alias("ancestor"), F.col("status").alias("of"))
-    need = rows.select("run_id", "rule_id").join(anc, "rule_id").join(state, ["run_id", "ancestor"], "left")
-    blocked = need.where(F.col("of").isNull() | F.col("of").isin("disqualified", "dormant")).select("run_id", "rule_id").distinct()
-    return rows.join(blocked, ["run_id", "rule_id"], "left_anti")
+    anc = ancestors(rules).groupBy("rule_id").agg(F.collect_set("ancestor").alias("_above"))
+    wide = rows.join(anc, "rule_id", "left").groupBy("run_id").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "run_id"], "_above")).alias("_r"))
+    open_ = F.transform(F.filter("_r", lambda r: ~r["status"].isin("disqualified", "dormant")), lambda r: r["rule_id"])
+    kept = F.filter("_r", lambda r: F.coalesce(F.size(F.array_except(r["_above"], F.col("_open"))) == 0, F.lit(True)))
+    return wide.withColumn("_open", open_).select("run_id", F.inline(kept)).select(*rows.columns)
 
 
 def evaluated(fields: DataFrame, rules: DataFrame) -> DataFrame:
@@ -204,9 +205,11 @@ def evaluated(fields: DataFrame, rules: DataFrame) -> DataFrame:
     result = compare(F.col("check"), F.when(state.isin("filled", "not_applicable"), F.col("value")), F.col("printed"), F.col("corrected"), F.col("params"))
     df = df.withColumn("state", state).withColumn("result", result).withColumn("outcomes", with_injected(F.col("outcomes"), F.col("result")))
     df = df.withColumn("key", F.coalesce(F.col("result"), outcome_key(F.col("outcomes"), F.col("state"))))
-    df = df.where("key is not null or state <> 'blank'").withColumn("o", F.try_element_at("outcomes", "key"))
+    df = df.withColumn("o", F.try_element_at("outcomes", F.coalesce("key", F.lit(""))))
     note = F.coalesce(text.filled_note("o.note", "field_id"), F.when(F.col("key").isNull(), F.concat(F.lit("Could not be automatically determined - needs an explicit "), "rule_id", F.lit("__outcome."))))
-    return df.select("run_id", "rule_id", "field_id", F.coalesce("o.status", F.lit("needs_review")).alias("status"), note.alias("note"), F.coalesce("stage", F.lit("I")).alias("stage"), (F.col("key") == "redacted").alias("redacted"))
+    row = F.struct("rule_id", "field_id", F.coalesce("o.status", F.lit("needs_review")).alias("status"), note.alias("note"), F.coalesce("stage", F.lit("I")).alias("stage"), (F.col("key") == "redacted").alias("redacted"))
+    # A filter would be pushed below the comparison and repeat it; a generator isn't.
+    return df.select("run_id", F.inline(F.when(F.col("key").isNotNull() | (F.col("state") != "blank"), F.array(row))))
 
 
 def overridden(status: Column, verified: Column, key_present: Column, page_present: Column, by_reviewer: Column, decision: Column, form_present: Column, corrected: Column, redacted: Column, blank: Column, located: Column) -> Column:
