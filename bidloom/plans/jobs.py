@@ -79,3 +79,41 @@ def ext_tumbling(t: Tables) -> DataFrame:
     """Extension: hourly counts."""
     w = F.window(F.col("ts").cast("timestamp"), "1 hour")
     return t.events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("SELECT ts - INTERVAL (epoch_us(ts) % 1800000000) MICROSECOND - INTERVAL (i * 30) MINUTE AS start, count(*) AS n FROM events, range(2) r(i) GROUP BY 1")
+def ext_sliding(t: Tables) -> DataFrame:
+    """Extension: hours that start every half hour."""
+    w = F.window(F.col("ts").cast("timestamp"), "1 hour", "30 minutes")
+    return t.events.groupBy(w.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query()
+def ext_run_state(t: Tables) -> DataFrame:
+    """Extension: the state machine over each user's events."""
+    from ..streaming.runs import batch_transitions
+
+    wanted = F.element_at(F.create_map(*[F.lit(x) for kv in {"signup": "queued", "view": "running", "click": "paused", "purchase": "done", "error": "failed"}.items() for x in kv]), F.col("event_type"))
+    return batch_transitions(t.events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("ord"), wanted.alias("wanted")))
+
+
+@query("""SELECT e.event_id, CASE WHEN e.event_type = 'error' THEN 'failed' WHEN e.event_id % 3 = 0 THEN 'stalled' ELSE 'paused' END AS why FROM events e WHERE e.event_type = 'error' OR e.event_id % 3 = 0 OR e.event_type = 'view'""")
+def stuck_reasons(t: Tables) -> DataFrame:
+    e = t.events
+    runs = e.select(F.col("event_id").alias("job_id"), F.when(F.col("event_type") == "view", "paused").otherwise("running").alias("state"))
+    out = jobs.stuck_reasons(runs, e.where("event_id % 3 = 0").select(F.col("event_id").alias("job_id")), e.where("event_type = 'error'").select(F.col("event_id").alias("job_id")))
+    return out.select(F.col("job_id").alias("event_id"), "why")
+
+
+@query("SELECT event_id, least(120.0::DOUBLE, 2.0::DOUBLE * pow(2.0::DOUBLE, event_id % 9)) AS wait FROM events")
+def retry_waits(t: Tables) -> DataFrame:
+    from ..functions.dates import retry_wait
+
+    return t.events.select("event_id", retry_wait(F.col("event_id") % 9).alias("wait"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages WHERE page_id % 2 = 0 OR regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) LIKE 'blog.%'")
+def endpoint_policy(t: Tables) -> DataFrame:
+    p = t.pages.select("page_id", "url", F.when(F.col("page_id") % 2 == 0, "synthetic").otherwise("redacted_sample").alias("data_class"))
+    blogs = p.select(jobs.host_class(F.col("url")).alias("host")).where("host like 'blog.%'")
+    return jobs.allowed_endpoints(p, blogs).select("page_id", jobs.host_class(F.col("url")).alias("host"))
