@@ -19,7 +19,7 @@ BEAM = 4
 #: The codebooks are fitted on at most this many vectors, those with the smallest hash of their id.
 SAMPLE = 8192
 KMEANS_ROUNDS, REFITS = 6, 2
-#: Rows of a block, queries that are held against it together, and candidates of a block that are scored exactly.
+#: Rows of a block, queries that are held against it together, and candidates of a block that are scored exactly first.
 BLOCK_ROWS, QUERY_ROWS, RERANK = 16384, 4096, 160
 
 
@@ -100,9 +100,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, sample: int = SAMPL
     vectors: vec_id, embedding; queries: which rows are queries. Null and zero vectors, those with null or
     non-finite components and those of another length than most of the sample take no part. Every row is encoded
     and stands in one block by hash of its id; each pair of a query chunk and a block is one unit of work: table
-    lookups score the block, and its best `rerank` rows, ties to smaller ids, are scored again in double precision on
-    the original vectors. With fewer rows than k all are returned. Copies of a vector are scored alike and keep their
-    order of ids.
+    lookups score the block, and its best `rerank` rows are scored again in double precision on the original vectors.
+    The k-th of these is a floor. A row's score lies within |query| * |residual| of its lookup, so every further row
+    that this bound lets reach the floor is scored as well: the result is that of brute force, whatever the codes.
+    With fewer rows than k all are returned. Copies of a vector are scored alike and keep their order of ids.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding", queries.alias("asks")).where("vec_id is not null").where(_usable("embedding"))
@@ -114,17 +115,18 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, sample: int = SAMPL
     rows = rows.where(F.size("embedding") == size)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(books.value)
+        codec, wide = Codec(books.value), Codec(books.value.astype(np.float64))
         for df in batches:
             if len(df):
-                codes = codec.encode(np.stack(df["embedding"].to_numpy()).astype(np.float32))
-                yield df.assign(code=[c.tobytes() for c in codes], norm=(codec.decode(codes) ** 2).sum(1))
+                x = np.stack(df["embedding"].to_numpy())
+                codes = codec.encode(x.astype(np.float32))
+                yield df.assign(code=[c.tobytes() for c in codes], off=np.sqrt(((x - wide.decode(codes)) ** 2).sum(1)))
 
-    index = saved(rows.mapInPandas(encode, "vec_id long, embedding array<float>, asks boolean, code binary, norm float"), "index")
+    index = saved(rows.mapInPandas(encode, "vec_id long, embedding array<float>, asks boolean, code binary, off double"), "index")
     n, asked = index.agg(F.count("*"), F.coalesce(F.count_if("asks"), F.lit(0))).first()
     blocks, chunks = max(1, math.ceil(n / BLOCK_ROWS)), max(1, math.ceil(asked / QUERY_ROWS))
     at = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
-    held = index.select("vec_id", "embedding", "code", at(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    held = index.select("vec_id", "embedding", "code", "off", at(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     asks = index.where("asks").select("vec_id", "embedding", at(chunks, 2).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def unit(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
@@ -133,22 +135,29 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, sample: int = SAMPL
             x = x.sort_values("vec_id", kind="stable")
             ids, plain = x["vec_id"].to_numpy(), np.stack(x["embedding"].to_numpy()).astype(np.float64)
             codes = np.ascontiguousarray(np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1).T)
-            ask = np.stack(q["embedding"].to_numpy())
-            codec = Codec(books.value)
+            off = x["off"].to_numpy()
+            ask = np.stack(q["embedding"].to_numpy()).astype(np.float64)
+            # In double precision, so that rounding stays far below the slack of the bound.
+            codec = Codec(books.value.astype(np.float64))
+            slack = 1e-9 * (np.sqrt((codec.books**2).sum(2)).max(1).sum() + np.sqrt((plain**2).sum(1).max()))
             for i, query in enumerate(q["vec_id"]):
-                table = codec.tables(ask[i : i + 1].astype(np.float32))[0]
+                table = codec.tables(ask[i : i + 1])[0]
                 s = table[0][codes[0]]
                 for m in range(1, len(table)):
                     s += table[m][codes[m]]
                 s[ids == query] = -np.inf
-                if len(s) > rerank:
-                    edge = np.partition(s, -rerank)[-rerank]
-                    above = np.flatnonzero(s > edge)
-                    best = np.concatenate([above, np.flatnonzero(s == edge)[: rerank - len(above)]])
-                else:
-                    best = np.arange(len(s))
+                best = np.arange(len(s))
+                if len(s) > max(rerank, k + 1):
+                    depth = max(rerank, k + 1)
+                    best = np.argpartition(s, -depth)[-depth:]
+                    first = (plain[best[ids[best] != query]] * ask[i]).sum(1)
+                    if len(first) >= k:
+                        reach = s + (off + slack) * np.sqrt((ask[i] ** 2).sum())
+                        best = np.flatnonzero(reach >= np.partition(first, -k)[-k])
+                    else:
+                        best = np.arange(len(s))
                 best = best[ids[best] != query]
-                exact = (plain[best] * ask[i].astype(np.float64)).sum(1)
+                exact = (plain[best] * ask[i]).sum(1)
                 order = np.lexsort((ids[best], -exact))[:k]
                 out["query_id"].extend([query] * len(order))
                 out["vec_id"].extend(ids[best][order])

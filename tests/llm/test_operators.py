@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,6 +317,26 @@ def test_search(spark):
     assert aq.search(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def test_search_in_full_blocks(spark):
+    """Several blocks of vectors around few centres, and more copies than a shortlist holds: equal to brute force."""
+    rng = np.random.default_rng(4)
+    n = 2 * aq.BLOCK_ROWS + 2000
+    x = (rng.normal(size=(10, 64))[rng.integers(0, 10, n)] + 3 * rng.normal(size=(n, 64))).astype(np.float32)
+    x[0] *= 3
+    x[5000:5400] = x[0]
+    x[5400:5800] = x[0] * np.float32(1.001)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": [v.tolist() for v in x]}), "vec_id long, embedding array<float>")
+    got: dict[int, list] = {}
+    for r in aq.search(df, F.col("vec_id") % 2000 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    plain = x.astype(float)
+    assert set(got) == set(range(0, n, 2000))
+    for q, found in got.items():
+        s = (plain * plain[q]).sum(1)
+        s[q] = -np.inf
+        assert found == np.lexsort((np.arange(n), -s))[:20].tolist()
+
+
 def test_licences(spark):
     files = [("a/LICENSE", "Released under the MIT License."), ("a/b/c.txt", "plain"), ("a/d.txt", "x\nLicensed under the Apache License, Version 2.0.\ny"), ("e/f.txt", None), (None, "Licensed under CC BY-NC 4.0."), ("a/b/g/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/b/g/h.txt", ""), ("e/z.txt", "a licence to talk about many other things than software in a long line")]
     got = {r["path"]: (r["licence"], r["how"]) for r in license_scan.scanned(spark.createDataFrame(files, "path string, text string")).collect()}
