@@ -70,7 +70,7 @@ def shingle_sets(texts: list, k: int) -> Iterator[tuple[int, np.ndarray]]:
     for run in grouped(texts):
         h, begin = word_hashes([texts[i] for i in run])
         acc = np.zeros(len(h), np.uint64)
-        for j in range(k):
+        for j in range(min(k, len(h))):
             acc[: len(h) - j] = acc[: len(h) - j] * _BASE + h[j:]
         acc = mix(acc)
         for n, i in enumerate(run):

@@ -113,6 +113,23 @@ def test_word_hashes():
     assert h[0] == h[3] and h[2] == h[4] and len(set(h.tolist())) == 4
 
 
+def test_shingles_of_a_run_with_few_words():
+    """A run of fewer words than a shingle has; the same texts beside a longer one have the same sets."""
+    long = " ".join(f"w{i}" for i in range(20))
+    for k in (4, 5):
+        for words in range(k + 1):
+            text = " ".join(f"w{i}" for i in range(words))
+            (_, alone), = kernels.shingle_sets([text], k)
+            (_, beside), _ = kernels.shingle_sets([text, long], k)
+            assert len(alone) == min(words, 1) and alone.tolist() == beside.tolist()
+
+
+def test_join_of_short_texts_alone(spark):
+    df = spark.createDataFrame([(1, "hello world")], "doc_id long, text string").coalesce(1)
+    for k in (4, 5):
+        assert [tuple(r) for r in ngram_join.jaccard_classes(df, k, 85).collect()] == [(1, 1, 1, 0)]
+
+
 def test_components(spark):
     rng, edges = random.Random(1), []
     for _ in range(300):
