@@ -184,21 +184,15 @@ def _union() -> F.Column:
     return F.col("na") + F.col("nb") - F.col("inter")
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, n_links.
-
-    docs: doc_id long and text; other columns are ignored. Two documents link when
-    100 * |intersection| >= percent * |union| of their sets of distinct k-word shingles (A-Z lowered); with fewer
-    words the whole sequence is the one shingle. component_id is the smallest doc_id reachable over links;
-    n_links counts the partners verified on the way for the document's class of equal sets (a lower bound:
-    links that cannot change a component are not looked for). Null or empty texts have no shingle, link with
-    nothing and keep their own id. Rows that share a doc_id are one document; a null doc_id takes the
-    component of equal texts, else null. Shingles are 64-bit hashes.
-
-    Equal sets are one class, and a class is represented by its smallest id, so copies cost one row each.
-    Classes that share a signature are first held against one leader per round; links form stars. As Jaccard
-    distance is a metric, two stars whose centres are further apart than three radii hold no link, and the
-    remaining pairs of stars are compared member by member. Nothing is capped.
+def linked_classes(docs: DataFrame, k: int = 5, percent: int = 80, inside: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, fp) of every row, (fp, id) of every class of equal sets, and (a, b) of every link between classes.
+
+    Equal sets are one class, and a class is represented by its smallest id, so copies cost one row each; fp
+    leads from a row to its class. Classes that share a signature are first held against one leader per round;
+    links form stars. As Jaccard distance is a metric, two stars whose centres are further apart than three radii
+    hold no link, and the remaining pairs of stars are compared member by member, as are the members of one star.
+    Nothing is capped. Without `inside` links between classes that are known to be in one component are not looked
+    for: enough of them are returned for the components, and no quadratic number for a group of near copies.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -249,13 +243,13 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     placed = bucket.join(star, "id", "left").join(roots, "id", "left")
     placed = placed.withColumns({"centre": F.coalesce("centre", "id"), "root": F.coalesce("root", "id"), "dist": F.coalesce("dist", F.lit(0.0))})
     mixed = placed.groupBy("sig", "paired").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig", "paired")
-    placed = saved(placed.join(mixed, ["sig", "paired"]), "placed")
-    # Stars of different components that meet in a bucket, unless sizes or frequent tokens rule all members out:
-    # what shares a pair but no rare token overlaps in frequent tokens only.
+    placed = saved(placed if inside else placed.join(mixed, ["sig", "paired"]), "placed")
+    # Stars (without `inside` only of different components) that meet in a bucket, unless sizes or frequent tokens
+    # rule all members out: what shares a pair but no rare token overlaps in frequent tokens only.
     stars = placed.groupBy("sig", "paired", "centre", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("hot").alias("hot"))
     x, y = stars.alias("x"), stars.alias("y")
     near = F.expr(
-        f"x.root <> y.root and x.centre < y.centre and 100 * x.most >= {percent} * y.least and 100 * y.most >= {percent} * x.least"
+        f"{'' if inside else 'x.root <> y.root and '}x.centre < y.centre and 100 * x.most >= {percent} * y.least and 100 * y.most >= {percent} * x.least"
         f" and (not x.paired or {100 + percent} * least(x.hot, y.hot) >= {percent} * (x.least + y.least))"
     )
     same = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.paired") == F.col("y.paired"))
@@ -270,13 +264,15 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     done = saved(_verified(saved(fresh, "pairs"), signed, docs, k, percent), "verified")
     # Distances: d(x, y) >= d(a, b) - d(x, a) - d(y, b), so members link only where that is within one radius.
     members = star.groupBy("centre").agg(F.max("dist").alias("r"), F.count("*").alias("k"))
-    maybe = met.join(past, ["a", "b"]).unionByName(done).where(~linked).withColumn("ab", 1 - F.col("inter") / _union()).select("a", "b", "ab").distinct()
+    maybe = met.join(past, ["a", "b"]).unionByName(done).where(F.lit(True) if inside else ~linked).withColumn("ab", 1 - F.col("inter") / _union()).select("a", "b", "ab").distinct()
     for side in ("a", "b"):
         maybe = maybe.join(members.select(F.col("centre").alias(side), F.col("r").alias(f"r{side}"), F.col("k").alias(f"k{side}")), side, "left")
     maybe = maybe.where((F.col("ra").isNotNull() | F.col("rb").isNotNull()) & (F.col("ab") <= far + F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))))
     # The star with more members goes last.
     swap = F.coalesce("ka", F.lit(0)) < F.coalesce("kb", F.lit(0))
     maybe = maybe.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), "ab", F.when(swap, F.col("rb")).otherwise(F.col("ra")).alias("ra"))
+    if inside:
+        maybe = maybe.unionByName(members.where("k > 1").select(F.col("centre").alias("a"), F.col("centre").alias("b"), F.lit(0.0).alias("ab"), F.col("r").alias("ra")))
     maybe = saved(maybe.withColumn("ra", F.coalesce("ra", F.lit(0.0))), "maybe")
     known = known.unionByName(done)
     if not maybe.isEmpty():
@@ -291,15 +287,37 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         # The histograms' bound is part of the condition, so that pairs beyond it are never rows.
         met_cells = "coalesce(aggregate(zip_with(x.c, y.c, (p, q) -> least(p, q)), 0L, (s, p) -> s + p), least(x.n, y.n))"
         close = F.expr(
-            f"x.centre = m.a and x.root <> y.root and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and m.ab <= {far} + x.dist + y.dist"
+            f"x.centre = m.a and {'(m.a <> m.b or x.id < y.id)' if inside else 'x.root <> y.root'} and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and m.ab <= {far} + x.dist + y.dist"
             f" and {100 + percent} * {met_cells} >= {percent} * (x.n + y.n)"
         )
         deep = inner.join(x, close).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         deep = saved(deep.join(known.select(*ordered), ["a", "b"], "left_anti"), "deep")
         known = known.unionByName(saved(_verified(deep, signed, docs, k, percent), "verified"))
-    links = known.where(linked).select(*ordered).distinct()
-    comp = saved(components(links), "components")
+    return rows, classes, saved(known.where(linked).select(*ordered).distinct(), "links")
+
+
+def jaccard_pairs(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(a, b), a < b, of every link between representatives, and (doc_id, id): the representative of each document.
+
+    Documents of one representative have equal sets; what links are the documents of a and those of b.
+    """
+    rows, classes, links = linked_classes(docs, k, percent)
+    return links, rows.where("doc_id is not null").join(classes, "fp").select("doc_id", "id").distinct()
+
 
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, inside: bool = True) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, n_links.
+
+    docs: doc_id long and text; other columns are ignored. Two documents link when
+    100 * |intersection| >= percent * |union| of their sets of distinct k-word shingles (A-Z lowered); with fewer
+    words the whole sequence is the one shingle. component_id is the smallest doc_id reachable over links;
+    n_links is the number of classes of equal sets that the document's class links to (without `inside` a lower
+    bound, see linked_classes). Null or empty texts have no shingle, link with nothing and keep their own id. Rows
+    that share a doc_id are one document; a null doc_id takes the component of equal texts, else null. Shingles are
+    64-bit hashes.
+    """
+    rows, classes, links = linked_classes(docs, k, percent, inside)
+    comp = saved(components(links), "components")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     placed = classes.join(comp.select(F.col("node").alias("id"), "root"), "id", "left").join(degree, "id", "left")
     placed = placed.select("fp", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -312,7 +330,7 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that share the id that stays are one row. Texts without words and null ids are in no group and stay.
     """
-    classes = saved(jaccard_classes(docs, k, percent).select("doc_id", "component_id"), "groups")
+    classes = saved(jaccard_classes(docs, k, percent, inside=False).select("doc_id", "component_id"), "groups")
     gone = saved(classes.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     twice = saved(classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "twice")
     out = lacking(docs, gone, "doc_id")

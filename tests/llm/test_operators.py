@@ -82,6 +82,35 @@ def test_join_on_groups_of_near_copies(spark, monkeypatch):
         assert got == linked(rows, 4, percent)
 
 
+def test_join_counts_every_link(spark, monkeypatch):
+    """n_links and pairs against brute force: a triangle, a chain and groups around the threshold, also inside stars."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+    rng, texts = random.Random(9), []
+    base = [f"t{i}" for i in range(60)]
+    texts += [" ".join(base + [f"end{i}"]) for i in range(3)] + [" ".join(base + ["end0"])]
+    chain = [f"c{i}" for i in range(80)]
+    texts += [" ".join(chain[i : i + 50]) for i in range(0, 24, 3)]
+    for g in range(4):
+        base = [f"g{g}w{rng.randrange(400)}" for _ in range(rng.choice([12, 40, 90]))]
+        for _ in range(20):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(9)}"
+            texts.append(" ".join(w))
+    sets: dict[frozenset, int] = {}
+    for i, t in enumerate(texts):
+        sets.setdefault(frozenset(shingles(t, 4)), i)
+    want = {(a, b) for x, a in sets.items() for y, b in sets.items() if a < b and 100 * len(x & y) >= 85 * len(x | y)}
+    assert {(0, 1), (0, 2), (1, 2)} <= want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs, members = ngram_join.jaccard_pairs(df, 4, 85)
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted(want)
+    own = {i: sets[frozenset(shingles(t, 4))] for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["id"] for r in members.collect()} == own
+    degree = Counter(x for p in want for x in p)
+    assert {r["doc_id"]: r["n_links"] for r in ngram_join.jaccard_classes(df, 4, 85).collect()} == {i: degree[c] for i, c in own.items()}
+
+
 def test_signatures_share_for_similar_sets():
     rng = np.random.default_rng(5)
     for _ in range(300):
