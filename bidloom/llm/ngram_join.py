@@ -328,13 +328,18 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, inside: bool
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group of linked ones, that with the smallest id; columns as they came.
 
-    Rows that share the id that stays are one row. Texts without words and null ids are in no group and stay.
+    Where rows share an id, each row is a document of its own, in the order of ids: copies go, other texts stay. Texts
+    without words and null ids are in no group and stay.
     """
-    classes = saved(jaccard_classes(docs, k, percent, inside=False).select("doc_id", "component_id"), "groups")
-    gone = saved(classes.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    twice = saved(classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "twice")
-    out = lacking(docs, gone, "doc_id")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
     if twice.isEmpty():
-        return out.select(*docs.columns)
-    once = having(out, twice, "doc_id").dropDuplicates(["doc_id"])
-    return lacking(out, twice, "doc_id").unionByName(once).select(*docs.columns)
+        classes = jaccard_classes(docs, k, percent, inside=False)
+        gone = saved(classes.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+        return lacking(docs, gone, "doc_id").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).orderBy(F.col("row.doc_id").cast("long"))
+    # Of a sorted table these keys are in the order of ids.
+    rows = rows.withColumn("key", F.when(F.col("row.doc_id").isNotNull(), F.monotonically_increasing_id()))
+    rows = saved(rows, "keyed")
+    classes = jaccard_classes(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), k, percent, inside=False)
+    gone = saved(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct(), "gone")
+    return lacking(rows, gone, "key").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -279,6 +279,21 @@ def test_mixing(spark, awkward):
     assert curriculum.mixed(awkward.limit(0)).count() == 0
 
 
+def test_stages_on_null_and_shared_ids(spark):
+    """Rows without an id or with another's meet their own takes, and only copies are dropped."""
+    text = lambda i, n: " ".join(f"r{i}w{j}" for j in range(n))
+    rows = [(None, text(i, 10 + i), "s") for i in range(6)] + [(7, text(7, 30), "s"), (7, text(8, 11), "s"), (8, text(9, 12), "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = Counter(r["text"] for r in curriculum.remixed(df).collect())
+    total = sum(len(t.split()) for _, t, _ in rows)
+    cut = [t for t in out if t not in {t for _, t, _ in rows}]
+    assert len(cut) <= 1 and all(any(x.startswith(t) for _, x, _ in rows) for t in cut) and max(out.values()) <= 2
+    assert sum(n * len(t.split()) for t, n in out.items()) == total * 3 // 2
+    more = df.unionByName(spark.createDataFrame([(7, text(7, 30), "s"), (3, text(8, 11), "s")], df.schema))
+    kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.deduplicated(more).collect()), key=str)
+    assert kept == sorted([*[(d, t) for d, t, _ in rows if t != text(8, 11)], (3, text(8, 11))], key=str)
+
+
 def test_packing(spark, awkward):
     import public_tokenizers
     from tokenizers import Tokenizer
