@@ -8,17 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Semi and anti joins broadcast the keys only when a count proves that there are no more than this many.
-BROADCAST_KEYS = 2_000_000
+#: A side is broadcast only when an aggregation proves that it has no more rows and bytes than this.
+BROADCAST_KEYS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is configured, as in tests."""
+    """The folder of spark.checkpoint.dir, as Hadoop resolves it. Where none is set, a local session (tests) gets a
+    temporary one; on a cluster that would scatter tables over the machines, so there it is an error."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="bidloom-")
+        if not (spark.sparkContext.master or "").startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        found = f"file://{tempfile.mkdtemp(prefix='bidloom-')}"
         spark.sparkContext.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -33,18 +37,27 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _hinted(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+def hinted(small: DataFrame) -> DataFrame:
+    """small (saved, so that measuring it is cheap) with a broadcast hint if its rows and bytes are proven few."""
+    width = F.lit(0)
+    for c, kind in small.dtypes:
+        if kind in ("string", "binary"):
+            width += F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith(("array", "map")):
+            width += 32 * F.coalesce(F.size(c), F.lit(0))
+        width += 16
+    n, size = small.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(small) if n <= BROADCAST_KEYS and size <= BROADCAST_BYTES else small
 
 
 def having(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Rows of df whose `on` is in keys (one column of that name, saved); broadcast only after counting."""
-    return df.join(_hinted(keys), on, "left_semi")
+    """Rows of df whose `on` is in keys (one column of that name, saved); broadcast only after measuring."""
+    return df.join(hinted(keys), on, "left_semi")
 
 
 def lacking(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows of df whose `on` isn't in keys; nulls stay."""
-    return df.join(_hinted(keys), on, "left_anti")
+    return df.join(hinted(keys), on, "left_anti")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -54,10 +67,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     map-side combine and one equi join, never holds a component in one place, and the number of edges
     doesn't grow. Every step is written to the shared folder. Self loops and repeated edges do no harm.
     """
-    spark = edges.sparkSession
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     e = saved(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    nodes = saved(e.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
+    nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     e, before = e.where("u <> v"), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import components, having, lacking, saved
+from .common import components, having, hinted, lacking, saved
 
 #: At most so many frequent tokens are broadcast (8 bytes each); the rest count as rare, which costs time, not links.
 MOST_FREQUENT = 1 << 20
@@ -31,6 +31,8 @@ FREQUENT = 64
 COUNTED = 1 << 21
 #: Cells of the histogram by hash that a set carries: the sum of the smaller counts bounds an intersection.
 CELLS = 256
+#: Rows of a class of equal sets from which it is looked up by broadcast (if few classes are so large), not shuffled.
+LARGE_CLASS = 256
 #: Rounds in which each set is held against one leader before the rest is compared star by star.
 STAR_ROUNDS = 2
 
@@ -115,7 +117,8 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     pairs = []
     with np.errstate(over="ignore"):
         for level in levels(n, percent):
-            groups = np.uint64(max(1, (100 - percent) * (1 << level) * 9 // 1000))
+            # Few enough that even a set of frequent tokens only has a prefix that suffices.
+            groups = np.uint64(max(1, min((100 - percent) * (1 << level) * 9 // 1000, percent * percent * (1 << level) // 10_000 - 2)))
             dealt = kernels.mix(hot + np.uint64(level + 1)) % groups
             first = np.zeros(len(hot), bool)
             first[np.unique(dealt, return_index=True)[1]] = True
@@ -153,15 +156,14 @@ def _signed(k: int, percent: int, frequent):
     return run
 
 
-def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, inter, na, nb) of pairs: whole token sets of both, fetched by id.
+def _verified(pairs: DataFrame, cells: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, inter, na, nb) of pairs: whole token sets of both, made again from the texts fetched by id; saved.
 
     Pairs whose histograms rule out a similarity of `least` percent (a column of pairs, or else percent) are
     answered with that bound as inter: it is at least the true intersection, and below what counts.
     """
     if "least" not in pairs.columns:
         pairs = pairs.withColumn("least", F.lit(percent))
-    cells = signed.select("id", "n", F.when(F.array_max("cells") < 32767, F.col("cells")).alias("c")).dropDuplicates(["id"])
     for side in ("a", "b"):
         pairs = pairs.join(cells.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("c").alias(f"c{side}")), side)
     bound = F.coalesce(F.expr("aggregate(zip_with(ca, cb, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)"), F.least("na", "nb"))
@@ -169,15 +171,11 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, k: int, perc
     open_ = F.lit(100) * F.col("inter") >= F.col("least") * _union()
     ruled_out = pairs.where(~open_).select("a", "b", "inter", "na", "nb")
     pairs = pairs.where(open_).select("a", "b")
-    texts = docs.select("doc_id", "text")
-    sets = []
-    for side in ("a", "b"):
-        ids = saved(pairs.select(F.col(side).alias("doc_id")).distinct(), "wanted")
-        sets.append(having(texts, ids, "doc_id").mapInArrow(_tokens(k), "id long, tokens array<long>"))
-    a, b = sets
-    out = pairs.join(a.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(b.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    sets = having(docs.select("doc_id", "text"), ids, "doc_id").mapInArrow(_tokens(k), "id long, tokens array<long>")
+    out = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     exact = out.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("inter"), F.size("ta").cast("long").alias("na"), F.size("tb").cast("long").alias("nb"))
-    return exact.unionByName(ruled_out)
+    return saved(exact.unionByName(ruled_out), "verified")
 
 
 def _union() -> F.Column:
@@ -185,9 +183,9 @@ def _union() -> F.Column:
 
 
 def linked_classes(docs: DataFrame, k: int = 5, percent: int = 80, inside: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, fp) of every row, (fp, id) of every class of equal sets, and (a, b) of every link between classes.
+    """(doc_id, n, fp) of every row, (fp, id, c) of every class of equal sets, and (a, b) of every link between classes.
 
-    Equal sets are one class, and a class is represented by its smallest id, so copies cost one row each; fp
+    Equal sets are one class, and a class is represented by its smallest id, so its c copies cost one row each; fp
     leads from a row to its class. Classes that share a signature are first held against one leader per round;
     links form stars. As Jaccard distance is a metric, two stars whose centres are further apart than three radii
     hold no link, and the remaining pairs of stars are compared member by member, as are the members of one star.
@@ -198,22 +196,23 @@ def linked_classes(docs: DataFrame, k: int = 5, percent: int = 80, inside: bool
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     both = saved(docs.mapInArrow(_describe(k), "id long, n long, fp binary, token long").withColumnRenamed("id", "doc_id"), "described")
     rows = both.where("token is null").select("doc_id", "n", "fp")
-    classes = saved(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id")), "classes").where("id is not null")
+    classes = saved(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("doc_id").alias("c")), "classes").where("id is not null")
     heavy = both.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     heavy = heavy.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow()["token"].to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(heavy.astype(np.int64).view(np.uint64)))
 
     # Copies are left out by id: what isn't a class's smallest id carries no signature.
-    kept = rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
-    copies = rows.join(kept.where("c > 1"), "fp").where("doc_id <> least").select("doc_id").distinct()
+    copies = rows.join(hinted(classes.where("c > 1")), "fp").where("doc_id <> id").select("doc_id").distinct()
     copies = saved(copies.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"), "copies")
     own = lacking(docs.where("doc_id is not null and text is not null"), copies, "doc_id")
     signed = saved(own.mapInArrow(_signed(k, percent, frequent), "id long, n long, hot long, single array<long>, pair array<long>, cells array<smallint>"), "signed")
+    frequent.unpersist()
     sig = signed.select("id", F.explode("single").alias("sig"), F.lit(False).alias("paired")).unionByName(
         signed.select("id", F.explode("pair").alias("sig"), F.lit(True).alias("paired"))
     )
     shared = sig.groupBy("sig", "paired").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sig", "paired")
     sizes = signed.select("id", "n", "hot").distinct()
+    cells = signed.select("id", "n", F.when(F.array_max("cells") < 32767, F.col("cells")).alias("c")).dropDuplicates(["id"])
     bucket = saved(sig.join(shared, ["sig", "paired"]).distinct(), "bucket")
     common = bucket.groupBy("sig", "paired").agg(F.count("*").alias("c"))
     worth = bucket.join(common, ["sig", "paired"]).groupBy("id").agg(F.sum("c").alias("worth"))
@@ -225,29 +224,27 @@ def linked_classes(docs: DataFrame, k: int = 5, percent: int = 80, inside: bool
     known = star = None
     for _ in range(STAR_ROUNDS):
         free = bucket if star is None else bucket.join(star.select("id"), "id", "left_anti")
-        lead = free.groupBy("sig", "paired").agg(F.max_by("id", F.struct("worth", -F.col("id"))).alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-        cand = free.join(lead, ["sig", "paired"]).where("id <> a").groupBy(F.col("id").alias("b"), "a").agg(F.count("*").alias("c"))
-        cand = cand.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("la")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("lb")), "b")
-        cand = cand.where(f"100 * least(la, lb) >= {percent} * greatest(la, lb)")
+        lead = free.groupBy("sig", "paired").agg(F.max_by(F.struct("id", "n"), F.struct("worth", -F.col("id"))).alias("a"), F.count("*").alias("c")).where("c > 1").select("sig", "paired", F.col("a.id").alias("a"), F.col("a.n").alias("la"))
+        cand = free.join(lead, ["sig", "paired"]).where(f"id <> a and 100 * least(la, n) >= {percent} * greatest(la, n)").groupBy(F.col("id").alias("b"), "a").agg(F.count("*").alias("c"))
         if known is not None:
             cand = cand.join(known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
         best = cand.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
-        done = saved(_verified(saved(best, "pairs"), signed, docs, k, percent), "verified")
+        done = _verified(best, cells, docs, k, percent)
         known = done if known is None else known.unionByName(done)
         # A leader that is itself in a star may lead another: its members are within one radius of it.
         good = done.where(linked).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("centre"), F.min_by(1 - F.col("inter") / _union(), "a").alias("dist"))
         star = good if star is None else star.unionByName(good)
 
-    comp = saved(components(known.where(linked)), "components")
-    roots = comp.select(F.col("node").alias("id"), "root")
-    placed = bucket.join(star, "id", "left").join(roots, "id", "left")
-    placed = placed.withColumns({"centre": F.coalesce("centre", "id"), "root": F.coalesce("root", "id"), "dist": F.coalesce("dist", F.lit(0.0))})
-    mixed = placed.groupBy("sig", "paired").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig", "paired")
-    placed = saved(placed if inside else placed.join(mixed, ["sig", "paired"]), "placed")
+    placed = bucket.join(star.select("id", "centre"), "id", "left").withColumn("centre", F.coalesce("centre", "id"))
+    roots = None
+    if not inside:
+        roots = components(known.where(linked)).select(F.col("node").alias("id"), "root")
+        placed = placed.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     # Stars (without `inside` only of different components) that meet in a bucket, unless sizes or frequent tokens
     # rule all members out: what shares a pair but no rare token overlaps in frequent tokens only.
-    stars = placed.groupBy("sig", "paired", "centre", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("hot").alias("hot"))
-    x, y = stars.alias("x"), stars.alias("y")
+    stars = saved(placed.groupBy("sig", "paired", "centre", *([] if inside else ["root"])).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("hot").alias("hot")), "stars")
+    several = stars.groupBy("sig", "paired").agg(F.count("*").alias("c")).where("c > 1").select("sig", "paired")
+    x, y = stars.join(several, ["sig", "paired"], "left_semi").alias("x"), stars.alias("y")
     near = F.expr(
         f"{'' if inside else 'x.root <> y.root and '}x.centre < y.centre and 100 * x.most >= {percent} * y.least and 100 * y.most >= {percent} * x.least"
         f" and (not x.paired or {100 + percent} * least(x.hot, y.hot) >= {percent} * (x.least + y.least))"
@@ -261,7 +258,7 @@ def linked_classes(docs: DataFrame, k: int = 5, percent: int = 80, inside: bool
     for side in ("a", "b"):
         fresh = fresh.join(centres.select(F.col("centre").alias(side), F.lit(True).alias(f"m{side}")), side, "left")
     fresh = fresh.select("a", "b", F.when(F.col("ma").isNull() & F.col("mb").isNull(), percent).otherwise(max(0, 3 * percent - 200)).alias("least"))
-    done = saved(_verified(saved(fresh, "pairs"), signed, docs, k, percent), "verified")
+    done = _verified(fresh, cells, docs, k, percent)
     # Distances: d(x, y) >= d(a, b) - d(x, a) - d(y, b), so members link only where that is within one radius.
     members = star.groupBy("centre").agg(F.max("dist").alias("r"), F.count("*").alias("k"))
     maybe = met.join(past, ["a", "b"]).unionByName(done).where(F.lit(True) if inside else ~linked).withColumn("ab", 1 - F.col("inter") / _union()).select("a", "b", "ab").distinct()
@@ -276,12 +273,12 @@ def linked_classes(docs: DataFrame, k: int = 5, percent: int = 80, inside: bool
     maybe = saved(maybe.withColumn("ra", F.coalesce("ra", F.lit(0.0))), "maybe")
     known = known.unionByName(done)
     if not maybe.isEmpty():
-        comp = saved(components(known.where(linked)), "components")
         # One row per set: each is in one star, and only its distance from the centre decides whom it can still meet.
-        each = sizes.groupBy("id").agg(F.max("n").alias("n")).join(star, "id", "left").join(comp.select(F.col("node").alias("id"), "root"), "id", "left")
-        each = each.select("id", "n", F.coalesce("centre", "id").alias("centre"), F.coalesce("dist", F.lit(0.0)).alias("dist"), F.coalesce("root", "id").alias("root"))
-        each = each.join(maybe.select(F.explode(F.array("a", "b")).alias("centre")).distinct(), "centre", "left_semi")
-        each = saved(each.join(signed.select("id", F.when(F.array_max("cells") < 32767, F.col("cells")).alias("c")).dropDuplicates(["id"]), "id"), "each")
+        each = cells.join(star, "id", "left")
+        each = each.withColumns({"centre": F.coalesce("centre", "id"), "dist": F.coalesce("dist", F.lit(0.0))})
+        if not inside:
+            each = each.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        each = saved(each.join(maybe.select(F.explode(F.array("a", "b")).alias("centre")).distinct(), "centre", "left_semi"), "each")
         x, y = each.alias("x"), each.alias("y")
         inner = maybe.alias("m").join(y, F.expr(f"y.centre = m.b and m.ab <= {far} + m.ra + y.dist"))
         # The histograms' bound is part of the condition, so that pairs beyond it are never rows.
@@ -291,8 +288,7 @@ def linked_classes(docs: DataFrame, k: int = 5, percent: int = 80, inside: bool
             f" and {100 + percent} * {met_cells} >= {percent} * (x.n + y.n)"
         )
         deep = inner.join(x, close).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        deep = saved(deep.join(known.select(*ordered), ["a", "b"], "left_anti"), "deep")
-        known = known.unionByName(saved(_verified(deep, signed, docs, k, percent), "verified"))
+        known = known.unionByName(_verified(deep.join(known.select(*ordered), ["a", "b"], "left_anti"), cells, docs, k, percent))
     return rows, classes, saved(known.where(linked).select(*ordered).distinct(), "links")
 
 
@@ -317,11 +313,15 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, inside: bool
     64-bit hashes.
     """
     rows, classes, links = linked_classes(docs, k, percent, inside)
-    comp = saved(components(links), "components")
+    comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     placed = classes.join(comp.select(F.col("node").alias("id"), "root"), "id", "left").join(degree, "id", "left")
-    placed = placed.select("fp", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.join(placed, "fp", "left")
+    placed = saved(placed.select("fp", "c", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "placed")
+    # The rows of a large class, and those without a set, don't meet in one task.
+    large = hinted(placed.where(F.col("c") >= LARGE_CLASS))
+    some = rows.where("fp is not null")
+    found = some.join(large, "fp").unionByName(some.join(large.select("fp"), "fp", "left_anti").join(placed.where(F.col("c") < LARGE_CLASS), "fp", "left"))
+    out = found.unionByName(rows.where("fp is null"), allowMissingColumns=True)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
