@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, saved
+from .common import hinted, saved
 
 KINDS = ("email", "ip", "card", "phone")
 #: What each kind's pattern finds is fixed; a lookbehind or possessive quantifier only keeps long runs linear.
@@ -15,18 +15,15 @@ _PATTERN = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # What may be an identifier: a run without white space that holds a digit or an at sign.
-    "token": r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+",
+    # What may be an identifier: a run without white space that holds a digit or an at sign, and groups of digits behind it.
+    "token": r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:\x20[(+]?[0-9][^\x20\x09-\x0D]*+)*+",
 }
 _QUICK = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "token": r"[0-9@]"}
-#: Characters of context on either side.
-CONTEXT = 80
+#: Runs without white space beside a mention that are looked at; those without letters and digits are passed over.
+NEAR = 6
 ROUNDS = 3
 #: A pattern is trusted from so many distinct known instances, and from this confidence.
 SUPPORT, CONFIDENCE = 5, 0.9
-#: Digits that an unseen identifier has at least, unless it holds an at sign.
-LEAST_DIGITS = 4
-_BLOCK = 64
 
 
 def _valid(kind: str) -> str:
@@ -40,29 +37,56 @@ def _valid(kind: str) -> str:
     }[kind]
 
 
-def _found(df: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """Adds s_<kind>: array of (start, end, value, before, after), code points, of each whole `text`.
+def _let(name: str, value: str, body: str) -> str:
+    """body with value bound to name once; the optimiser would copy a column into each use within a lambda."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    Matches and the texts between them come from the same pattern; positions are their running lengths,
-    summed in blocks so that many matches take little more than linear time.
+
+def _running(name: str, array: str, zero: str, step: str, body) -> str:
+    """body(at), where at(i) folds the first i elements of an array of n from zero on: n^(4/3) steps for all i together.
+
+    The array is dealt into blocks; folds of whole blocks are kept, and elements within a block are folded anew.
+    (A slice copies its whole array first, so only blocks are sliced.) step: SQL over a and y, with zero neutral.
     """
+    values, width, blocks, whole, heads = (f"{name}_{x}" for x in "vwbch")
+    at = lambda i: f"aggregate(slice({blocks}[cast(({i}) div {width} as int)], 1, cast(({i}) % {width} as int)), {heads}[cast(({i}) div {width} as int)], (a, y) -> {step})"
+    out = _let(heads, f"transform({whole}, (x, j) -> aggregate(slice({whole}, 1, j), {zero}, (a, y) -> {step}))", body(at))
+    out = _let(whole, f"transform({blocks}, x -> aggregate(x, {zero}, (a, y) -> {step}))", out)
+    out = _let(blocks, f"transform(sequence(0, size({values}) div {width}), j -> transform(sequence(0, {width} - 1), q -> coalesce(get({values}, cast(j * {width} + q as int)), {zero})))", out)
+    out = _let(width, f"cast(greatest(16, ceil(power(size({values}), 1 / 3D))) as int)", out)
+    return _let(values, array, out)
+
+
+def _clean(runs: str) -> str:
+    """Runs in lower case without marks at their ends; those of marks only are left out."""
+    return f"filter(transform({runs}, w -> regexp_replace(lower(w), '^[^\\\\p{{L}}\\\\p{{N}}=]+|[^\\\\p{{L}}\\\\p{{N}}=]+$', '')), w -> w <> '')"
+
+
+_BLANK = r"'[\\x20\\x09-\\x0D]+'"
+#: The text before and after match i, two further matches and the text between them included.
+_BEFORE = "concat_ws('', get(c.g, i - 2), get(c.m, i - 2), get(c.g, i - 1), get(c.m, i - 1), c.g[i])"
+_AFTER = "concat_ws('', get(c.g, i + 1), get(c.m, i + 1), get(c.g, i + 2), get(c.m, i + 2), get(c.g, i + 3))"
+
+
+def _found(df: DataFrame, kinds: tuple[str, ...], contexts: bool) -> DataFrame:
+    """Adds s_<kind>: array of (start, end, value, and with contexts b and a), code points, of each whole `text`.
+
+    Matches and the texts between them come from the same pattern; starts are running lengths. b: the words before
+    a mention, the last first; a: those after it.
+    """
+    around = "" if not contexts else (
+        f", {_clean(f'transform(slice(split(reverse({_BEFORE}), {_BLANK}, {NEAR + 1}), 1, {NEAR}), w -> reverse(w))')} as b"
+        f", {_clean(f'slice(split({_AFTER}, {_BLANK}, {NEAR + 1}), 1, {NEAR})')} as a"
+    )
     for k in kinds:
-        rx = F.lit(_PATTERN[k])
-        some = F.col("text").rlike(_QUICK[k])
-        df = df.withColumns({"m": F.when(some, F.regexp_extract_all("text", rx, F.lit(0))), "g": F.when(some, F.split("text", _PATTERN[k], -1))})
-        df = df.withColumn("len", F.expr("transform(m, (x, i) -> length(x) + length(g[i]))"))
-        df = df.withColumn("sum", F.expr(f"if(size(m) > 0, transform(sequence(0, (size(m) - 1) div {_BLOCK}), b -> aggregate(slice(len, cast(b * {_BLOCK} + 1 as int), {_BLOCK}), 0, (a, x) -> a + x)), null)"))
-        df = df.withColumn("pre", F.expr("transform(sum, (x, b) -> aggregate(slice(sum, 1, b), 0, (a, y) -> a + y))"))
-        at = f"get(pre, cast(i div {_BLOCK} as int)) + aggregate(slice(len, cast((i div {_BLOCK}) * {_BLOCK} + 1 as int), i % {_BLOCK}), 0, (a, y) -> a + y) + length(g[i])"
-        df = df.withColumn(
-            f"s_{k}",
-            F.expr(
-                f"filter(transform(transform(m, (x, i) -> struct({at} as start, x as value, right(g[i], {CONTEXT}) as before, left(get(g, i + 1), {CONTEXT}) as after)),"
-                f" x -> struct(x.start as start, x.start + length(x.value) as end, x.value as value, x.before as before, x.after as after)), s -> {_valid(k)})"
-            ),
-        )
-        df = df.withColumn(f"s_{k}", F.coalesce(F.col(f"s_{k}"), F.expr(f"filter(array(struct(0 as start, 0 as end, '' as value, '' as before, '' as after)), x -> false)")))
-    return df.drop("m", "g", "len", "sum", "pre")
+        rx = _PATTERN[k].replace("\\", "\\\\")
+        spans = _running(
+            "p", "transform(c.m, (x, i) -> length(x) + length(c.g[i]))", "0", "a + y",
+            lambda at: "transform(c.m, (x, i) -> " + _let("s", f"{at('i')} + length(c.g[i])", f"struct(s as start, s + length(x) as end, x as value{around})") + ")",
+        )
+        spans = _let("c", f"if(text rlike '{_QUICK[k].replace(chr(92), chr(92) * 2)}', struct(regexp_extract_all(text, '{rx}', 0) as m, split(text, '{rx}', -1) as g), struct(cast(array() as array<string>) as m, array('') as g))", spans)
+        df = df.withColumn(f"s_{k}", F.expr(f"filter({spans}, s -> {_valid(k)})"))
+    return df
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -71,18 +95,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return df.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
-def _words(context: str) -> str:
-    """The words of a context, lower case, without marks at their ends."""
-    return f"filter(transform(split(lower({context}), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> regexp_replace(w, '^[^\\\\p{{L}}\\\\p{{N}}=]+|[^\\\\p{{L}}\\\\p{{N}}=]+$', '')), w -> w <> '')"
-
-
 def _patterns(s: str) -> str:
-    """Lexical patterns around a mention: two words before it, and one on either side; null where words are missing."""
-    before, after = _words(f"{s}.before"), _words(f"{s}.after")
+    """Lexical patterns around a mention: two words before it, and one on either side; none where words are missing."""
     return (
-        f"transform(array(struct({before} as b, {after} as a)), c -> filter(array("
-        "if(size(c.b) >= 2, concat('L ', element_at(c.b, -2), ' ', element_at(c.b, -1)), null),"
-        "if(size(c.b) >= 1 and size(c.a) >= 1, concat('M ', element_at(c.b, -1), ' _ ', c.a[0]), null)), x -> x is not null))[0]"
+        f"filter(array(if(size({s}.b) >= 2, concat('L ', {s}.b[1], ' ', {s}.b[0]), null),"
+        f" if(size({s}.b) >= 1 and size({s}.a) >= 1, concat('M ', {s}.b[0], ' _ ', {s}.a[0]), null)), x -> x is not null)"
     )
 
 
@@ -95,20 +112,21 @@ def discovered(docs: DataFrame) -> DataFrame:
     pattern whose score is high are reported under the kind of most of that pattern's seeds. Mentions are counted
     over all documents; edges are distinct, so copies count once.
     """
-    df = _found(_keyed(docs), (*KINDS, "token"))
+    df = _found(_keyed(docs), (*KINDS, "token"), contexts=True)
     seeds = "concat(" + ", ".join(f"transform(s_{k}, s -> struct('{k}' as kind, s.start, s.end, lower(s.value) as value, {_patterns('s')} as patterns))" for k in KINDS) + ")"
-    marks = r"""'^[^0-9A-Za-z@+]+|[^0-9A-Za-z]+$'"""
+    head, tail = "'^[^0-9A-Za-z@+]+'", "'[^0-9A-Za-z]+$'"
     unknown = (
-        "transform(filter(s_token, s -> (length(regexp_replace(s.value, '[^0-9]', '')) >= " + str(LEAST_DIGITS) + " or contains(s.value, '@'))"
-        " and not exists(spans, b -> b.start < s.end and s.start < b.end)),"
-        f" s -> struct(cast(null as string) as kind, s.start + length(s.value) - length(regexp_replace(s.value, '^[^0-9A-Za-z@+]+', '')) as start,"
-        f" s.end - length(s.value) + length(regexp_replace(s.value, '[^0-9A-Za-z]+$', '')) as end, lower(regexp_replace(s.value, {marks}, '')) as value, {_patterns('s')} as patterns))"
+        f"transform(s_token, s -> struct(cast(null as string) as kind, s.start + length(s.value) - length(regexp_replace(s.value, {head}, '')) as start,"
+        f" s.end - length(s.value) + length(regexp_replace(s.value, {tail}, '')) as end, lower(regexp_replace(regexp_replace(s.value, {head}, ''), {tail}, '')) as value, {_patterns('s')} as patterns))"
     )
-    spans = "concat(" + ", ".join(f"transform(s_{k}, s -> struct(s.start, s.end))" for k in KINDS) + ")"
-    df = df.withColumn("spans", F.expr(spans)).withColumn("mentions", F.expr(f"concat({seeds}, {unknown})"))
     # A filter on mentions would be pushed below all that they are made of.
-    mentions = df.select("doc_id", "key", F.explode(F.filter("mentions", lambda m: m["value"] != "")).alias("m"))
-    mentions = saved(mentions.select("doc_id", "key", "m.*"), "mentions")
+    mentions = df.select("doc_id", "key", F.explode(F.filter(F.expr(f"concat({seeds}, {unknown})"), lambda m: m["value"] != "")).alias("m")).select("doc_id", "key", "m.*")
+    # What overlaps a seed is no unknown: of seeds that start no later the last end, of the others the first start.
+    seed, text = F.col("kind").isNotNull(), Window.partitionBy("doc_id", "key")
+    reach = F.max(F.when(seed, F.col("end"))).over(text.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    next_ = F.min(F.when(seed, F.col("start"))).over(text.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))
+    mentions = mentions.withColumns({"reach": reach, "next": next_})
+    mentions = saved(mentions.where(seed | ~(F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False)))).drop("reach", "next"), "mentions")
 
     edges = saved(mentions.select(F.explode("patterns").alias("pattern"), "value", "kind").groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
     known = edges.groupBy("value").agg(F.max("kind").alias("known"))
@@ -134,11 +152,10 @@ def scan(docs: DataFrame) -> DataFrame:
     listed, then start. Repeated rows give repeated rows; an empty table an empty result.
     """
     more = saved(discovered(docs).groupBy("doc_id", "key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more")), "discovered")
-    more = F.broadcast(more) if more.count() <= BROADCAST_KEYS // 50 else more
-    df = _found(_keyed(docs), KINDS)
+    df = _found(_keyed(docs), KINDS, contexts=False)
     df = df.withColumn("base_spans", F.expr("concat(" + ", ".join(f"transform(s_{k}, s -> struct('{k}' as kind, s.start as start, s.end as end))" for k in KINDS) + ")"))
     df = df.withColumns({f"n_{k}": F.size(f"s_{k}").cast("long") for k in KINDS}).drop(*[f"s_{k}" for k in KINDS])
-    more = more.withColumnsRenamed({"doc_id": "its_id", "key": "its_key"})
+    more = hinted(more).withColumnsRenamed({"doc_id": "its_id", "key": "its_key"})
     df = df.join(more, F.col("key").eqNullSafe(F.col("its_key")) & F.col("doc_id").eqNullSafe(F.col("its_id")), "left")
     place = "array_position(array('" + "','".join(KINDS) + "'), s.kind)"
     ordered = f"transform(array_sort(transform(concat(base_spans, coalesce(more, filter(base_spans, x -> false))), s -> struct({place} as k, s.start as start, s.end as end, s.kind as kind))), s -> struct(s.kind as kind, s.start as start, s.end as end))"
@@ -153,19 +170,21 @@ def written(spans: str) -> Column:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by [KIND] and n_chars, where there is one, counted anew; other columns as they came."""
     df = scan(docs)
-    df = df.withColumn("cut", F.expr("array_sort(transform(spans, s -> struct(s.start as start, -s.end as last, s.end as end, s.kind as kind)))"))
-    # Overlapping spans go as one, under the kind of the first.
-    df = df.withColumn(
-        "cut",
-        F.expr(
-            "aggregate(cut, cast(array() as array<struct<start:int,end:int,kind:string>>), (a, s) -> if(size(a) > 0 and element_at(a, -1).end > s.start,"
-            " concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, greatest(element_at(a, -1).end, s.end) as end, element_at(a, -1).kind as kind))),"
-            " concat(a, array(struct(s.start as start, s.end as end, s.kind as kind)))))"
-        ),
-    )
+    # Overlapping spans go as one, under the kind of the first: a span opens a cut if none before it reaches it.
+    order = "array_sort(transform(spans, s -> struct(s.start as start, -s.end as last, s.end as end, s.kind as kind)))"
+    heads = _running(
+        "r", "transform(o, s -> s.end)", "0", "greatest(a, y)",
+        lambda at: _let("h", f"filter(transform(o, (s, i) -> if({at('i')} <= s.start, i, null)), x -> x is not null)", f"transform(h, (i, j) -> struct(o[i].start as start, {at('coalesce(get(h, j + 1), size(o))')} as end, o[i].kind as kind))"),
+    )
+    df = df.withColumn("cut", F.expr(_let("o", order, heads)))
+    # A substring is counted from the text's start each time, so texts with many cuts are made of single characters.
+    gap = lambda piece: f"transform(cut, (s, i) -> concat({piece('coalesce(get(cut, i - 1).end, 0)', 's.start')}, '[', upper(s.kind), ']'))"
+    few = gap(lambda a, b: f"substr(text, {a} + 1, {b} - {a})")
+    characters = lambda a, b: f"if({a} < {b}, array_join(transform(sequence({a}, {b} - 1), q -> c[q]), ''), '')"
+    many = gap(characters)
     clean = F.expr(
-        "if(size(cut) = 0, text, concat(array_join(transform(cut, (s, i) -> concat(substr(text, coalesce(get(cut, i - 1).end, 0) + 1, s.start - coalesce(get(cut, i - 1).end, 0)), '[', upper(s.kind), ']')), ''),"
-        " substr(text, element_at(cut, -1).end + 1)))"
+        f"case when size(cut) = 0 then text when size(cut) <= 32 then concat(array_join({few}, ''), substr(text, element_at(cut, -1).end + 1))"
+        f" else {_let('c', 'split(text, ' + chr(39) * 2 + ')', f'concat(array_join({many}, {chr(39) * 2}), {characters('element_at(cut, -1).end', 'length(text)')})')} end"
     )
     df = df.withColumn("clean", F.when(F.col("row.text").isNotNull(), clean))
     out = []

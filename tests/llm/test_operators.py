@@ -252,6 +252,32 @@ def test_pii_contexts(spark):
     assert text == "so my account number [CARD] thanks"
 
 
+def test_pii_kinds_and_false_friends(spark):
+    """Two kinds, spaced numbers, and patterns that harmless numbers share; two matches glued to their words."""
+    card = lambda i: next(str(n) for n in range(4_000_000_000_000_000 + 97 * i, 10**17) if base(str(n)) == [f"card:0:{len(str(n))}"])
+    rows = [(i, f"a{i} please charge card {card(i)} today") for i in range(12)] + [(20 + i, f"b{i} my desk phone +1 555 010 {1000 + i} works") for i in range(12)]
+    rows += [(40 + i, f"c{i} the parcel number {card(50 + i)} left") for i in range(6)] + [(50 + i, f"d{i} the parcel number {i}77 left") for i in range(30)]
+    rows += [(90, "so charge card 4000 1234 5678 9013 today"), (91, "my desk phone 555 123 456 works"), (92, "the parcel number 991 left"), (93, "Order #4471 (please charge CARD: 77-88 today)"), (94, "desk phone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["spans"]] for r in pii.scan(df).collect()}
+    assert got[90] == [("card", "4000 1234 5678 9013")] and got[91] == [("phone", "555 123 456")] and got[92] == [] and got[94] == []
+    assert got[93] == [("card", "77-88")]
+    assert all(got[50 + i] == [] for i in range(30)) and all(len(got[i]) == 1 for i in [*range(12), *range(20, 32), *range(40, 46)])
+    clean = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
+    assert clean[90] == "so charge card [CARD] today" and clean[92] == "the parcel number 991 left"
+
+
+def test_pii_of_many_matches_in_a_text(spark):
+    many = " ".join(f"10.0.{i % 256}.{i % 251} é" for i in range(30_000))
+    got = pii.redacted(spark.createDataFrame([(1, many), (2, "a@b.co" + " x@y.zz" * 40)], "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] for r in got.collect()}
+    want, at = [], 0
+    for _, a, b in (x.split(":") for x in base(many)):
+        want += [many[at : int(a)], "[IP]"]
+        at = int(b)
+    assert texts == {1: "".join([*want, many[at:]]), 2: " ".join(["[EMAIL]"] * 41)}
+
+
 def oracle(name: str):
     db = duckdb.connect()
     for t in ("documents", "pages"):
