@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import having, saved
+from .common import having, hinted, saved
 
 #: The list is fitted on at most this many labelled rows, those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -132,11 +132,15 @@ class DecisionList:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Statistics of at most `sample` labelled documents, with bad (1: labelled as of low quality)."""
+    """Statistics of at most `sample` labelled documents, with bad (1: labelled as of low quality).
+
+    What the fixed base rules reject is left out: the list is to find what they don't.
+    """
     own = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     own = saved(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", (F.col("quality") == 0).cast("int").alias("bad")), "labels")
     stats = with_statistics(having(docs.select("doc_id", "text"), own.select("doc_id"), "doc_id"))
-    return saved(stats.join(F.broadcast(own), "doc_id").select("doc_id", "bad", *FEATURES), "labelled")
+    stats = stats.withColumn("base_failed", base_failed()).join(hinted(own), "doc_id")
+    return saved(stats.select("doc_id", "bad", "base_failed", *FEATURES), "labelled").where("not base_failed")
 
 
 def fit(rows: DataFrame, precision: float = PRECISION, support: int = SUPPORT) -> DecisionList:
@@ -145,15 +149,17 @@ def fit(rows: DataFrame, precision: float = PRECISION, support: int = SUPPORT) -
     Two thirds of the rows, by hash of the id, grow a rule: from nothing, the threshold with the largest
     information gain (FOIL) joins the conjunction until it covers no good row, gains nothing or is full. The
     other third prunes it: the head of the conjunction with the best (p - n) / (p + n) stays. A rule that
-    isn't precise enough on that third ends the list; what a rule covers leaves the rows. All counts are
-    aggregations over bins; the driver sees one number per feature, bin and class. Without bad rows, or
-    without any, the list is empty.
+    isn't precise enough on that third is refused, and the next one starts with another feature or side; what an
+    accepted rule covers leaves the rows. The list ends when no start is left. Thresholds lie midway between
+    neighbouring quantiles of either class. All counts are aggregations over bins; the driver sees one number per
+    feature, bin and class. Without bad rows, or without any, the list is empty.
     """
     cuts: dict[str, list[float]] = {}
     points = [i / QUANTILES for i in range(1, QUANTILES)] + [0.0, 0.005, 0.995, 1.0]
     quantiles = rows.groupBy("bad").agg(*[F.percentile(F.col(f).cast("double"), points).alias(f) for f in FEATURES]).collect()
     for f in FEATURES:
-        cuts[f] = sorted({x for r in quantiles for x in r[f] or []})
+        seen = sorted({x for r in quantiles for x in r[f] or []})
+        cuts[f] = [(a + b) / 2 for a, b in zip(seen, seen[1:], strict=False)] or seen
     if not any(r["bad"] == 1 for r in quantiles):
         return DecisionList()
     # The bin of a value: how many cuts lie below it; "value > cut" is "bin > the cut's place".
@@ -181,6 +187,7 @@ def fit(rows: DataFrame, precision: float = PRECISION, support: int = SUPPORT) -
     from math import log2
 
     found: list[list] = []
+    refused: set[tuple[str, bool]] = set()
     while len(found) < MOST_RULES:
         rest = left
         for cs in found:
@@ -200,7 +207,7 @@ def fit(rows: DataFrame, precision: float = PRECISION, support: int = SUPPORT) -
                     dp, dn = have.get(k, [0, 0])
                     low_p, low_n = low_p + dp, low_n + dn
                     for above, p, n in ((False, low_p, low_n), (True, all_p - low_p, all_n - low_n)):
-                        if p >= support:
+                        if p >= support and (rule or (f, above) not in refused):
                             gain = p * (log2(p / (p + n)) - log2(p0 / (p0 + n0)))
                             best = max(best, (gain, (f, above, k)), key=lambda x: x[0])
             if best[1] is None:
@@ -214,8 +221,12 @@ def fit(rows: DataFrame, precision: float = PRECISION, support: int = SUPPORT) -
         i = -max(scored)[1]
         p, n = held[f"c{i}_1"], held[f"c{i}_0"]
         if p < support or p < precision * (p + n):
-            break
-        found.append(heads[i])
+            refused.add(rule[0][:2])
+            continue
+        # Of several thresholds on one side of a feature the tightest says all.
+        tight = {(f, above): (max if above else min)(k for g, up, k in heads[i] if (g, up) == (f, above)) for f, above, _ in heads[i]}
+        found.append([(f, above, k) for (f, above), k in tight.items()])
+        refused.clear()
     return DecisionList([Rule(tuple(Condition(f, above, cuts[f][k]) for f, above, k in cs)) for cs in found])
 
 
