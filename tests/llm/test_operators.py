@@ -414,6 +414,25 @@ def test_url_classes(spark):
     assert url_rules.decided(df.limit(0), url_rules.rule_table(spark)).count() == 0
 
 
+def test_url_classes_against_sql(spark):
+    """Links of many forms, null and malformed URLs, repeated rows and clashing columns: equal to the SQL's closure."""
+    link = lambda to: f'<LINK rel="canonical" href="{to}"><p>'
+    rows = [
+        (1, "https://x.com/en/1", None), (2, "http://a.org/d/a", link("https://x.com/en/1")), (3, "http://a.org/d/b", link("a")), (4, "http://a.org/d/c?x=1", link("?y=2")),
+        (5, "http://a.org/d/c?y=2", '<meta http-equiv="refresh" content="0;url=/d/b">'), (6, "http://ok.biz/z", link("mailto:me")), (7, None, link("https://x.com/en/1")), (8, "none", link("https://x.com/en/1")),
+        (9, None, None), (10, "http://ok.biz/z", link("go?u=http://x.com/en/1")), (11, "http://b.org/", link("http://www.example.com/en/70") + link("https://x.com/en/9")),
+        (12, "http://c.org/q", link("//b.org/")), (13, "http://d.org/?a=1&b=2", link("http://c.org/q#top")), (14, "http://e.org/", link("http://d.org/?a=1&amp;b=2")), (1, "https://x.com/en/1", None),
+        (15, "http://f.org/" + "p" * 20_000, link("#here")), (16, "", ""), (17, "://", link("/x")),
+    ]
+    df = spark.createDataFrame([(*r, "h", "n", 1) for r in rows], "page_id long, url string, html string, host string, node string, id long")
+    got = sorted((str(tuple(r)) for r in url_rules.decided(df, url_rules.rule_table(spark)).collect()))
+    db = duckdb.connect()
+    db.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    assert got == sorted(str(r) for r in db.execute(url_rules.ORACLE).fetchall())
+    verdicts = {r[0]: (r[4], r[5]) for r in map(eval, got)}
+    assert verdicts[7] == verdicts[8] == verdicts[9] == verdicts[6] == ("allow", "default") and verdicts[4] == verdicts[5] == ("block", "alias") and verdicts[14] == ("allow", "alias")
+
+
 def test_search(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 32)).astype(np.float32)
