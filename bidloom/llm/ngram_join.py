@@ -33,6 +33,10 @@ COUNTED = 1 << 21
 CELLS = 256
 #: Rows of a class of equal sets from which it is looked up by broadcast (if few classes are so large), not shuffled.
 LARGE_CLASS = 256
+#: Distances from a star's centre are told apart in so many classes, for stars of more sets than a block holds.
+DISTANCES = 16
+#: Sets and tokens of a block; two blocks are compared in one task, without a row for each pair.
+BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 20
 #: Rounds in which each set is held against one leader before the rest is compared star by star.
 STAR_ROUNDS = 2
 
@@ -178,19 +182,125 @@ def _verified(pairs: DataFrame, cells: DataFrame, docs: DataFrame, k: int, perce
     return saved(exact.unionByName(ruled_out), "verified")
 
 
+def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y, by postings."""
+    owner = np.repeat(np.arange(len(y)), [len(t) for t in y])
+    flat = np.concatenate(y)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out = np.zeros((len(x), len(y)), np.int64)
+    for i, tokens in enumerate(x):
+        low, high = np.searchsorted(flat, tokens), np.searchsorted(flat, tokens, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        out[i] = np.bincount(owner[at], minlength=len(y))
+    return out
+
+
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what a symmetric boolean matrix connects, one less than the nodes of each part."""
+    out, left = [], np.ones(len(near), bool)
+    for start in range(len(near)):
+        front = np.array([start]) if left[start] else np.zeros(0, np.int64)
+        left[front] = False
+        while len(front):
+            new = np.flatnonzero(near[front].any(0) & left)
+            out += zip(front[near[front][:, new].argmax(0)].tolist(), new.tolist(), strict=True) if len(new) else []
+            left[new] = False
+            front = new
+    return out
+
+
+def _unit(percent: int, every: bool):
+    """(id, n, other) of the sets of one pair of blocks: n links of id, and the links that connect them, or every link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, side = table["id"].to_numpy(), table["side"].to_numpy()
+        sets = [t.values.to_numpy(zero_copy_only=False) for t in table["tokens"]]
+        size = np.array([len(t) for t in sets])
+        one = np.flatnonzero(side == 0)
+        two = np.flatnonzero(side == 1) if (side == 1).any() else one
+        n = len(ids)
+        near = np.zeros((n, n), bool)
+        if len(one) and len(two):
+            inter = _intersections([sets[i] for i in one], [sets[i] for i in two])
+            near[np.ix_(one, two)] = 100 * inter >= percent * (size[one][:, None] + size[two][None, :] - inter)
+        near |= near.T
+        np.fill_diagonal(near, False)
+        pairs = np.argwhere(np.triu(near)).tolist() if every else _forest(near)
+        degree = near.sum(1)
+        at = np.flatnonzero(degree)
+        return pa.table({
+            "id": pa.array(np.concatenate([ids[at], ids[[i for i, _ in pairs]] if pairs else ids[:0]]), pa.int64()),
+            "n": pa.array(np.concatenate([degree[at], np.zeros(len(pairs), np.int64)]), pa.int64()),
+            "other": pa.array([None] * len(at) + [int(ids[j]) for _, j in pairs], pa.int64()),
+        })
+
+    return run
+
+
+def _compared(maybe: DataFrame, each: DataFrame, docs: DataFrame, k: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, n): links of each set, and (a, b): links that connect, or every link, within the pairs of stars of maybe.
+
+    maybe: centres a and b and their distance ab, a = b for the pairs within a star; each: id, n, centre, dist. Sets of a
+    large star are classed by distance from its centre. Where the distances prove that all of two classes link, they are
+    only counted; where they prove that none do, nothing is done; the rest is compared block by block. So a group
+    of near copies costs its size, as long as its members are within half a radius of their centre, and beyond that
+    the comparisons of whole blocks; in no case is there a row for each pair.
+    """
+    far = (100 - percent) / 100
+    stars = each.groupBy("centre").agg(F.count("*").alias("m"))
+    # The centre is a class of its own: its links to the members are known.
+    cls = F.when(F.col("id") == F.col("centre"), F.lit(-1)).when(F.col("m") <= BLOCK_SETS, F.lit(0)).otherwise(F.ceil(F.col("dist") * (DISTANCES / far) - 1e-9).cast("int"))
+    each = saved(each.join(stars, "centre").select("id", "n", "centre", "dist", cls.alias("cls")), "classed")
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(BLOCK_TOKENS / F.max("n"))))
+    classes = each.groupBy("centre", "cls").agg(F.count("*").alias("m"), F.max("dist").alias("hi"), F.ceil(F.count("*") / room).cast("int").alias("parts"))
+    side = lambda s: classes.select(F.col("centre").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "m", "hi", "parts")])
+    met = maybe.select("a", "b", "ab").join(side("a"), "a").join(side("b"), "b").where("(a <> b or cls_a <= cls_b)").where(f"ab - hi_a - hi_b <= {far + 1e-9}")
+    same = "a = b and cls_a = cls_b"
+    sure = F.expr(f"(a = b and cls_a = -1) or ab + hi_a + hi_b <= {far - 1e-9}")
+    met = saved(met.where(f"not ({same}) or m_a > 1").withColumn("sure", F.lit(False) if every else sure), "met classes")
+    sure, open_ = met.where("sure"), met.where("not sure")
+    plus = sure.where(f"not ({same})").select(F.inline(F.array(*[F.struct(F.col(x).alias("centre"), F.col(f"cls_{x}").alias("cls"), F.col(f"m_{y}").alias("plus")) for x, y in ("ab", "ba")])))
+    plus = plus.unionByName(sure.where(same).select(F.col("a").alias("centre"), F.col("cls_a").alias("cls"), (F.col("m_a") - 1).alias("plus")))
+    counted = each.join(plus.groupBy("centre", "cls").agg(F.sum("plus").alias("n_links")), ["centre", "cls"]).select("id", F.col("n_links").alias("n"))
+    bridges = sure.where("a <> b").select("a", "b").distinct()
+
+    unit = ["a", "cls_a", "part_a", "b", "cls_b", "part_b"]
+    units = open_
+    for x in "ab":
+        units = units.withColumn(f"part_{x}", F.explode(F.sequence(F.lit(0), F.col(f"parts_{x}") - 1)))
+    units = saved(units.where(f"not ({same}) or part_a <= part_b").select(*unit), "units")
+    parts = each.join(classes.select("centre", "cls", "parts"), ["centre", "cls"]).select("id", "centre", "cls", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    dealt = None
+    for i, x in enumerate("ab"):
+        own = units if i == 0 else units.where(f"not ({same} and part_a = part_b)")
+        own = own.join(parts.select("id", *[F.col(c).alias(f"{d}{x}") for c, d in (("centre", ""), ("cls", "cls_"), ("part", "part_"))]), [x, f"cls_{x}", f"part_{x}"])
+        own = own.select("id", F.lit(i).alias("side"), *unit)
+        dealt = own if dealt is None else dealt.unionByName(own)
+    dealt = saved(dealt, "dealt")
+    ids = saved(dealt.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+    sets = having(docs.select("doc_id", "text"), ids, "doc_id").mapInArrow(_tokens(k), "id long, tokens array<long>").dropDuplicates(["id"])
+    found = saved(dealt.join(sets, "id").groupBy(*unit).applyInArrow(_unit(percent, every), "id long, n long, other long"), "compared")
+    degree = counted.unionByName(found.where("other is null").select("id", "n"))
+    links = found.where("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    return degree, links.unionByName(bridges)
+
+
 def _union() -> F.Column:
     return F.col("na") + F.col("nb") - F.col("inter")
 
 
-def linked_classes(docs: DataFrame, k: int = 5, percent: int = 80, inside: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, fp) of every row, (fp, id, c) of every class of equal sets, and (a, b) of every link between classes.
+def linked_classes(docs: DataFrame, k: int = 5, percent: int = 80, inside: bool = True, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, fp) of every row, (fp, id, c) of every class of equal sets, (a, b) of links that connect all that is
+    linked, or of every link between classes, and (id, n): parts of the number of links of a class.
 
     Equal sets are one class, and a class is represented by its smallest id, so its c copies cost one row each; fp
     leads from a row to its class. Classes that share a signature are first held against one leader per round;
     links form stars. As Jaccard distance is a metric, two stars whose centres are further apart than three radii
-    hold no link, and the remaining pairs of stars are compared member by member, as are the members of one star.
-    Nothing is capped. Without `inside` links between classes that are known to be in one component are not looked
-    for: enough of them are returned for the components, and no quadratic number for a group of near copies.
+    hold no link, and the remaining pairs of stars, and each star with itself, are settled by their members' distances
+    or compared in blocks (see _compared). Nothing is capped. Without `inside` only stars of different components are
+    compared: enough for the components, and the numbers of links are none.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -265,31 +375,24 @@ def linked_classes(docs: DataFrame, k: int = 5, percent: int = 80, inside: bool
     for side in ("a", "b"):
         maybe = maybe.join(members.select(F.col("centre").alias(side), F.col("r").alias(f"r{side}"), F.col("k").alias(f"k{side}")), side, "left")
     maybe = maybe.where((F.col("ra").isNotNull() | F.col("rb").isNotNull()) & (F.col("ab") <= far + F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))))
-    # The star with more members goes last.
-    swap = F.coalesce("ka", F.lit(0)) < F.coalesce("kb", F.lit(0))
-    maybe = maybe.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), "ab", F.when(swap, F.col("rb")).otherwise(F.col("ra")).alias("ra"))
+    maybe = maybe.select("a", "b", "ab")
     if inside:
-        maybe = maybe.unionByName(members.where("k > 1").select(F.col("centre").alias("a"), F.col("centre").alias("b"), F.lit(0.0).alias("ab"), F.col("r").alias("ra")))
-    maybe = saved(maybe.withColumn("ra", F.coalesce("ra", F.lit(0.0))), "maybe")
+        maybe = maybe.unionByName(members.select(F.col("centre").alias("a"), F.col("centre").alias("b"), F.lit(0.0).alias("ab")))
+    maybe = saved(maybe, "maybe")
     known = known.unionByName(done)
-    if not maybe.isEmpty():
-        # One row per set: each is in one star, and only its distance from the centre decides whom it can still meet.
-        each = cells.join(star, "id", "left")
-        each = each.withColumns({"centre": F.coalesce("centre", "id"), "dist": F.coalesce("dist", F.lit(0.0))})
-        if not inside:
-            each = each.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        each = saved(each.join(maybe.select(F.explode(F.array("a", "b")).alias("centre")).distinct(), "centre", "left_semi"), "each")
-        x, y = each.alias("x"), each.alias("y")
-        inner = maybe.alias("m").join(y, F.expr(f"y.centre = m.b and m.ab <= {far} + m.ra + y.dist"))
-        # The histograms' bound is part of the condition, so that pairs beyond it are never rows.
-        met_cells = "coalesce(aggregate(zip_with(x.c, y.c, (p, q) -> least(p, q)), 0L, (s, p) -> s + p), least(x.n, y.n))"
-        close = F.expr(
-            f"x.centre = m.a and {'(m.a <> m.b or x.id < y.id)' if inside else 'x.root <> y.root'} and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and m.ab <= {far} + x.dist + y.dist"
-            f" and {100 + percent} * {met_cells} >= {percent} * (x.n + y.n)"
-        )
-        deep = inner.join(x, close).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        known = known.unionByName(_verified(deep.join(known.select(*ordered), ["a", "b"], "left_anti"), cells, docs, k, percent))
-    return rows, classes, saved(known.where(linked).select(*ordered).distinct(), "links")
+    # Each set is in one star, and a pair of sets belongs to the pair of their stars.
+    each = cells.select("id", "n").join(star, "id", "left").withColumns({"centre": F.coalesce("centre", "id"), "dist": F.coalesce("dist", F.lit(0.0))})
+    each = each.join(maybe.select(F.explode(F.array("a", "b")).alias("centre")).distinct(), "centre", "left_semi")
+    if maybe.isEmpty():
+        return rows, classes, saved(known.where(linked).select(*ordered).distinct(), "links"), known.where(linked).select(*ordered).distinct().select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n"))
+    degree, links = _compared(maybe, each, docs, k, percent, every)
+    # Pairs of lone sets were compared directly.
+    lone = known.where(linked).select(*ordered).distinct()
+    busy = saved(star.select("id").unionByName(members.select(F.col("centre").alias("id"))).distinct(), "busy")
+    for side in ("a", "b"):
+        lone = lone.join(busy.select(F.col("id").alias(side)), side, "left_anti")
+    lone = lone.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    return rows, classes, saved(known.where(linked).select(*ordered).unionByName(links).distinct(), "links"), degree.unionByName(lone)
 
 
 def jaccard_pairs(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -297,7 +400,7 @@ def jaccard_pairs(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataF
 
     Documents of one representative have equal sets; what links are the documents of a and those of b.
     """
-    rows, classes, links = linked_classes(docs, k, percent)
+    rows, classes, links, _ = linked_classes(docs, k, percent, every=True)
     return links, rows.where("doc_id is not null").join(classes, "fp").select("doc_id", "id").distinct()
 
 
@@ -307,14 +410,14 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, inside: bool
     docs: doc_id long and text; other columns are ignored. Two documents link when
     100 * |intersection| >= percent * |union| of their sets of distinct k-word shingles (A-Z lowered); with fewer
     words the whole sequence is the one shingle. component_id is the smallest doc_id reachable over links;
-    n_links is the number of classes of equal sets that the document's class links to (without `inside` a lower
-    bound, see linked_classes). Null or empty texts have no shingle, link with nothing and keep their own id. Rows
+    n_links is the number of classes of equal sets that the document's class links to; without `inside` there is
+    none. Null or empty texts have no shingle, link with nothing and keep their own id. Rows
     that share a doc_id are one document; a null doc_id takes the component of equal texts, else null. Shingles are
     64-bit hashes.
     """
-    rows, classes, links = linked_classes(docs, k, percent, inside)
+    rows, classes, links, parts = linked_classes(docs, k, percent, inside)
     comp = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    degree = parts.groupBy("id").agg(F.sum("n").alias("n_links"))
     placed = classes.join(comp.select(F.col("node").alias("id"), "root"), "id", "left").join(degree, "id", "left")
     placed = saved(placed.select("fp", "c", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "placed")
     # The rows of a large class, and those without a set, don't meet in one task.
@@ -322,7 +425,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, inside: bool
     some = rows.where("fp is not null")
     found = some.join(large, "fp").unionByName(some.join(large.select("fp"), "fp", "left_anti").join(placed.where(F.col("c") < LARGE_CLASS), "fp", "left"))
     out = found.unionByName(rows.where("fp is null"), allowMissingColumns=True)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out if inside else out.drop("n_links")
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

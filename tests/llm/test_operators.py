@@ -159,6 +159,46 @@ def test_join_of_short_texts_alone(spark):
         assert [tuple(r) for r in ngram_join.jaccard_classes(df, k, 85).collect()] == [(1, 1, 1, 0)]
 
 
+def test_join_compares_large_stars_in_blocks(spark, monkeypatch):
+    """A group of near copies of more sets than a block holds, near and far from its centre, and a second one beside it."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    rng, texts = random.Random(11), []
+    base = [f"b{i}" for i in range(200)]
+    other = base[:180] + [f"o{i}" for i in range(24)]
+    for _ in range(90):
+        w = list(base if rng.random() < 0.8 else other)
+        for _ in range(rng.choice([1, 1, 2, 4, 6])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(300)}"
+        texts.append(" ".join(w))
+    sets = [shingles(t, 4) for t in texts]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    degree = Counter(x for p in want for x in p)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngram_join.jaccard_classes(df, 4, 85).collect()}
+    root = linked(list(enumerate(texts)), 4, 85)
+    assert len({frozenset(x) for x in sets}) == len(sets)
+    assert got == {i: (root[i][1], degree[i]) for i in range(len(texts))}
+
+
+def test_forest():
+    rng = np.random.default_rng(3)
+    near = rng.random((60, 60)) < 0.02
+    near |= near.T
+    np.fill_diagonal(near, False)
+    root = list(range(60))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    edges = ngram_join._forest(near)
+    for a, b in edges:
+        assert near[a, b] and find(a) != find(b)
+        root[find(a)] = find(b)
+    assert all(find(a) == find(b) for a, b in np.argwhere(near))
+
+
 def test_components(spark):
     rng, edges = random.Random(1), []
     for _ in range(300):
