@@ -433,6 +433,27 @@ def test_warc(spark):
     assert warc.roundtrip(pages.limit(0)).count() == 0
 
 
+def test_warc_on_awkward_rows(spark):
+    """Rows without an id, repeated rows, a page of several frames, clashing columns: all read back as they were."""
+    pages = [(None, "http://n/", "z" * 1500), (None, None, None), (8, "http://r/", "z" * 1500), (8, "http://r/", "z" * 1500), (9, "http://long/", "long é " * 200_000), (10, "", ""), (None, "http://m/", "m" * 1200), (None, "http://m/", "m" * 1200), (None, "", "s")]
+    df = spark.createDataFrame([(*p, "x", "y", 1) for p in pages], "page_id long, url string, html string, bundle string, payload string, frame int")
+    got = Counter((r["page_id"], bytes(r["payload"]).decode(), r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in warc.roundtrip(df).collect())
+    want = Counter()
+    for i, _, h in pages:
+        h = h or ""
+        back = h == "z" * 1500 and i is None
+        want[(i, "" if back else h, "revisit" if back else "response", 8 if back else None, len(h.encode()), hashlib.sha1(h.encode()).hexdigest())] += 1
+    assert got == want
+
+
+def test_bundles_of_two_attempts_stay_apart(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " * 300) for i in range(50)], "page_id long, url string, html string")
+    first, second = (warc.written(df, f"file://{tmp_path}/w") for df in (pages.coalesce(1), pages.orderBy(F.desc("page_id")).coalesce(1)))
+    assert not {r["bundle"] for r in first.collect()} & {r["bundle"] for r in second.collect()}
+    for index in (first, second):
+        assert {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read(index).collect()} == {i: f"page {i} " * 300 for i in range(50)}
+
+
 def test_bundles_are_plain_zstandard(spark, tmp_path):
     import zstandard
 
