@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import hinted, saved
 
 #: Licence names and the words by which headers and files announce them.
 TEMPLATES = (
@@ -19,10 +21,14 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    *((x, f"SPDX-License-Identifier: {x}") for x in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0", "BSD-3-Clause", "CC0-1.0")),
 )
 LEAST_COSINE = 0.6
-#: Lines that may announce a licence; only these, and whole licence files, are compared.
-HINT = r"(?i)licen[cs]e|copyright|permission is hereby|redistribution and use"
+MOST_TEMPLATES = 10_000
+#: Words that announce a licence: the first of them in a template is its anchor.
+HINT = r"^(licen[cs]ed?|copyright|permission|redistribution|spdx)$"
+#: Texts without any of this are not looked into.
+_QUICK = r"(?i)licen[cs]e|copyright|permission|redistribution|spdx"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)(\.[a-z0-9]+)?$"
 
 
@@ -40,43 +46,75 @@ def _weights(templates: DataFrame) -> tuple[DataFrame, Column]:
     return w.join(norm, "template").select("template", "licence", "term", "idf", (F.col("w") / F.col("norm")).alias("w")), F.log(F.lit(1.0 + many))
 
 
+def _anchors(templates: DataFrame) -> list[tuple[str, int, int]]:
+    """(word, place, terms) of the templates: the anchor, how many terms stand before it, and how many there are."""
+    rows = templates.select(_terms(F.col("text")).alias("t")).limit(MOST_TEMPLATES + 1).collect()
+    if len(rows) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    found = set()
+    for r in rows:
+        place = next((i for i, w in enumerate(r["t"]) if re.search(HINT, w)), None)
+        if place is not None:
+            found.add((r["t"][place], place, len(r["t"])))
+    return sorted(found)
+
+
 def scanned(files: DataFrame, templates: DataFrame | None = None, least: float = LEAST_COSINE) -> DataFrame:
-    """Per file: path, own (licence that its text announces), cosine, licence, from_path, how.
+    """Per file: row (its columns but for the text), path, own (licence that its text announces), cosine, licence,
+    from_path, how.
 
-    files: path, text; templates: licence, text (a short table; its terms are broadcast). Every line of the whole
-    text that may announce a licence is one vector, and a licence file as a whole another; a file's own licence is
-    that of the best cosine from `least` on, ties by name. A file without one takes that of the licence file in the
-    nearest directory above it (how: inherited); else none. Null paths and texts are empty; repeated rows stay one
-    row each; the directories of a path join by equality.
+    files: path, text; templates: licence, text (at most MOST_TEMPLATES). Wherever a template's anchor stands in the whole
+    text, the stretch that the template would fill there is a vector, across line ends and comment marks, and so is a
+    licence file as a whole. A file's own licence is that of the best cosine from `least` on, ties by name. A file
+    without one takes that of the licence file in the nearest directory at or above its own (how: inherited); else
+    none. A file without a path is in no directory; null texts are empty. Rows stay one row each, and a row's licence
+    depends on its own path and text only, whatever other rows of that path hold.
     """
     spark = files.sparkSession
     if templates is None:
         templates = spark.createDataFrame(list(TEMPLATES), "licence string, text string")
     templates = saved(templates.select(F.xxhash64("licence", "text").alias("template"), "licence", "text").distinct(), "templates")
+    anchors = _anchors(templates)
     w, unseen = _weights(templates)
     w = saved(w, "weights")
-    files = files.select(F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(HINT))
-    lines = F.when(F.col("text").rlike(HINT), lines).otherwise(F.array().cast("array<string>"))
-    whole = F.when(F.col("path").rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
-    blocks = files.select("path", F.explode(F.concat(lines, whole)).alias("block")).select("path", F.xxhash64("path", "block").alias("unit"), "block")
-    terms = saved(blocks.select("path", "unit", F.explode(_terms(F.col("block"))).alias("term")).groupBy("path", "unit", "term").agg(F.count("*").alias("tf")), "terms")
-    idf = w.select("term", "idf").distinct()
-    tf = terms.join(F.broadcast(idf), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", unseen))
-    norm = tf.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dot = tf.join(F.broadcast(w.select("template", "licence", "term", "w")), "term").groupBy("path", "unit", "template", "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    cosine = dot.join(norm, ["path", "unit"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= least)
-    best = cosine.groupBy("path", "licence").agg(F.max("cosine").alias("cosine")).groupBy("path").agg(F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), F.col("licence"))).alias("b"))
-    own = saved(best.select(F.col("path").alias("p"), "b.licence", "b.cosine"), "own")
-    folders = own.where(F.col("p").rlike(LICENCE_FILE)).select(F.regexp_replace("p", r"/?[^/]*$", "").alias("folder"), F.col("licence").alias("its"), F.col("p").alias("from_path"), "cosine")
-    folders = folders.groupBy("folder").agg(F.min_by(F.struct("its", "from_path"), F.struct(-F.col("cosine"), F.col("from_path"))).alias("f")).select("folder", "f.*")
-    rows = files.select("path").groupBy("path").agg(F.count("*").alias("copies")).join(own, F.col("path") == F.col("p"), "left")
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("folder")))
-    up = rows.where("p is null").select("path", F.inline(above)).join(folders, "folder").groupBy("path").agg(F.max_by(F.struct("its", "from_path"), "depth").alias("f"))
-    out = rows.join(up, "path", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    how = F.when(F.col("licence").isNotNull(), "own").when(F.col("f").isNotNull(), "inherited").otherwise("none")
-    return out.select("path", F.col("licence").alias("own"), "cosine", F.coalesce("licence", "f.its").alias("licence"), F.when(F.col("licence").isNotNull(), F.col("path")).otherwise(F.col("f.from_path")).alias("from_path"), how.alias("how"))
+    text, name = F.coalesce("text", F.lit("")), F.coalesce("path", F.lit("\x01"))
+    files = files.select(F.struct(*[F.col(f"`{c}`") for c in files.columns if c != "text"]).alias("row"), "path", text.alias("text"), F.unhex(F.md5(F.concat(name, F.lit("\x00"), text))).alias("key"))
+    asks = F.col("text").rlike(_QUICK) | F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
+
+    at = F.array(*[F.struct(F.lit(word).alias("word"), F.lit(place).alias("place"), F.lit(n).alias("n")) for word, place, n in anchors] or [F.struct(F.lit("").alias("word"), F.lit(0).alias("place"), F.lit(0).alias("n"))])
+    words = F.array(*[F.lit(x) for x in sorted({word for word, _, _ in anchors})] or [F.lit("")])
+    units = files.where(asks).select("key", "path", _terms(F.col("text")).alias("t"))
+    units = units.withColumn("spots", F.filter(F.transform("t", lambda x, i: F.when(F.array_contains(words, x), i)), lambda i: i.isNotNull()))
+    spans = F.expr("flatten(transform(spots, i -> transform(filter(at, s -> s.word = t[i]), s -> struct(i as spot, s.place as place, s.n as n, greatest(i - s.place, 0) as start, least(i - s.place + s.n, size(t)) - 1 as last))))")
+    whole = F.expr(f"if(path rlike '{LICENCE_FILE.replace(chr(92), chr(92) * 2)}' and size(t) > 0, array(struct(-1 as spot, 0 as place, 0 as n, 0 as start, size(t) - 1 as last)), array())")
+    units = units.withColumn("at", at).withColumn("u", F.explode(F.concat(spans, whole)))
+    terms = units.select("key", "u.spot", "u.place", "u.n", F.explode(F.expr("transform(sequence(u.start, u.last), q -> t[q])")).alias("term"))
+    unit = ["key", "spot", "place", "n"]
+    terms = saved(terms.groupBy(*unit, "term").agg(F.count("*").alias("tf")), "terms")
+    idf = saved(w.select("term", "idf").distinct(), "idf")
+    tf = terms.join(hinted(idf), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", unseen))
+    norm = tf.groupBy(*unit).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dot = tf.join(hinted(w.select("template", "licence", "term", "w")), "term").groupBy(*unit, "template", "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    cosine = dot.join(norm, unit).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= least)
+    best = cosine.groupBy("key", "licence").agg(F.max("cosine").alias("cosine")).groupBy("key").agg(F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), F.col("licence"))).alias("b"))
+    own = saved(best.select("key", F.col("b.licence").alias("own"), "b.cosine"), "own")
+    # Only rows that may announce something meet the table of what does.
+    none = (F.lit(None).cast("string").alias("own"), F.lit(None).cast("double").alias("cosine"))
+    rows = files.where(asks).select("row", "path", "key").join(hinted(own), "key", "left").select("row", "path", "own", "cosine")
+    rows = rows.unionByName(files.where(~asks).select("row", "path", *none))
+    rows = saved(rows.withColumn("folder", F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).when(F.col("path").isNotNull(), "")), "rows")
+
+    licences = rows.where(F.col("own").isNotNull() & F.col("path").rlike(LICENCE_FILE)).groupBy("folder").agg(F.min_by(F.struct("own", "path"), F.struct(-F.col("cosine"), F.col("path"), F.col("own"))).alias("f"))
+    licences = saved(licences.select(F.col("folder").alias("above"), F.col("f.own").alias("its"), F.col("f.path").alias("from_path")), "licences")
+    # Each directory, not each file, looks for the nearest one above it by equality of paths.
+    parts = F.split("folder", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("above")))
+    folders = rows.where("own is null and folder is not null").select("folder").distinct()
+    nearest = folders.select("folder", F.inline(above)).join(hinted(licences), "above").groupBy("folder").agg(F.max_by(F.struct("its", "from_path"), "depth").alias("f"))
+    nearest = saved(nearest.select(F.col("folder").alias("its_folder"), "f.*"), "nearest")
+    out = rows.join(hinted(nearest), F.col("own").isNull() & (F.col("folder") == F.col("its_folder")), "left")
+    how = F.when(F.col("own").isNotNull(), "own").when(F.col("its").isNotNull(), "inherited").otherwise("none")
+    return out.select("row", "path", "own", "cosine", F.coalesce("own", "its").alias("licence"), F.when(F.col("own").isNotNull(), F.col("path")).otherwise(F.col("from_path")).alias("from_path"), how.alias("how"))
 
 
 def laid_out(docs: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import laid_out, scanned
 
-    return scanned(laid_out(_read(spark, sf_dir, "documents")))
+    return scanned(laid_out(_read(spark, sf_dir, "documents"))).select("row.doc_id", "path", "own", "cosine", "licence", "from_path", "how")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

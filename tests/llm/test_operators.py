@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -538,18 +539,50 @@ def test_search_in_full_blocks(spark):
 
 
 def test_licences(spark):
-    files = [("a/LICENSE", "Released under the MIT License."), ("a/b/c.txt", "plain"), ("a/d.txt", "x\nLicensed under the Apache License, Version 2.0.\ny"), ("e/f.txt", None), (None, "Licensed under CC BY-NC 4.0."), ("a/b/g/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/b/g/h.txt", ""), ("e/z.txt", "a licence to talk about many other things than software in a long line")]
-    got = {r["path"]: (r["licence"], r["how"]) for r in license_scan.scanned(spark.createDataFrame(files, "path string, text string")).collect()}
-    assert got == {"a/LICENSE": ("MIT", "own"), "a/b/c.txt": ("MIT", "inherited"), "a/d.txt": ("Apache-2.0", "own"), "e/f.txt": (None, "none"), "": ("CC-BY-NC-4.0", "own"), "a/b/g/COPYING": ("GPL-3.0", "own"), "a/b/g/h.txt": ("GPL-3.0", "inherited"), "e/z.txt": (None, "none")}
+    files = [("a/LICENSE", "Released under the MIT License."), ("a/b/c.txt", "plain"), ("a/d.txt", "x\nLicensed under the Apache License, Version 2.0.\ny"), ("e/f.txt", None), (None, "Licensed under CC BY-NC 4.0."), (None, "plain"), ("a/b/g/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/b/g/h.txt", ""), ("e/z.txt", "a licence to talk about many other things than software in a long line")]
+    files += [("a/b/c.txt", "Licensed under CC BY-NC 4.0"), ("k/w.c", "/* Permission is hereby granted,\n * free of charge, to any person obtaining\n * a copy of this software and\n * associated documentation files (the Software), to deal in\n * the Software without restriction */ int main() { return 0; }"), ("k/s.py", "# SPDX-License-Identifier: MIT\n" + "code " * 5000), ("LICENSE", "SPDX-License-Identifier: CC0-1.0"), ("top.txt", "x"), ("e/z.txt", "a licence to talk about many other things than software in a long line")]
+    df = spark.createDataFrame([(*f, i, "r") for i, f in enumerate(files)], "path string, text string, own long, key string")
+    got = {r["row"]["own"]: (r["path"], r["licence"], r["how"], r["from_path"]) for r in license_scan.scanned(df).collect()}
+    want = [
+        ("a/LICENSE", "MIT", "own", "a/LICENSE"), ("a/b/c.txt", "MIT", "inherited", "a/LICENSE"), ("a/d.txt", "Apache-2.0", "own", "a/d.txt"), ("e/f.txt", "CC0-1.0", "inherited", "LICENSE"), (None, "CC-BY-NC-4.0", "own", None), (None, None, "none", None),
+        ("a/b/g/COPYING", "GPL-3.0", "own", "a/b/g/COPYING"), ("a/b/g/h.txt", "GPL-3.0", "inherited", "a/b/g/COPYING"), ("e/z.txt", "CC0-1.0", "inherited", "LICENSE"), ("a/b/c.txt", "CC-BY-NC-4.0", "own", "a/b/c.txt"),
+        ("k/w.c", "MIT", "own", "k/w.c"), ("k/s.py", "MIT", "own", "k/s.py"), ("LICENSE", "CC0-1.0", "own", "LICENSE"), ("top.txt", "CC0-1.0", "inherited", "LICENSE"), ("e/z.txt", "CC0-1.0", "inherited", "LICENSE"),
+    ]
+    assert got == dict(enumerate(want))
+    assert license_scan.scanned(df.limit(0)).count() == 0
+
+
+def cosines(text: str, least: float) -> dict[str, float]:
+    """The best cosine of each licence over the stretches at all anchors, counted plainly."""
+    terms = lambda t: [x for x in re.split(r"[\W_]+", t.lower()) if x]
+    all_ = [(k, terms(t)) for k, t in license_scan.TEMPLATES]
+    idf = {x: math.log(1 + len(all_) / sum(x in t for _, t in all_)) for _, t in all_ for x in t}
+    vector = lambda t: {x: n * idf.get(x, math.log(1 + len(all_))) for x, n in Counter(t).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    anchors = {(t[i], i, len(t)) for _, t in all_ for i in [next(j for j, x in enumerate(t) if re.search(license_scan.HINT, x))]}
+    out, words = {}, terms(text)
+    for i, x in enumerate(words):
+        for word, place, n in anchors:
+            if x == word:
+                v = vector(words[max(0, i - place) : i - place + n])
+                for k, t in all_:
+                    u = vector(t)
+                    c = sum(v[y] * u[y] for y in v.keys() & u.keys()) / norm(u) / norm(v)
+                    if c >= least - 1e-9:
+                        out[k] = max(out.get(k, 0), c)
+    return out
 
 
 def test_licences_of_documents(spark):
-    got = {r["path"]: r["own"] for r in queries.op9_license_scan(spark, FOLDER).collect()}
+    """Every document against plain cosines, and no licence without a notice."""
+    got = {r["doc_id"]: r for r in queries.op9_license_scan(spark, FOLDER).collect()}
     names = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.", "GPL-3.0": "GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
-    docs = {r["doc_id"]: r["path"] for r in license_scan.laid_out(spark.read.parquet(f"{FOLDER}/documents.parquet")).collect()}
     for d, t in documents():
         want = {k for k, v in names.items() if v in t}
-        assert (got[docs[d]] in want) if want else got[docs[d]] is None
+        assert (got[d]["own"] in want) if want else got[d]["own"] is None
+        near = cosines(t, license_scan.LEAST_COSINE)
+        if not got[d]["path"].endswith("LICENSE"):
+            assert (got[d]["cosine"] is None) == (not near) and (not near or abs(got[d]["cosine"] - max(near.values())) < 1e-8)
 
 
 def test_kneser_ney(spark):
