@@ -585,23 +585,52 @@ def test_licences_of_documents(spark):
             assert (got[d]["cosine"] is None) == (not near) and (not near or abs(got[d]["cosine"] - max(near.values())) < 1e-8)
 
 
-def test_kneser_ney(spark):
-    texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog", None, ""]
-    fitted = kneser_ney.model(spark.createDataFrame([(t,) for t in texts], "text string"))
-    # Probabilities after a seen context sum to one over all classes.
-    table: dict = {}
-    for r in fitted.collect():
-        table.setdefault((r["k"], "p" if r["p"] is not None else "g"), {})[r["gram"]] = r["p"] if r["p"] is not None else r["g"]
-    arrays = {k: (np.array(sorted(v)), np.array([v[g] for g in sorted(v)])) for k, v in table.items()}
-    context = kneser_ney.grams("the")[-2] & ((1 << 21) - 1)
-    every = (context << 7) | np.arange(0, 128)
-    # Class 0 ends a text; of 1 to 127 all have a share of the uniform floor, which spreads over 127 classes.
-    total = np.exp(kneser_ney.log_probabilities(every, arrays)).sum()
-    assert abs(total - 1) < 0.01
-    docs = spark.createDataFrame([(1, "the cat sat"), (2, "ZZ## %% !!"), (3, None), (4, "the cat sat")], "doc_id long, text string")
-    near, far = ({r["row"]["doc_id"]: r["perplexity"] for r in kneser_ney.perplexity(docs, fitted, broadcast_grams=n).collect()} for n in (10**6, 0))
-    assert near[3] is None and far[3] is None
-    assert all(abs(near[i] - far[i]) < 1e-9 * near[i] for i in (1, 2, 4)) and near[1] < near[2]
+def plain_kneser_ney(texts: list[str], order: int):
+    """Probability of a character after others by dictionaries and recursion, from the definition."""
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        c = ["^"] * (order - 1) + list(t) + ["$"]
+        counts[order].update(tuple(c[i - order + 1 : i + 1]) for i in range(order - 1, len(c)))
+    mark = {"^": "|", "$": "|"}  # one code stands for both edges
+    counts[order] = Counter({tuple(mark.get(x, x) for x in g): n for g, n in counts[order].items()})
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cut = {k: kneser_ney.discounts([sum(n == i for n in counts[k].values()) for i in (1, 2, 3, 4)]) for k in range(1, order + 1)}
+
+    def p(g: tuple) -> float:
+        k = len(g)
+        if not k:
+            return 1 / (len(counts[1]) + 1)
+        seen = {h: n for h, n in counts[k].items() if h[:-1] == g[:-1]}
+        if not seen:
+            return p(g[1:])
+        total, d = sum(seen.values()), lambda n: cut[k][min(n, 3) - 1]
+        n = seen.get(g, 0)
+        return (max(n - d(n), 0) if n else 0) / total + sum(map(d, seen.values())) / total * p(g[1:])
+
+    def score(t: str) -> float:
+        c = ["|"] * (order - 1) + list(t) + ["|"]
+        return sum(math.log(p(tuple(c[i - order + 1 : i + 1]))) for i in range(order - 1, len(c)))
+
+    return score
+
+
+def test_kneser_ney_against_plain_counts(spark):
+    """Several scripts, unknown characters, several blocks, repeated rows, an empty text, clashing columns."""
+    trusted = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "кот сидел на столе", "кот и пёс", "猫在垫子上 猫", "die katze saß", "𝒳𝒴 𝒳"]
+    fitted = kneser_ney.model(spark.createDataFrame([(t,) for t in [*trusted, None, ""]], "text string"))
+    docs = [(1, "the cat sat"), (2, "ZZ## %% !!"), (3, None), (4, "the cat sat"), (5, "кот сидел"), (6, "猫子上"), (7, "на кот猫 the"), (8, "𝒳𝒴"), (9, ""), (None, "a dog"), (10, "x" * 3000)]
+    df = spark.createDataFrame([(*d, "r", "b", "g", 1.0) for d in docs], "doc_id long, text string, row string, block string, gram string, lp double")
+    score = plain_kneser_ney(trusted, 4)
+    for chars in (1 << 25, 400):
+        rows = kneser_ney.perplexity(df, fitted, block_chars=chars).collect()
+        assert len(rows) == len(docs)
+        for r in rows:
+            t = r["row"]["text"]
+            assert r["row"]["row"] == "r" and r["chars"] == len(t or "")
+            assert (r["perplexity"] is None) == (not t)
+            assert not t or abs(r["log_p"] - score(t)) < 1e-6 * abs(score(t)), t
+    assert kneser_ney.perplexity(df.limit(0), fitted).count() == 0
 
 
 def test_quality_on_held_out_rows(spark):
@@ -611,3 +640,13 @@ def test_quality_on_held_out_rows(spark):
     assert sum(good) >= 0.9 * len(good) and sum(bad) <= 0.4 * len(bad)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert kneser_ney.judged(docs.limit(5), none).where("kept").count() == 5
+    assert kneser_ney.judged(docs.limit(0), labels).count() == 0
+
+
+def test_quality_on_awkward_rows(spark, awkward):
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, None), (5, 1, 0), (3, 1, 0), (None, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = kneser_ney.judged(awkward, labels).collect()
+    assert len(rows) == awkward.count()
+    by = {r["doc_id"]: r["kept"] for r in rows}
+    assert not by[2] and not by[3] and all(r["threshold"] is not None for r in rows)
+    assert len({(r["perplexity"], r["threshold"]) for r in rows if r["doc_id"] == 1}) == 1
