@@ -140,7 +140,7 @@ def _distinct(order: int, by_block: bool):
             return pa.RecordBatch.from_pydict({"block": blocks, "gram": np.concatenate(list(held.values())) if held else np.zeros(0, np.int64)})
 
         for batch in batches:
-            texts, blocks = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            texts, blocks = batch.column("text").to_pylist(), batch.column("block").to_numpy()
             for part in grouped(texts):
                 own: dict[int, list[np.ndarray]] = {}
                 for i in part:
@@ -156,13 +156,14 @@ def _distinct(order: int, by_block: bool):
 
 
 def perplexity(docs: DataFrame, fitted: DataFrame, order: int = ORDER, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """row (the columns of docs), chars, log_p, perplexity of each whole text; null for empty texts or an empty model.
+    """row (the columns of docs but for the text), chars, log_p, perplexity of each whole text; null for empty texts or an
+    empty model.
 
     The distinct n-grams of all texts meet the sharded model in joins, once each. Texts are dealt into blocks of about
     block_chars, the distinct n-grams of a block meet what was found for them, and with these a block's texts are summed:
     pre-aggregated by block, n-grams cost a fraction of the texts' own shuffle, and nothing passes through the driver.
     """
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     chars = F.length("text").cast("long").alias("chars")
     if fitted.isEmpty():
         return df.select("row", chars, F.lit(None).cast("double").alias("log_p"), F.lit(None).cast("double").alias("perplexity"))
@@ -170,10 +171,11 @@ def perplexity(docs: DataFrame, fitted: DataFrame, order: int = ORDER, block_cha
     many = max(1, -(-total // block_chars))
     by = ["text"] + (["row.doc_id"] if "doc_id" in docs.columns else [])
     blocks = df.withColumn("block", F.pmod(F.xxhash64(*by), F.lit(many)).cast("int"))
-    wanted = blocks.select("text", "block").mapInArrow(_distinct(order, False), "block int, gram long").groupBy("gram").agg(F.lit(1).alias("one")).select("gram")
+    wanted = blocks.mapInArrow(_distinct(order, False), "block int, gram long").groupBy("gram").agg(F.lit(1).alias("one")).select("gram")
     resolved = log_probabilities(wanted, fitted, order)
+    # Both uses of the dealt texts have the same columns, so they are dealt once.
     blocks = blocks.repartition(many, "block")
-    of_block = blocks.select("text", "block").mapInArrow(_distinct(order, True), "block int, gram long").distinct()
+    of_block = blocks.mapInArrow(_distinct(order, True), "block int, gram long").distinct()
     of_block = of_block.join(hinted(resolved), "gram")
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:

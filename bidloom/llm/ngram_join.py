@@ -212,29 +212,38 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _unit(percent: int, every: bool):
-    """(id, n, other) of the sets of one pair of blocks: n links of id, and the links that connect them, or every link."""
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, side = table["id"].to_numpy(), table["side"].to_numpy()
-        sets = [t.values.to_numpy(zero_copy_only=False) for t in table["tokens"]]
-        size = np.array([len(t) for t in sets])
-        one = np.flatnonzero(side == 0)
-        two = np.flatnonzero(side == 1) if (side == 1).any() else one
-        n = len(ids)
-        near = np.zeros((n, n), bool)
-        if len(one) and len(two):
-            inter = _intersections([sets[i] for i in one], [sets[i] for i in two])
-            near[np.ix_(one, two)] = 100 * inter >= percent * (size[one][:, None] + size[two][None, :] - inter)
-        near |= near.T
-        np.fill_diagonal(near, False)
-        pairs = np.argwhere(np.triu(near)).tolist() if every else _forest(near)
-        degree = near.sum(1)
-        at = np.flatnonzero(degree)
-        return pa.table({
-            "id": pa.array(np.concatenate([ids[at], ids[[i for i, _ in pairs]] if pairs else ids[:0]]), pa.int64()),
-            "n": pa.array(np.concatenate([degree[at], np.zeros(len(pairs), np.int64)]), pa.int64()),
-            "other": pa.array([None] * len(at) + [int(ids[j]) for _, j in pairs], pa.int64()),
-        })
+    """(id, n, other) of the sets of pairs of blocks: n links of id, and the links that connect them, or every link.
+
+    A row: ids and tokens (each set's length and all of them in a row) of one block, and of another or null for itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                ids, sets = [], []
+                for block in (x, y):
+                    for one in block.as_py() or [] if block.is_valid else []:
+                        ids.append(one["id"])
+                        sets.append(np.array(one["tokens"], np.int64))
+                    if block is x:
+                        first = len(ids)
+                ids, size = np.array(ids, np.int64), np.array([len(t) for t in sets])
+                one = np.arange(first)
+                two = np.arange(first, len(ids)) if y.is_valid else one
+                near = np.zeros((len(ids), len(ids)), bool)
+                if len(one) and len(two):
+                    inter = _intersections([sets[i] for i in one], [sets[i] for i in two])
+                    near[np.ix_(one, two)] = 100 * inter >= percent * (size[one][:, None] + size[two][None, :] - inter)
+                near |= near.T
+                np.fill_diagonal(near, False)
+                pairs = np.argwhere(np.triu(near)).tolist() if every else _forest(near)
+                degree = near.sum(1)
+                at = np.flatnonzero(degree)
+                yield pa.RecordBatch.from_pydict({
+                    "id": pa.array(np.concatenate([ids[at], ids[[i for i, _ in pairs]] if pairs else ids[:0]]), pa.int64()),
+                    "n": pa.array(np.concatenate([degree[at], np.zeros(len(pairs), np.int64)]), pa.int64()),
+                    "other": pa.array([None] * len(at) + [int(ids[j]) for _, j in pairs], pa.int64()),
+                })
 
     return run
 
@@ -271,17 +280,18 @@ def _compared(maybe: DataFrame, each: DataFrame, docs: DataFrame, k: int, percen
     for x in "ab":
         units = units.withColumn(f"part_{x}", F.explode(F.sequence(F.lit(0), F.col(f"parts_{x}") - 1)))
     units = saved(units.where(f"not ({same}) or part_a <= part_b").select(*unit), "units")
+    # A block is one row of bounded size, so that pairs of blocks, and not their members, are what is joined.
+    asked = units.select(F.inline(F.array(*[F.struct(F.col(x).alias("centre"), F.col(f"cls_{x}").alias("cls"), F.col(f"part_{x}").alias("part")) for x in "ab"]))).distinct()
     parts = each.join(classes.select("centre", "cls", "parts"), ["centre", "cls"]).select("id", "centre", "cls", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    dealt = None
-    for i, x in enumerate("ab"):
-        own = units if i == 0 else units.where(f"not ({same} and part_a = part_b)")
-        own = own.join(parts.select("id", *[F.col(c).alias(f"{d}{x}") for c, d in (("centre", ""), ("cls", "cls_"), ("part", "part_"))]), [x, f"cls_{x}", f"part_{x}"])
-        own = own.select("id", F.lit(i).alias("side"), *unit)
-        dealt = own if dealt is None else dealt.unionByName(own)
-    dealt = saved(dealt, "dealt")
+    dealt = saved(parts.join(asked, ["centre", "cls", "part"], "left_semi"), "dealt")
     ids = saved(dealt.select(F.col("id").alias("doc_id")).distinct(), "wanted")
     sets = having(docs.select("doc_id", "text"), ids, "doc_id").mapInArrow(_tokens(k), "id long, tokens array<long>").dropDuplicates(["id"])
-    found = saved(dealt.join(sets, "id").groupBy(*unit).applyInArrow(_unit(percent, every), "id long, n long, other long"), "compared")
+    blocks = dealt.join(sets, "id").groupBy("centre", "cls", "part").agg(F.collect_list(F.struct("id", "tokens")).alias("block"))
+    blocks = saved(blocks, "blocks")
+    side = lambda x: blocks.select(F.col("centre").alias(x), F.col("cls").alias(f"cls_{x}"), F.col("part").alias(f"part_{x}"), F.col("block").alias(f"block_{x}"))
+    pair = units.join(side("a"), ["a", "cls_a", "part_a"]).join(side("b"), ["b", "cls_b", "part_b"])
+    pair = pair.select("block_a", F.when(F.expr(f"not ({same} and part_a = part_b)"), F.col("block_b")).alias("block_b"))
+    found = saved(pair.mapInArrow(_unit(percent, every), "id long, n long, other long"), "compared")
     degree = counted.unionByName(found.where("other is null").select("id", "n"))
     links = found.where("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     return degree, links.unionByName(bridges)
