@@ -22,6 +22,12 @@ def add_working_days(day: Column | str, n: int) -> Column:
     return F.element_at(F.filter(span, lambda x: F.weekday(x) < 5), n)
 
 
+def add_working_days_by(day: Column, n: Column) -> Column:
+    """As add_working_days, with the number of days in a column."""
+    span = F.sequence(F.date_add(day, 1), F.date_add(day, (n + 2 * (F.floor(n / 5) + 1) + 2).cast("int")))
+    return F.when(day.isNotNull() & (n >= 1), F.get(F.filter(span, lambda x: F.weekday(x) < 5), n - 1))
+
+
 def add_calendar_days(day: Column | str, n: int) -> Column:
     return F.date_add(col(day), n)
 

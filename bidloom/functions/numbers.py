@@ -13,6 +13,11 @@ def significant(x: Column | str, n: int) -> Column:
     return F.when(col(x) == 0, 0.0).otherwise(F.format_string(f"%.{n - 1}e", col(x).cast("double")).try_cast("double"))
 
 
+def significant_any(x: Column, n: Column) -> Column:
+    """As significant, with the number of figures in a column."""
+    return F.when(x == 0, 0.0).when(n >= 1, F.call_function("format_string", F.concat(F.lit("%."), (n - 1).cast("string"), F.lit("e")), x.cast("double")).try_cast("double"))
+
+
 def _bucket(ok: Column, no: str = "negative") -> Column:
     return F.when(ok, "positive").when(~ok, no)
 

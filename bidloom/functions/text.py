@@ -14,6 +14,17 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(value: Column, body) -> Column:
+    """body(v) with value evaluated once per row; a lambda also keeps long bodies out of generated methods, which the JVM
+    doesn't compile beyond a certain length."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def plain(x: Column) -> Column:
+    """A number without needless decimals."""
+    return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), F.floor(x).cast("string")).otherwise(x.cast("string"))
+
+
 def normalise(text: Column | str) -> Column:
     """Lower case, all but a-z and 0-9 to single spaces, month names to three letters."""
     words = F.array_remove(F.split(F.regexp_replace(F.lower(F.coalesce(col(text).cast("string"), F.lit(""))), "[^a-z0-9]+", " "), " "), "")
@@ -21,16 +32,20 @@ def normalise(text: Column | str) -> Column:
     return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(months, w), w)), " ")
 
 
+def padded(text: Column | str) -> Column:
+    """The normal form between blanks: runs of whole words are then plain parts of it."""
+    return F.concat(F.lit(" "), normalise(text), F.lit(" "))
+
+
 def contains_words(text: Column | str, phrase: Column | str) -> Column:
     """phrase is a run of whole words of text; a blank phrase never is."""
-    a, b = normalise(phrase), normalise(text)
-    return (a != "") & F.contains(F.concat(F.lit(" "), b, F.lit(" ")), F.concat(F.lit(" "), a, F.lit(" ")))
+    return (normalise(phrase) != "") & F.contains(padded(text), padded(phrase))
 
 
 def agree(a: Column | str, b: Column | str) -> Column:
     """Two readings agree: equal, both blank, or one is a run of whole words of the other."""
-    x, y = normalise(a), normalise(b)
-    return (x == y) | contains_words(a, b) | contains_words(b, a)
+    same = lambda n: (n["a"] == n["b"]) | ((n["a"] != "  ") & F.contains(n["b"], n["a"])) | ((n["b"] != "  ") & F.contains(n["a"], n["b"]))
+    return once(F.struct(padded(a).alias("a"), padded(b).alias("b")), same)
 
 
 def number(value: Column | str) -> Column:
@@ -46,8 +61,9 @@ def _number(value: Column) -> Column:
 def equal(value: Column, expected: Column) -> Column:
     """Numbers within half a percent of the expected one; other readings by agreement."""
     a, b = _number(value), _number(expected)
-    numeric = expected.cast("string").rlike(r"^[\d,.\s]+$") & a.isNotNull() & b.isNotNull()
-    return F.when(numeric, F.abs(a - b) <= F.greatest(0.005 * F.abs(b), F.lit(1e-9))).otherwise(agree(value, expected))
+    numeric = expected.cast("string").rlike(r"^[\d,.\s]+$")
+    near = lambda n: F.when(n["a"].isNotNull() & n["b"].isNotNull(), F.abs(n["a"] - n["b"]) <= F.greatest(0.005 * F.abs(n["b"]), F.lit(1e-9)))
+    return F.coalesce(F.when(numeric, once(F.struct(a.alias("a"), b.alias("b")), near)), agree(value, expected))
 
 
 def decimal_places(text: Column | str) -> Column:
@@ -96,11 +112,18 @@ def coerced_number(text: Column | str) -> Column:
 
 def blank_key(text: Column | str) -> Column:
     """An answer without case and marks, in any script."""
-    return F.trim(F.regexp_replace(F.lower(col(text)), r"(?U)[^\w\s]|_", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(col(text)), r"(?U)[^\w\s]|_", ""), r"(?U)\s+", " "))
+
+
+#: What stands for a covered value, between marks of any kind.
+_COVERED = r"(?i)^\W*(redacted|blacked[ -]?out|masked|covered|hidden|[█■▇*xX]{3,})\W*$"
 
 
-def redacted_reading(text: Column | str) -> Column:
-    return F.coalesce(F.trim(col(text)).rlike(r"(?i)^[\[(<]?\s*(redacted|black(ed)?[ -]?out|covered)\s*[\])>]?$"), F.lit(False))
+def redacted_reading(text: Column | str, listed: Column | None = None) -> Column:
+    """The value only says that it is covered, or is blank and listed among the redacted ones."""
+    t = F.trim(col(text))
+    said = F.coalesce(t.rlike(_COVERED), F.lit(False))
+    return said if listed is None else said | (F.coalesce(listed, F.lit(False)) & (F.coalesce(t, F.lit("")) == ""))
 
 
 def obligation_sentence(text: Column | str, modal: str = r"\b(shall|must)\b") -> Column:

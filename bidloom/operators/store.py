@@ -6,15 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bare_number
+from ..functions.vocab import META_SUFFIXES
 from .relational import latest
 
 
 def with_corrections(fields: DataFrame, corrections: DataFrame) -> DataFrame:
-    """A person's value replaces the read one; the verification falls away, and so does what was printed, unless the value is
-    a bare number. fields: run_id, field_id, value, printed, verified; corrections: run_id, key, value."""
-    c = corrections.select("run_id", F.col("key").alias("field_id"), F.col("value").alias("_new"), F.lit(True).alias("_c"))
+    """Fields as the rules should see them. fields: run_id, field_id, value, printed, verified; corrections: run_id, key,
+    value, and optionally by and reason.
+
+    A person's value replaces the read one, also where nothing was read; the verification falls away, and so does what was
+    printed, unless the value is a bare number. A correction of `<field>_decision` is a reviewer's decision on the field,
+    with who made it and why; other meta keys (`<field>_page`) correct no value and mark nothing.
+    """
+    have = lambda c: F.col(c) if c in corrections.columns else F.lit(None).cast("string")
+    meta = F.regexp_extract("key", "_(" + "|".join(META_SUFFIXES) + ")$", 1)
+    c = corrections.select("run_id", F.regexp_replace("key", "_(" + "|".join(META_SUFFIXES) + ")$", "").alias("field_id"), meta.alias("meta"), "value", have("by").alias("by"), have("reason").alias("reason"))
+    own, decision = F.col("meta") == "", F.col("meta") == "decision"
+    c = c.where(own | decision).groupBy("run_id", "field_id").agg(
+        F.max(own).alias("_c"), F.max(F.when(own, F.col("value"))).alias("_new"), F.max(F.when(decision, F.struct("value", "by", "reason"))).alias("_d")
+    )
     done = F.coalesce("_c", F.lit(False))
-    out = fields.join(c, ["run_id", "field_id"], "left")
+    out = fields.join(c, ["run_id", "field_id"], "full_outer")
     return out.withColumns(
         {
             "model_value": F.when(done, F.col("value")),
@@ -22,8 +34,11 @@ def with_corrections(fields: DataFrame, corrections: DataFrame) -> DataFrame:
             "printed": F.when(done & ~F.coalesce(bare_number("_new"), F.lit(False)), F.lit(None).cast("string")).otherwise(F.col("printed")),
             "verified": F.when(~done, F.col("verified")),
             "corrected": done,
+            "decision": F.col("_d.value"),
+            "decided_by": F.col("_d.by"),
+            "decided_why": F.col("_d.reason"),
         }
-    ).drop("_new", "_c")
+    ).drop("_new", "_c", "_d")
 
 
 def redecided(old: DataFrame, new: DataFrame, keep_confirmed: bool = False) -> DataFrame:
@@ -46,10 +61,18 @@ def versions(rulesets: DataFrame) -> DataFrame:
 
 
 def audit(events: DataFrame, rows: DataFrame) -> DataFrame:
-    """Events with new rows appended; ids go on from the last."""
-    start = F.broadcast(events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last")))
-    new = rows.crossJoin(start).withColumn("id", F.col("_last") + F.row_number().over(Window.orderBy("at", "subject"))).drop("_last")
-    return events.unionByName(new)
+    """Events with new rows appended in order of time and subject; ids go on from the last. at: a timestamp.
+
+    Two levels: new rows are counted by hour, the short table of hours is summed, and each hour counts on from there.
+    """
+    last = events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    new = rows.withColumn("_hour", F.date_trunc("hour", "at"))
+    sums = new.groupBy("_hour").agg(F.count("*").alias("_n"))
+    sums = sums.select("_hour", F.coalesce(F.sum("_n").over(Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_hour").orderBy("at", "subject"))
+    new = new.withColumn("_own", own).join(sums.withColumnRenamed("_hour", "_of"), F.col("_hour").eqNullSafe(F.col("_of")))
+    new = new.crossJoin(F.broadcast(last)).withColumn("id", F.col("_last") + F.col("_before") + F.col("_own"))
+    return events.unionByName(new.drop("_hour", "_of", "_own", "_before", "_last"))
 
 
 def first_per_part(parts: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def sig_figs_half_up(t: Tables) -> DataFrame:
 
 
 def fields(t: Tables) -> DataFrame:
-    """Orders as runs with four fields each."""
+    """Orders as runs with four fields each, of which the total has no row in every thirteenth."""
     o = t.orders
     value = lambda f, v, red=F.lit(False): F.struct(F.lit(f).alias("field_id"), v.cast("string").alias("value"), red.alias("redacted"))
     rows = F.array(
@@ -77,12 +77,13 @@ def fields(t: Tables) -> DataFrame:
         value("form.total", F.when(F.col("o_orderkey") % 13 != 0, F.col("o_totalprice").cast("decimal(18,2)"))),
         value("form.date", F.date_format("o_orderdate", "yyyy-MM-dd")),
     )
+    rows = F.filter(rows, lambda r: r["value"].isNotNull())
     return o.select(F.col("o_orderkey").alias("run_id"), F.inline(rows)).withColumns({"printed": F.lit(None).cast("string"), "corrected": F.lit(False), "verified": F.col("run_id") % 17 != 0})
 
 
 FIELDS = """fields AS (SELECT o_orderkey AS run_id, 'form.priority' AS field_id, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'N/A' ELSE o_orderpriority END AS value, false AS redacted FROM orders
  UNION ALL SELECT o_orderkey, 'form.status', CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE o_orderstatus END, o_orderkey % 11 = 0 FROM orders
- UNION ALL SELECT o_orderkey, 'form.total', CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice::DECIMAL(18,2)::VARCHAR END, false FROM orders
+ UNION ALL SELECT o_orderkey, 'form.total', o_totalprice::DECIMAL(18,2)::VARCHAR, false FROM orders WHERE o_orderkey % 13 <> 0
  UNION ALL SELECT o_orderkey, 'form.date', strftime(o_orderdate, '%Y-%m-%d'), false FROM orders),
  states AS (SELECT *, CASE WHEN redacted THEN 'redacted' WHEN value IS NULL OR trim(value) = '' THEN 'blank' WHEN lower(trim(value)) IN ('n/a', 'na') THEN 'not_applicable' ELSE 'filled' END AS state FROM fields)"""
 
@@ -96,26 +97,28 @@ TIERS = """SELECT * FROM VALUES ('critical', map('blank', named_struct('status',
 
 
 def outcome_rows(t: Tables) -> DataFrame:
-    return rules.evaluated(fields(t), rule_table(t)).join(F.broadcast(t.spark.sql(RULES).select("rule_id", "letter", "row_ord")), "rule_id")
+    return rules.evaluated(fields(t), rule_table(t))
 
 
 def rule_table(t: Tables) -> DataFrame:
     return rules.resolved_outcomes(t.spark.sql(RULES), t.spark.sql(TIERS))
 
 
-ROWS = FIELDS + """, r(rule_id, field_id, kind, tier, stage, parent, letter, row_ord) AS (VALUES ('priority_given','form.priority','filled','critical','I',NULL,'a',1), ('status_given','form.status','filled','mandatory','I','priority_given','a',2),
+ROWS = FIELDS + r""", r(rule_id, field_id, kind, tier, stage, parent, letter, row_ord) AS (VALUES ('priority_given','form.priority','filled','critical','I',NULL,'a',1), ('status_given','form.status','filled','mandatory','I','priority_given','a',2),
  ('total_in_range','form.total','range','critical','II','status_given','b',1), ('total_given','form.total','filled','critical','I',NULL,'b',2), ('date_bounds','form.date','date','mandatory','II','total_given','c',1)),
- j AS (SELECT s.run_id, r.*, s.state, CASE WHEN s.state NOT IN ('filled','not_applicable') THEN NULL WHEN kind = 'range' THEN CASE WHEN s.value::DOUBLE BETWEEN 1000 AND 300000 THEN 'match' ELSE 'mismatch' END
-   WHEN kind = 'date' THEN CASE WHEN s.value::DATE BETWEEN DATE '1993-01-01' AND DATE '1997-12-31' THEN 'match' ELSE 'mismatch' END END AS result FROM states s JOIN r USING (field_id)),
- rows_ AS (SELECT run_id, rule_id, field_id, stage, letter, row_ord, CASE WHEN result = 'match' THEN 'pass' WHEN result IS NOT NULL THEN 'needs_review'
+ j AS (SELECT o_orderkey AS run_id, r.*, coalesce(s.state, 'blank') AS state, s.value, split_part(r.field_id, '.', 2) AS label, CASE WHEN s.value IS NULL THEN NULL WHEN kind = 'range' THEN CASE WHEN s.value::DOUBLE BETWEEN 1000 AND 300000 THEN 'match' ELSE 'mismatch' END
+   WHEN kind = 'date' THEN CASE WHEN s.value::DATE BETWEEN DATE '1993-01-01' AND DATE '1997-12-31' THEN 'match' ELSE 'mismatch' END END AS result FROM orders CROSS JOIN r LEFT JOIN states s ON s.run_id = o_orderkey AND s.field_id = r.field_id),
+ rows_ AS MATERIALIZED (SELECT run_id, rule_id, field_id, stage, letter, row_ord, CASE WHEN result = 'match' THEN 'pass' WHEN result IS NOT NULL THEN 'needs_review'
    WHEN state = 'filled' THEN 'pass' WHEN state = 'blank' THEN CASE tier WHEN 'critical' THEN 'disqualified' ELSE 'dormant' END
    WHEN state = 'not_applicable' AND tier = 'mandatory' THEN 'pass' ELSE 'needs_review' END AS status,
-   CASE WHEN result IS NOT NULL OR state = 'filled' THEN NULL WHEN state = 'blank' THEN field_id || CASE tier WHEN 'critical' THEN ' is blank' ELSE ' on request' END
+   CASE WHEN kind = 'range' AND result IS NOT NULL THEN label || ': read ''' || value || ''', allowed 1000 to 300000'
+   WHEN result IS NOT NULL THEN label || ': ' || value || CASE WHEN result = 'match' THEN '' WHEN value < '1993-01-01' THEN ' is before 1993-01-01' ELSE ' is after 1997-12-31' END
+   WHEN state = 'filled' THEN NULL WHEN state = 'blank' THEN label || CASE tier WHEN 'critical' THEN ' is blank' ELSE ' on request' END
    WHEN state = 'redacted' AND tier = 'critical' THEN NULL WHEN state = 'not_applicable' AND tier = 'mandatory' THEN NULL
-   ELSE 'Could not be automatically determined - needs an explicit ' || rule_id || '__outcome.' END AS note FROM j)"""
+   ELSE label || ' reads ''' || value || ''', an answer this rule has no outcome for; a reviewer decides' END AS note FROM j)"""
 VISIBLE = ROWS + """, anc(rule_id, ancestor) AS (VALUES ('status_given','priority_given'), ('total_in_range','status_given'), ('total_in_range','priority_given'), ('date_bounds','total_given')),
- blocked AS (SELECT DISTINCT x.run_id, x.rule_id FROM rows_ x JOIN anc USING (rule_id) LEFT JOIN rows_ p ON p.run_id = x.run_id AND p.rule_id = ancestor WHERE p.status IS NULL OR p.status IN ('disqualified','dormant')),
- vis AS (SELECT * FROM rows_ ANTI JOIN blocked USING (run_id, rule_id))"""
+ wide AS (SELECT run_id, list(rule_id) FILTER (status NOT IN ('disqualified','dormant')) AS open_ FROM rows_ GROUP BY run_id), above AS (SELECT rule_id, list(ancestor) AS above FROM anc GROUP BY rule_id),
+ vis AS MATERIALIZED (SELECT x.* FROM rows_ x JOIN wide USING (run_id) LEFT JOIN above USING (rule_id) WHERE above IS NULL OR list_has_all(coalesce(open_, []), above))"""
 _SEV = "CASE status WHEN 'pass' THEN 0 WHEN 'dormant' THEN 1 WHEN 'needs_review' THEN 2 ELSE 3 END"
 
 
@@ -161,6 +164,50 @@ def tender_verdicts(t: Tables) -> DataFrame:
     return rules.tender_verdicts(rules.stage_summary(visible_rows(t)))
 
 
+KINDS = """SELECT rule_id, field_id, check, 'critical' AS tier, 'I' AS stage, cast(null as string) AS parent, 'a' AS letter, row_ord, cast(null as map<string,struct<status:string,note:string>>) AS outcomes, params, true AS evaluable FROM VALUES
+ ('is_open','s.status','value',1,map('expected','O')), ('bounds','s.total','range',2,map('min','{least}','max','')), ('urgency','s.priority','unit',3,map('allowed','HIGH|URGENT')),
+ ('no_medium','s.priority','contains',4,map('phrases','medium','absent','yes')), ('ordered','s.date','date',5,map('before','1st January 1996')), ('sum_right','s.total','math',6,map('inputs','half|half','op','sum')),
+ ('copies_agree','s.priority','cross_document_match',7,map('other','copy.priority')), ('judgement','s.total','human_only',8,map('x','')), ('given','s.total','filled',9,map('x','')) AS r(rule_id,field_id,check,row_ord,params)"""
+
+
+@query("""WITH f AS (SELECT o_orderkey AS run_id, o_orderstatus AS s, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice::DECIMAL(18,2) END AS t, o_orderpriority AS p, o_orderdate::DATE AS d,
+  CASE WHEN o_orderkey % 3 <> 0 THEN round(o_totalprice::DECIMAL(18,2)::DOUBLE / 2 + (o_orderkey % 2) * 9999, 2) END AS h, CASE WHEN o_orderkey % 5 <> 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'none' END END AS c FROM orders),
+ r AS (SELECT run_id, 'is_open' AS rule_id, CASE WHEN s = 'O' THEN 'match' ELSE 'mismatch' END AS res, t FROM f
+  UNION ALL SELECT run_id, 'bounds', CASE WHEN t IS NULL THEN 'blank' WHEN t >= 20000 THEN 'match' ELSE 'mismatch' END, t FROM f UNION ALL SELECT run_id, 'urgency', CASE WHEN p LIKE '%HIGH' OR p LIKE '%URGENT' THEN 'match' ELSE 'mismatch' END, t FROM f
+  UNION ALL SELECT run_id, 'no_medium', CASE WHEN p LIKE '%MEDIUM' THEN 'mismatch' ELSE 'match' END, t FROM f UNION ALL SELECT run_id, 'ordered', CASE WHEN d > DATE '1996-01-01' THEN 'mismatch' ELSE 'match' END, t FROM f
+  UNION ALL SELECT run_id, 'sum_right', CASE WHEN t IS NULL THEN 'blank' WHEN h IS NULL THEN 'unstated' WHEN abs(t::DOUBLE - (h + h)) <= greatest(0.01, 0.005 * abs(h + h)) THEN 'match' ELSE 'mismatch' END, t FROM f
+  UNION ALL SELECT run_id, 'copies_agree', CASE WHEN c IS NULL THEN 'unstated' WHEN c = p THEN 'match' ELSE 'mismatch' END, t FROM f UNION ALL SELECT run_id, 'judgement', CASE WHEN t IS NULL THEN 'blank' ELSE 'unstated' END, t FROM f
+  UNION ALL SELECT run_id, 'given', CASE WHEN t IS NULL THEN 'blank' ELSE 'match' END, t FROM f)
+ SELECT run_id, rule_id, CASE res WHEN 'match' THEN 'pass' WHEN 'blank' THEN 'disqualified' ELSE 'needs_review' END AS status FROM r""")
+def rules_of_all_kinds(t: Tables) -> DataFrame:
+    """All eight comparison kinds and a presence rule over fields some of which have no row; slots and inputs are wired."""
+    o = t.orders
+    k, total = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)")
+    one = lambda f, v: F.struct(F.lit(f).alias("field_id"), v.cast("string").alias("value"))
+    half = F.round(total.cast("double") / 2 + (k % 2) * 9999, 2)
+    rows = F.array(
+        one("s.status", F.col("o_orderstatus")), one("s.total", F.when(k % 13 != 0, total)), one("s.priority", F.col("o_orderpriority")), one("s.date", F.date_format("o_orderdate", "d MMMM yyyy")),
+        one("s.half", F.when(k % 3 != 0, half.cast("decimal(18,2)"))), one("copy.priority", F.when(k % 5 != 0, F.when(k % 2 == 0, F.col("o_orderpriority")).otherwise("none"))),
+    )
+    made = o.select(k.alias("run_id"), F.inline(F.filter(rows, lambda r: r["value"].isNotNull())))
+    slots = t.spark.createDataFrame([("a", "least", "20,000")], "letter string, name string, value string")
+    found = rules.evaluated(made, rules.resolved_outcomes(t.spark.sql(KINDS), t.spark.sql(TIERS)), slots)
+    return found.select("run_id", "rule_id", "status")
+
+
+@query(f"""WITH {VISIBLE}, x AS (SELECT v.*, v.run_id % 17 <> 0 AS verified, f.run_id IS NOT NULL AS read FROM vis v LEFT JOIN fields f USING (run_id, field_id)),
+ a AS (SELECT *, CASE WHEN read AND NOT verified AND status IN ('pass','disqualified') THEN 'needs_review' ELSE status END AS s1, CASE WHEN read AND NOT verified AND status IN ('pass','disqualified') THEN 'unverified: the two readings differ' ELSE note END AS n1 FROM x),
+ b AS (SELECT *, CASE WHEN NOT read THEN 'needs_review' ELSE s1 END AS s2, CASE WHEN NOT read THEN 'unextracted: no form reads ' || split_part(field_id, '.', 2) || '; a reviewer decides' ELSE n1 END AS n2 FROM a),
+ c AS (SELECT *, s2 = 'needs_review' AND field_id = 'form.status' AND run_id % 5 = 0 AS d FROM b)
+ SELECT run_id, rule_id, CASE WHEN d THEN 'dormant' ELSE s2 END AS status, CASE WHEN d THEN 'decided by r7: later' ELSE n2 END AS note FROM c""")
+def verdicts_after_engine(t: Tables) -> DataFrame:
+    """Unverified values, unread fields and reviewers' decisions, after the rules."""
+    late = (F.col("field_id") == "form.status") & (F.col("run_id") % 5 == 0)
+    f = fields(t).withColumns({"decision": F.when(late, "dormant"), "decided_by": F.lit("r7"), "decided_why": F.lit("later")})
+    rows = rules.visible(rules.evaluated(f, rule_table(t)), t.spark.sql(RULES))
+    return rules.after_engine(rows).select("run_id", "rule_id", "status", "note")
+
+
 def _compared(kind: str, value, params: dict, **more) -> F.Column:
     p = F.create_map(*[F.lit(x).cast("string") if not isinstance(x, F.Column) else x.cast("string") for kv in params.items() for x in kv])
     none = F.lit(None).cast("string")
@@ -202,13 +249,18 @@ def deadlines(t: Tables) -> DataFrame:
 
 
 def corrections(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("run_id"), F.lit("form.total").alias("key"), F.when(F.col("o_orderkey") % 2 == 0, "1234.50").otherwise("none stated").alias("value"))
+    """Every fifth run's total, also where none was read, and decisions on the status of every tenth."""
+    value = t.orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("run_id"), F.lit("form.total").alias("key"), F.when(F.col("o_orderkey") % 2 == 0, "1234.50").otherwise("none stated").alias("value"))
+    decision = t.orders.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("run_id"), F.lit("form.status_decision").alias("key"), F.lit("pass").alias("value"))
+    page = t.orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("run_id"), F.lit("form.date_page").alias("key"), F.lit("3").alias("value"))
+    return value.unionByName(decision).unionByName(page).withColumns({"by": F.lit("r1"), "reason": F.lit("seen")})
 
 
-@query(f"""WITH {FIELDS} SELECT run_id, field_id, CASE WHEN c THEN CASE WHEN run_id % 2 = 0 THEN '1234.50' ELSE 'none stated' END ELSE value END AS value, CASE WHEN c THEN value END AS model_value,
- CASE WHEN NOT c THEN run_id % 17 <> 0 END AS verified, c AS corrected FROM (SELECT *, field_id = 'form.total' AND run_id % 5 = 0 AS c FROM fields)""")
+@query(f"""WITH {FIELDS}, c AS (SELECT o_orderkey AS run_id, 'form.total' AS field_id, CASE WHEN o_orderkey % 2 = 0 THEN '1234.50' ELSE 'none stated' END AS new FROM orders WHERE o_orderkey % 5 = 0)
+ SELECT run_id, field_id, CASE WHEN new IS NOT NULL THEN new ELSE value END AS value, CASE WHEN new IS NOT NULL THEN value END AS model_value, CASE WHEN new IS NULL THEN run_id % 17 <> 0 END AS verified, new IS NOT NULL AS corrected,
+ CASE WHEN field_id = 'form.status' AND run_id % 10 = 0 THEN 'pass' END AS decision, CASE WHEN field_id = 'form.status' AND run_id % 10 = 0 THEN 'r1' END AS decided_by FROM fields FULL JOIN c USING (run_id, field_id)""")
 def corrections_applied(t: Tables) -> DataFrame:
-    return store.with_corrections(fields(t), corrections(t)).select("run_id", "field_id", "value", "model_value", "verified", "corrected")
+    return store.with_corrections(fields(t), corrections(t)).select("run_id", "field_id", "value", "model_value", "verified", "corrected", "decision", "decided_by")
 
 
 @query("""SELECT o_orderkey AS run_id, CASE WHEN o_totalprice > 100000 THEN 'pass' ELSE 'needs_review' END AS verdict, (o_totalprice > 100000) <> (o_totalprice > 120000) AS changed,
