@@ -36,7 +36,7 @@ def at_least(value: Column, least: Column) -> Column:
 
 def in_range(value: Column, lo: Column, hi: Column) -> Column:
     """Null where the value or a bound is missing."""
-    return _bucket((value >= lo) & (value <= hi))
+    return F.when(value.isNotNull() & lo.isNotNull() & hi.isNotNull(), _bucket((value >= lo) & (value <= hi)))
 
 
 def percentage_threshold(deviation: Column, limit: Column) -> Column:

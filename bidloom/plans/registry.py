@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bids, documents, jobs, sequences
+from . import bids, documents, jobs, reviews, sequences
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (bids, documents, sequences, jobs):
+for _module in (bids, documents, sequences, jobs, reviews):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
