@@ -22,6 +22,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 OPEN_BINS = 4096
 #: Pieces packed together, about: few enough for one task, many enough to fill bins.
 GROUP_PIECES = 8192
+#: Ranges of the training order that are told apart, at most.
+RANGES = 2000
 #: Characters that are tokenised together.
 BATCH_CHARS = 1 << 20
 
@@ -101,63 +103,90 @@ def encoder(path: str):
     return lambda texts: [plain([t])[0] if any(a in t for a in added) else fast.encode_ordinary(t) for t in texts]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, salt (and ids) of each whole document's pieces.
+def found_file(tokenizer: str) -> str:
+    """A file as it is; else the place of a public vocabulary of that name on this machine."""
+    if "/" in tokenizer:
+        return tokenizer
+    import public_tokenizers
 
-    Null texts count as empty: the end id alone. tokenizer: a file that the executors can open too.
+    return public_tokenizers.path(tokenizer)
+
+
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False, order: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, salt (and ids, and place) of each whole document's pieces.
+
+    Null texts count as empty: the end id alone. tokenizer: a file, or the name of a vocabulary of public_tokenizers, which
+    each executor looks up for itself. order: a column of docs, kept as place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(found_file(tokenizer))
         salt = 0
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            doc_ids, texts, places = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             run_, size = [], 0
             for i in range(len(texts)):
                 run_.append(i)
                 size += len(texts[i] or "")
                 if size < BATCH_CHARS and i + 1 < len(texts):
                     continue
-                out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "salt", "ids")}
+                out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "salt", "ids", "place")}
                 for j, found in zip(run_, encode([texts[j] or "" for j in run_]), strict=True):
                     ids = np.array([*found, end_id], "<u4")
                     for p, (s, n) in enumerate(cut(len(ids), capacity)):
                         part = ids[s : s + n]
-                        for c, x in (("doc_id", doc_ids[j]), ("piece", p), ("start", s), ("length", n), ("ids_crc32", zlib.crc32(part.tobytes())), ("salt", salt), ("ids", part if with_ids else None)):
+                        for c, x in (("doc_id", doc_ids[j]), ("piece", p), ("start", s), ("length", n), ("ids_crc32", zlib.crc32(part.tobytes())), ("salt", salt), ("ids", part if with_ids else None), ("place", places[j])):
                             out[c].append(x)
                         salt += 1
                 kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "ids": pa.list_(pa.int32())}
                 if not with_ids:
                     out.pop("ids")
+                if not order:
+                    out.pop("place")
                 yield pa.RecordBatch.from_pydict({c: pa.array(x, kinds.get(c, pa.int64())) for c, x in out.items()})
                 run_, size = [], 0
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long" + (", ids array<int>" if with_ids else "") + (", place long" if order else "")
+    place = F.col(order).cast("long") if order else F.lit(None).cast("long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), place.alias("place")).mapInArrow(run, schema)
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, with_ids: bool = False, order: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
-    A document longer than `capacity` tokens is cut, its first piece the shorter one. Pieces are dealt by hash
-    into groups of about GROUP_PIECES, and each group is packed online, longest pieces first; a group fits one task at any size of the
-    input, and leaves at most its last few bins unfilled. Offsets in a sequence have no gaps.
-    Repeated rows are packed like others; an empty table gives none.
+    A document longer than `capacity` tokens is cut, its first piece the shorter one. Pieces are dealt into groups of
+    about GROUP_PIECES, and each group is packed online, longest pieces first; a group fits one task at any size of the
+    input, and leaves at most its last few bins unfilled. Groups are dealt by hash; with order, a column of docs with the
+    training order as whole numbers, they are ranges of it and sequence_id rises with it, so that a curriculum survives
+    packing up to the length of a group; the column `place` is kept. Offsets in a sequence have no gaps. Repeated rows
+    are packed like others; an empty table gives none.
     """
-    found = saved(pieces(docs, tokenizer, end_id, capacity, with_ids), "pieces")
-    groups = max(1, -(-found.count() // GROUP_PIECES))
-    order = F.xxhash64("doc_id", "piece", "ids_crc32", "salt")
+    found = saved(pieces(docs, tokenizer, end_id, capacity, with_ids, order), "pieces")
+    many = found.count()
+    groups = max(1, -(-many // GROUP_PIECES))
+    key = F.xxhash64("doc_id", "piece", "ids_crc32", "salt")
+    keep = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), *(["place"] if order else [])]
 
     def pack(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["length", "h", "doc_id", "piece", "salt"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
         to, at = best_fit(df["length"].tolist(), capacity, open_bins)
-        out = df[["doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if with_ids else [])].copy()
+        out = df[keep].copy()
         out["sequence_id"] = np.array(to, np.int64) + (np.int64(df["bucket"].iloc[0]) << 32) if len(df) else 0
         out["offset"] = np.array(at, np.int64)
         return out
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long"
-    rows = found.withColumn("h", order).withColumn("bucket", F.pmod("h", F.lit(groups)))
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "") + (", place long" if order else "") + ", sequence_id long, offset long"
+    rows = found.withColumn("h", key)
+    if not order or groups == 1:
+        return rows.withColumn("bucket", F.pmod("h", F.lit(groups))).groupBy("bucket").applyInPandas(pack, schema)
+    # Ends of the ranges: quantiles of the order over all pieces; where groups are more than RANGES, each range is
+    # dealt by hash into several.
+    ranges = min(groups, RANGES)
+    each = -(-groups // ranges)
+    ends = rows.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)] or [1.0], 100 * ranges).alias("e"))
+    half = "cast((a.lo + a.hi) div 2 as int)"
+    search = f"aggregate(sequence(1, {ranges.bit_length() + 1}), struct(0 as lo, {ranges - 1} as hi), (a, i) -> if(a.lo >= a.hi, a, if(e[{half}] < place, struct(cast({half} + 1 as int) as lo, a.hi as hi), struct(a.lo as lo, {half} as hi))), a -> a.lo)"
+    rows = rows.crossJoin(F.broadcast(ends)).withColumn("bucket", F.expr(f"cast({search} as long) * {each} + pmod(h, {each})")).drop("e")
     return rows.groupBy("bucket").applyInPandas(pack, schema)
 
 

@@ -418,6 +418,24 @@ def test_packing(spark, awkward):
     assert packing.packed(awkward.limit(0), path, 2).count() == 0
 
 
+def test_packing_keeps_the_order_of_training(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 40)
+    docs = spark.createDataFrame([(i % 50, f"text {i} " + "word " * (i % 37 * 20), i) for i in range(400)], "doc_id long, text string, at long")
+    rows = packing.packed(docs, "byte_bpe_50k.json", 2, order="at").collect()
+    assert len({(r["place"], r["piece"]) for r in rows}) == len(rows)
+    sequences: dict[int, list[int]] = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"] >> 32, []).append(r["place"])
+    ranges = [sequences[k] for k in sorted(sequences)]
+    assert len(ranges) > 5 and all(max(a) < min(b) for a, b in zip(ranges, ranges[1:]))
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append(r)
+    for parts in by.values():
+        parts.sort(key=lambda r: r["offset"])
+        assert [p["offset"] for p in parts] == list(np.cumsum([0, *[p["length"] for p in parts]])[:-1]) and sum(p["length"] for p in parts) <= 1024
+
+
 def test_best_fit():
     to, at = packing.best_fit([6, 5, 4, 5, 3, 7], 10, 8)
     assert to == [0, 1, 0, 1, 2, 2] and at == [0, 0, 6, 5, 0, 3]

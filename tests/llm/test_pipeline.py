@@ -40,3 +40,24 @@ def test_stages(spark):
     assert set(mixed.doc_id) <= set(clean.doc_id) and mixed.groupby("doc_id").size().max() <= 2
     assert packed.length.sum() > 0 and packed.groupby("sequence_id").length.sum().max() <= 1024
     assert len(packed[packed.piece == 0]) == len(mixed)
+    assert not packed.duplicated(["place", "piece"]).any() and packed.place.nunique() == len(mixed)
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls, empty and long texts, repeated rows, shared ids, clashing columns and an empty table, through all stages."""
+    from bidloom.llm.common import saved
+
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    assert labels.count()
+    text = lambda i, n: " ".join(f"t{i}w{j}" for j in range(n))
+    rows = [(1, text(1, 40), "en", "s"), (1, text(1, 40), "en", "s"), (1, text(2, 30), None, None), (None, text(3, 30), "en", "s"), (None, text(4, 30), "en", "t"), (2, None, "en", "s"), (3, "", "en", "s"), (4, text(5, 30_000), "de", "t")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "k", 1, 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, place string, key int, bucket int")
+    for table, left in ((docs, 5), (docs.limit(0), 0)):
+        for name, stage in pipeline.STAGES[:-1]:
+            columns = table.columns
+            table = saved(stage(spark, table, FOLDER), name)
+            assert table.columns == columns
+            if name == "near_duplicates":
+                assert table.count() == left
+        pieces = pipeline.packing(spark, table.drop("place"), FOLDER)
+        assert pieces.where("piece = 0").count() == table.count()
