@@ -101,12 +101,15 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, sample: int = SAMPL
     non-finite components and those of another length than most of the sample take no part. Every row is encoded
     and stands in one block by hash of its id; each pair of a query chunk and a block is one unit of work: table
     lookups score the block, and its best `rerank` rows are scored again in double precision on the original vectors.
-    The k-th of these is a floor. A row's score lies within |query| * |residual| of its lookup, so every further row
-    that this bound lets reach the floor is scored as well: the result is that of brute force, whatever the codes.
-    With fewer rows than k all are returned. Copies of a vector are scored alike and keep their order of ids.
+    The k-th of these is a floor. A row's score lies within |query| * |residual| of its lookup and below |query| times
+    its stored norm, so every further row that both bounds let reach the floor is scored as well: the result is that of
+    brute force, whatever the codes. With fewer rows than k all are returned. Copies of a vector under several ids are
+    scored alike and keep their order of ids; repeated rows are one, and where rows of one id differ, the id's best
+    score counts. Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding", queries.alias("asks")).where("vec_id is not null").where(_usable("embedding"))
+    rows = rows.groupBy("vec_id", "embedding").agg(F.max("asks").alias("asks"))
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()["embedding"]
     if not len(drawn):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -120,13 +123,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, sample: int = SAMPL
             if len(df):
                 x = np.stack(df["embedding"].to_numpy())
                 codes = codec.encode(x.astype(np.float32))
-                yield df.assign(code=[c.tobytes() for c in codes], off=np.sqrt(((x - wide.decode(codes)) ** 2).sum(1)))
+                yield df.assign(code=[c.tobytes() for c in codes], off=np.sqrt(((x - wide.decode(codes)) ** 2).sum(1)), norm=np.sqrt((x.astype(np.float64) ** 2).sum(1)))
 
-    index = saved(rows.mapInPandas(encode, "vec_id long, embedding array<float>, asks boolean, code binary, off double"), "index")
+    index = saved(rows.mapInPandas(encode, "vec_id long, embedding array<float>, asks boolean, code binary, off double, norm double"), "index")
     n, asked = index.agg(F.count("*"), F.coalesce(F.count_if("asks"), F.lit(0))).first()
     blocks, chunks = max(1, math.ceil(n / BLOCK_ROWS)), max(1, math.ceil(asked / QUERY_ROWS))
     at = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
-    held = index.select("vec_id", "embedding", "code", "off", at(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    held = index.select("vec_id", "embedding", "code", "off", "norm", at(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     asks = index.where("asks").select("vec_id", "embedding", at(chunks, 2).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def unit(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
@@ -135,7 +138,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, sample: int = SAMPL
             x = x.sort_values("vec_id", kind="stable")
             ids, plain = x["vec_id"].to_numpy(), np.stack(x["embedding"].to_numpy()).astype(np.float64)
             codes = np.ascontiguousarray(np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1).T)
-            off = x["off"].to_numpy()
+            off, norm = x["off"].to_numpy(), x["norm"].to_numpy()
             ask = np.stack(q["embedding"].to_numpy()).astype(np.float64)
             # In double precision, so that rounding stays far below the slack of the bound.
             codec = Codec(books.value.astype(np.float64))
@@ -152,7 +155,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, sample: int = SAMPL
                     best = np.argpartition(s, -depth)[-depth:]
                     first = (plain[best[ids[best] != query]] * ask[i]).sum(1)
                     if len(first) >= k:
-                        reach = s + (off + slack) * np.sqrt((ask[i] ** 2).sum())
+                        size = np.sqrt((ask[i] ** 2).sum())
+                        reach = np.minimum(s + (off + slack) * size, (norm + slack) * size)
                         best = np.flatnonzero(reach >= np.partition(first, -k)[-k])
                     else:
                         best = np.arange(len(s))
@@ -165,5 +169,6 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, sample: int = SAMPL
         return pd.DataFrame(out).astype({"query_id": np.int64, "vec_id": np.int64, "score": np.float64})
 
     near = asks.groupBy("chunk", "block").cogroup(held.groupBy("chunk", "block")).applyInPandas(unit, "query_id long, vec_id long, score double")
+    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -534,6 +534,11 @@ def test_search(spark):
     assert hit >= 0.9 * 20 * len(got)
     assert aq.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert aq.search(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
+    # Repeated rows are one, and columns with names of the operator's own do no harm.
+    few = df.where("vec_id < 30")
+    twice = few.unionByName(few).unionByName(few.where("vec_id = 0")).withColumns({c: F.lit("x") for c in ("code", "off", "norm", "block", "chunk", "score", "asks")})
+    once, again = (sorted(map(tuple, aq.search(x, F.col("vec_id") % 20 == 0).collect())) for x in (few, twice))
+    assert once == again and len(once) == 40
 
 
 def test_search_in_full_blocks(spark):
