@@ -17,6 +17,7 @@ NEUTRAL_KEYS = ("not_applicable", "not_requested", "unstated", "na")
 SEVERITY = {"pass": 0, "dormant": 1, "needs_review": 2, "disqualified": 3}
 #: What a comparison's result means: it never disqualifies.
 INJECTED = {"match": "pass", "mismatch": "needs_review", "unstated": "needs_review"}
+# What the rest of a key says about a field, month names, printed date forms, currency names and signs.
 META_SUFFIXES = ("redacted", "confidence", "page", "quote", "verification", "printed", "corrected", "decision", "located")
 MONTHS = {
     "january": "jan", "february": "feb", "march": "mar", "april": "apr", "june": "jun", "july": "jul", "august": "aug",

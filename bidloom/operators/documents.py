@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalise, padded
 from .relational import islands
 
 MARKER = r"^\(?[a-z0-9]{1,4}[).]"
@@ -35,6 +36,32 @@ def subdocuments(pages: DataFrame) -> DataFrame:
     return islands(pages, ["file"], "page", (F.col("printed_page") == 1) | (F.col("name").isNotNull() & (F.col("name") != known)))
 
 
+def quotes_on_texts(quotes: DataFrame, texts: DataFrame, head: int = 6) -> DataFrame:
+    """(item_id, doc_id) of quotes whose words are a run of a text's. quotes: item_id, quote; texts: doc_id, text.
+
+    Hashes of a quote's first words, as many as it has up to `head`, meet the hashes of equally long runs of each text;
+    rows of the exchange hold two numbers. Only the candidates' texts are fetched, and the whole quote is looked for.
+    Quotes without words are on no text.
+    """
+    q = quotes.select("item_id", normalise("quote").alias("q")).where("q <> ''").withColumn("w", F.split("q", " "))
+    q = q.withColumn("n", F.least(F.size("w"), F.lit(head)))
+    key = lambda at: F.expr(f"case n {' '.join(f'when {k} then xxhash64({k}, ' + ', '.join(f'get(w, {at} + {j})' for j in range(k)) + ')' for k in range(1, head + 1))} end")
+    q = q.select("item_id", "q", "n", key("0").alias("h"))
+    widths = [r["n"] for r in q.select("n").distinct().collect()]
+    t = texts.select("doc_id", F.split(normalise("text"), " ").alias("w"))
+    runs = None
+    for k in widths:
+        at = F.expr(f"transform(sequence(0, size(w) - {k}), i -> xxhash64({k}, " + ", ".join(f"get(w, i + {j})" for j in range(k)) + "))")
+        one = t.where(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(at)).alias("h"))
+        runs = one if runs is None else runs.unionByName(one)
+    if runs is None:
+        return quotes.join(texts).select("item_id", "doc_id").limit(0)
+    found = runs.join(q.select("item_id", "h"), "h").select("item_id", "doc_id").distinct()
+    wanted = texts.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", padded("text").alias("p"))
+    out = found.join(q.select("item_id", "q"), "item_id").join(wanted, "doc_id")
+    return out.where(F.contains("p", F.concat(F.lit(" "), "q", F.lit(" ")))).select("item_id", "doc_id").distinct()
+
+
 _RANGE = re.compile(r"^(?P<a>[A-Z]|\d+|\([a-z]+\))\s+to\s+(?P<b>[A-Z]|\d+|\([a-z]+\))$")
 _CITE = re.compile(r"\b(?P<kind>[Cc]lauses?|[Pp]arts?|[Aa]nnex(?:es)?|[Ss]chedules?|[Ss]ections?)\s+(?P<list>(?:\d+(?:\.\d+)*(?:\([a-z]+\))*|\([a-z]+\)|[A-Z](?![a-z]))(?:\s*(?:,|and|or|to)\s*(?:\d+(?:\.\d+)*(?:\([a-z]+\))*|\([a-z]+\)|[A-Z](?![a-z])))*)")
 _ONE = re.compile(r"\d+(?:\.\d+)*(?:\([a-z]+\))*|\([a-z]+\)|[A-Z](?![a-z])")
@@ -44,7 +71,7 @@ def _spread(a: str, b: str) -> list[str]:
     """The members of a range "2 to 4", "A to D" or "(a) to (c)"; its ends if it is none."""
     x, y = a.strip("()"), b.strip("()")
     wrap = (lambda s: f"({s})") if a.startswith("(") else (lambda s: s)
-    if x.isdigit() and y.isdigit() and int(x) <= int(y) <= int(x) + 200:
+    if x.isdigit() and y.isdigit() and int(x) <= int(y):
         return [str(i) for i in range(int(x), int(y) + 1)]
     if len(x) == len(y) == 1 and x.isalpha() and y.isalpha() and x <= y:
         return [wrap(chr(i)) for i in range(ord(x), ord(y) + 1)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,8 +29,10 @@ def bid_score(rows: DataFrame) -> DataFrame:
 
 def similarity_stats(pairs: DataFrame) -> DataFrame:
     """mean, upper median and least similarity per group. The upper median is an element, not an interpolation."""
-    s = F.array_sort(F.collect_list("similarity"))
-    return pairs.groupBy("scope").agg(F.avg("similarity").alias("mean"), F.get(s, F.floor(F.size(s) / 2).cast("int")).alias("median"), F.min("similarity").alias("least"))
+    # By rank, not by an array: a scope may hold any number of pairs.
+    w = Window.partitionBy("scope")
+    df = pairs.withColumns({"_i": F.row_number().over(w.orderBy("similarity")) - 1, "_n": F.count("*").over(w)})
+    return df.groupBy("scope").agg(F.avg("similarity").alias("mean"), F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2), F.col("similarity"))).alias("median"), F.min("similarity").alias("least"))
 
 
 def outcome_counts(citations: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rules import few
+
 #: The tier of a form that must be submitted, by Part of the schedule.
 PART_TIER = {"A": "critical", "B": "mandatory_on_request", "C": "discretionary"}
 
@@ -12,10 +14,10 @@ PART_TIER = {"A": "critical", "B": "mandatory_on_request", "C": "discretionary"}
 def form_of_title(titles: DataFrame, forms: DataFrame) -> DataFrame:
     """(title, form): the form whose phrase comes first in the title, the longest on ties; letters and digits only.
 
-    forms: form, phrase; a short dimension, so a broadcast nested loop of titles and phrases is what is meant.
+    forms: form, phrase; a short dimension, which is counted, so a broadcast nested loop of titles and phrases is what is meant.
     """
     bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    f = forms.select("form", bare(F.col("phrase")).alias("p")).where("p <> ''")
+    f = few(forms.select("form", bare(F.col("phrase")).alias("p")).where("p <> ''"))
     j = titles.select("title", bare(F.col("title")).alias("t")).join(f, F.contains(F.col("t"), F.col("p")), "left")
     place = F.struct(F.instr("t", F.col("p")), -F.length("p"), F.col("form"))
     return j.groupBy("title").agg(F.min_by("form", F.when(F.col("form").isNotNull(), place)).alias("form"))

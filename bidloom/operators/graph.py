@@ -6,15 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def subtree(nodes: DataFrame, roots: DataFrame, depth: int = 8) -> DataFrame:
-    """(root, id, depth, path) below each root, itself included; path sorts depth first in table order. nodes: id, parent, ord."""
+def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id, depth, path) below each root, itself included, at any depth; path sorts depth first in table order.
+
+    nodes: id, parent, ord. Each node climbs to its ancestors, whose number doubles with every join, until a round finds
+    none; a cycle raises. The joined rows are nodes times ancestors, as is the result.
+    """
     n = nodes.select("id", "parent", "ord")
-    level = roots.join(n, "id").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array("ord").alias("path"))
-    out = level
-    for d in range(1, depth + 1):
-        level = level.alias("l").join(n.alias("c"), F.col("l.id") == F.col("c.parent")).select("l.root", "c.id", F.lit(d).alias("depth"), F.array_append("l.path", F.col("c.ord")).alias("path"))
-        out = out.unionByName(level)
-    return out
+    # up: (id, at, depth, path): at lies depth steps above id; path holds the ords below at, down to id.
+    up = n.where("parent is not null").select("id", F.col("parent").alias("at"), F.lit(1).alias("depth"), F.array("ord").alias("path"))
+    out, step = up, up
+    while not step.isEmpty():
+        if step.where("id = at").limit(1).count():
+            raise ValueError("nodes above each other form a cycle")
+        far = step.alias("a").join(out.alias("b"), F.col("a.at") == F.col("b.id"))
+        most = step.agg(F.max("depth")).first()[0]
+        longer = far.select("a.id", "b.at", (F.col("a.depth") + F.col("b.depth")).alias("depth"), F.concat("b.path", "a.path").alias("path"))
+        step = longer.where(F.col("depth") > most).dropDuplicates(["id", "at"])
+        out = out.unionByName(step).dropDuplicates(["id", "at"])
+    top = roots.join(n, "id").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array("ord").alias("path"))
+    below = out.join(roots.join(n.select("id", F.col("ord").alias("o")), "id").select(F.col("id").alias("at"), "o"), "at")
+    return top.unionByName(below.select(F.col("at").alias("root"), "id", "depth", F.concat(F.array("o"), "path").alias("path")))
 
 
 def ancestor_table(nodes: DataFrame, separator: str = ":") -> DataFrame:
@@ -34,11 +46,13 @@ def neighbourhood(nodes: DataFrame, start: DataFrame) -> DataFrame:
     return s.select("start", F.col("start").alias("id")).unionByName(up).unionByName(down).unionByName(beside).distinct()
 
 
-def resolved(citations: DataFrame, nodes: DataFrame, levels: int = 4) -> DataFrame:
+def resolved(citations: DataFrame, nodes: DataFrame, levels: int | None = None) -> DataFrame:
     """(cite, id, outcome): a chain of (kind, ident) below a scope, level by level. citations: cite, scope, path; nodes: id, kind, ident.
 
-    An empty level is a miss, more than one match at the end ambiguous.
+    As many levels as the longest chain has, unless given. An empty level is a miss, more than one match at the end
+    ambiguous.
     """
+    levels = levels if levels is not None else citations.agg(F.coalesce(F.max(F.size("path")), F.lit(0))).first()[0]
     up = ancestor_table(nodes).where("steps > 0").join(nodes, "id").select("id", "ancestor", "kind", "ident")
     now = citations.select("cite", "path", F.col("scope").alias("at"))
     done = None

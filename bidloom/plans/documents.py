@@ -33,14 +33,17 @@ def line_budget(t: Tables) -> DataFrame:
 @query("""WITH n AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS p FROM documents), b AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS q FROM benchmark)
  SELECT item_id, doc_id FROM b JOIN n ON contains(p, ' ' || q || ' ')""")
 def quote_on_text(t: Tables) -> DataFrame:
-    """Whole quotes in texts: candidates meet by equality on their first six words, then the whole quote is looked for."""
-    q = t.benchmark.select("item_id", text.normalise("text").alias("q"))
-    first = lambda c, n: F.array_join(F.slice(F.split(c, " "), 1, n), " ")
-    q = q.withColumn("head", first(F.col("q"), 6))
-    d = t.documents.select("doc_id", text.normalise("text").alias("p")).withColumn("w", F.split("p", " "))
-    at = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 5, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 6), " ")))
-    d = d.select("doc_id", "p", F.explode(at).alias("head"))
-    return d.join(q, "head").where(F.contains(F.concat(F.lit(" "), "p", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" ")))).select("item_id", "doc_id").distinct()
+    return docs.quotes_on_texts(t.benchmark.select("item_id", F.col("text").alias("quote")), t.documents.select("doc_id", "text"))
+
+
+SHORT = ("the of", "was", "und der die", "no such words here")
+
+
+@query("""WITH n AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS p FROM documents), b(item_id, q) AS (VALUES """ + ", ".join(f"({i}, '{x}')" for i, x in enumerate(SHORT)) + """)
+ SELECT item_id, doc_id FROM b JOIN n ON contains(p, ' ' || q || ' ')""")
+def short_quotes(t: Tables) -> DataFrame:
+    quotes = t.spark.createDataFrame(list(enumerate(SHORT)), "item_id int, quote string")
+    return docs.quotes_on_texts(quotes, t.documents.select("doc_id", "text"))
 
 
 @query("""WITH s AS (SELECT doc_id, unnest(string_split_regex(text, '[.;:]\\s+')) AS x FROM documents) SELECT doc_id, count(*) AS sentences FROM s WHERE contains(lower(x), 'icen') GROUP BY doc_id""")

@@ -88,7 +88,7 @@ def spatial_overlap_best(t: Tables) -> DataFrame:
 
 
 @query("""WITH i AS (SELECT l_orderkey AS block, l_linenumber AS item, l_quantity AS y FROM lineitem), r(row, lo, hi) AS (VALUES (0, 0, 10), (1, 10, 20), (2, 20, 40)), j AS (SELECT block, item, row FROM i LEFT JOIN r ON y >= lo AND y < hi)
- SELECT block, item, row FROM j WHERE block NOT IN (SELECT block FROM j WHERE row IS NULL)""")
+ SELECT block, item, row FROM j ANTI JOIN (SELECT DISTINCT block FROM j WHERE row IS NULL) USING (block)""")
 def cell_placement(t: Tables) -> DataFrame:
     items = t.lineitem.select(F.col("l_orderkey").alias("block"), F.col("l_linenumber").alias("item"), F.col("l_quantity").alias("y"))
     bands = items.select(F.col("block").alias("of")).distinct().select("of", F.inline(F.expr("array(named_struct('row', 0, 'lo', 0, 'hi', 10), named_struct('row', 1, 'lo', 10, 'hi', 20), named_struct('row', 2, 'lo', 20, 'hi', 40))")))
@@ -111,7 +111,7 @@ NODES = """nodes AS (SELECT 'R' || r_regionkey AS id, NULL AS parent, r_regionke
 
 @query(f"WITH RECURSIVE {NODES}, w AS (SELECT id AS root, id, 0 AS depth FROM nodes WHERE parent IS NULL UNION ALL SELECT w.root, n.id, depth + 1 FROM w JOIN nodes n ON n.parent = w.id) SELECT root, id, depth::INT AS depth FROM w")
 def subtree(t: Tables) -> DataFrame:
-    return graph.subtree(nodes(t), nodes(t).where("parent is null").select("id"), 3).select("root", "id", "depth")
+    return graph.subtree(nodes(t), nodes(t).where("parent is null").select("id")).select("root", "id", "depth")
 
 
 @query(f"WITH {NODES} SELECT a.id, b.id AS ancestor, (len(string_split(a.id, ':')) - len(string_split(b.id, ':')))::INT AS steps FROM nodes a JOIN nodes b ON a.id = b.id OR starts_with(a.id, b.id || ':')")
@@ -134,7 +134,7 @@ def neighbourhood(t: Tables) -> DataFrame:
 def citation_chains(t: Tables) -> DataFrame:
     first = t.nation.groupBy("n_regionkey").agg(F.min_by("n_name", "n_nationkey").alias("n"))
     cites = first.select(F.col("n_regionkey").cast("string").alias("cite"), F.concat(F.lit("R"), "n_regionkey").alias("scope"), F.array(F.struct(F.lit("nation").alias("kind"), F.col("n").alias("ident"))).alias("path"))
-    return graph.resolved(cites, nodes(t).select("id", "kind", "ident"), 2)
+    return graph.resolved(cites, nodes(t).select("id", "kind", "ident"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0 WHEN p_size % 4 = 1 THEN 1 WHEN p_size % 4 = 2 THEN 2 ELSE 4 END AS place FROM part")
