@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bids, documents, jobs, reviews, sequences
+from . import bids, documents, jobs, reviews, sequences, structure
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (bids, documents, sequences, jobs, reviews):
+for _module in (bids, documents, sequences, jobs, reviews, structure):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
