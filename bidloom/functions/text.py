@@ -27,9 +27,11 @@ def plain(x: Column) -> Column:
 
 def normalise(text: Column | str) -> Column:
     """Lower case, all but a-z and 0-9 to single spaces, month names to three letters."""
-    words = F.array_remove(F.split(F.regexp_replace(F.lower(F.coalesce(col(text).cast("string"), F.lit(""))), "[^a-z0-9]+", " "), " "), "")
+    flat = F.trim(F.regexp_replace(F.lower(F.coalesce(col(text).cast("string"), F.lit(""))), "[^a-z0-9]+", " "))
     months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(months, w), w)), " ")
+    # Only texts with the name of a month are taken apart.
+    short = lambda x: F.array_join(F.transform(F.split(x, " "), lambda w: F.coalesce(F.try_element_at(months, w), w)), " ")
+    return once(flat, lambda x: F.when(x.rlike(r"\b(" + "|".join(MONTHS) + r")\b"), short(x)).otherwise(x))
 
 
 def padded(text: Column | str) -> Column:

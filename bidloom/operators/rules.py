@@ -27,12 +27,15 @@ DECISIONS = ("pass", "dormant", "disqualified")
 
 def few(rules: DataFrame) -> DataFrame:
     """rules with a broadcast hint, once a count has shown that they are metadata indeed."""
-    n = rules.limit(MOST_RULES + 1).count()
-    if n > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+    counted(rules)
     return F.broadcast(rules)
 
 
+def counted(rules: DataFrame) -> None:
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+
+
 def presence(value: Column, redacted: Column) -> Column:
     """redacted, blank, not_applicable or filled; 0 and "nil" are filled."""
     v = F.trim(value.cast("string"))
@@ -117,10 +120,11 @@ def parsed(params: Column) -> Column:
     )
 
 
-def judged(kind: Column, value: Column, printed: Column, corrected: Column, p: Column, first: Column, second: Column, other: Column) -> Column:
+def judged(kind: Column, value: Column, printed: Column, corrected: Column, p: Column, first: Column, second: Column, other: Column, asked: set[str] | None = None) -> Column:
     """struct<result, detail> of a comparison: match, mismatch or unstated; null for presence kinds and without a value.
 
-    p: as parsed; first and second: the math check's inputs; other: what the other document prints.
+    p: as parsed; first and second: the math check's inputs; other: what the other document prints; asked: the kinds that
+    can occur, where that is known.
     """
     said = lambda ok: F.when(ok, "match").otherwise("mismatch")
     answer = lambda result, *detail: F.struct((F.lit(result) if isinstance(result, str) else result).alias("result"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in detail]).alias("detail"))
@@ -167,32 +171,36 @@ def judged(kind: Column, value: Column, printed: Column, corrected: Column, p: C
     def by_kind(t: Column) -> Column:
         v, page, shown = t["value"], t["page"], t["shown"]
         inside = lambda at: lambda x: (x["key"] != "  ") & F.contains(at, x["key"])
-        a, b = text._number(first), text._number(second)
-        numbers = once(F.struct(a.alias("a"), b.alias("b"), text._number(v).alias("n")), lambda q: F.struct(q["a"].alias("a"), q["b"].alias("b"), q["n"].alias("n"), F.when(p["op"] == "product", q["a"] * q["b"]).when(p["op"] == "sum", q["a"] + q["b"]).alias("due")))
+
+        def numbers() -> Column:
+            a, b = text._number(first), text._number(second)
+            return once(F.struct(a.alias("a"), b.alias("b"), text._number(v).alias("n")), lambda q: F.struct(q["a"].alias("a"), q["b"].alias("b"), q["n"].alias("n"), F.when(p["op"] == "product", q["a"] * q["b"]).when(p["op"] == "sum", q["a"] + q["b"]).alias("due")))
+
         kinds = {
-            "value": F.when(p["expected"].isNull(), answer("unstated", "no expected value to compare with")).otherwise(answer(said(text.equal(v, p["expected"])), read(shown), ", expected '", p["expected"], "'")),
-            "range": once(F.struct(shown.alias("shown"), text._number(v).alias("n"), F.when(p["places"].isNotNull(), F.array_max(text.decimal_places(shown))).alias("written")), ranged),
-            "unit": F.when(none(p["units"]), answer("unstated", "no unit to compare with")).otherwise(once(text.padded(page), lambda at: answer(said(F.exists(p["units"], inside(at))), read(page), ", allowed ", F.array_join(p["units"]["text"], ", ")))),
-            "contains": F.when(none(p["phrases"]), answer("unstated", "no phrase to look for")).otherwise(once(F.struct(page.alias("page"), once(text.padded(page), lambda at: F.filter(p["phrases"], inside(at))).alias("found")), held)),
-            "date": once(dates.parse_date(shown), lambda day: dated(day, shown)),
-            "math": once(numbers, summed),
-            "cross_document_match": F.when(other.isNull(), answer("unstated", "the other field is blank")).otherwise(answer(said(text.agree(shown, other)), read(shown), ", the other reads '", other, "'")),
-            "human_only": answer("unstated", "a reviewer decides; no automated check"),
+            "value": lambda: F.when(p["expected"].isNull(), answer("unstated", "no expected value to compare with")).otherwise(answer(said(text.equal(v, p["expected"])), read(shown), ", expected '", p["expected"], "'")),
+            "range": lambda: once(F.struct(shown.alias("shown"), text._number(v).alias("n"), F.when(p["places"].isNotNull(), F.array_max(text.decimal_places(shown))).alias("written")), ranged),
+            "unit": lambda: F.when(none(p["units"]), answer("unstated", "no unit to compare with")).otherwise(once(text.padded(page), lambda at: answer(said(F.exists(p["units"], inside(at))), read(page), ", allowed ", F.array_join(p["units"]["text"], ", ")))),
+            "contains": lambda: F.when(none(p["phrases"]), answer("unstated", "no phrase to look for")).otherwise(once(F.struct(page.alias("page"), once(text.padded(page), lambda at: F.filter(p["phrases"], inside(at))).alias("found")), held)),
+            "date": lambda: once(dates.parse_date(shown), lambda day: dated(day, shown)),
+            "math": lambda: once(numbers(), summed),
+            "cross_document_match": lambda: F.when(other.isNull(), answer("unstated", "the other field is blank")).otherwise(answer(said(text.agree(shown, other)), read(shown), ", the other reads '", other, "'")),
+            "human_only": lambda: answer("unstated", "a reviewer decides; no automated check"),
         }
-        out = F.when(v.isNull(), None)
-        for k, x in kinds.items():
-            out = out.when(kind == k, x)
+        out = F.when(v.isNull(), F.lit(None).cast("struct<result:string,detail:string>"))
+        for k, made in kinds.items():
+            if asked is None or k in asked:
+                out = out.when(kind == k, made())
         return out
 
     on_page = F.coalesce(printed, value)
     return once(F.struct(value.alias("value"), on_page.alias("page"), F.when(F.coalesce(corrected, F.lit(False)), value).otherwise(on_page).alias("shown")), by_kind)
 
 
-def compare(kind: Column, value: Column, printed: Column, corrected: Column, params: Column, first: Column | None = None, second: Column | None = None, other: Column | None = None) -> Column:
-    """match, mismatch or unstated of one comparison with params as they are written."""
+def compare(kind: Column | str, value: Column, printed: Column, corrected: Column, params: Column, first: Column | None = None, second: Column | None = None, other: Column | None = None) -> Column:
+    """match, mismatch or unstated of one comparison with params as they are written; kind: a column, or the one kind."""
     none = F.lit(None).cast("string")
     first, second, other = (none if x is None else x for x in (first, second, other))
-    return judged(kind, value, printed, corrected, parsed(params), first, second, other)["result"]
+    return once(parsed(params), lambda p: judged(kind if isinstance(kind, Column) else F.lit(kind), value, printed, corrected, p, first, second, other, None if isinstance(kind, Column) else {kind}))["result"]
 
 
 #: "a - b" with a hyphen, a dash or "to".
@@ -277,7 +285,9 @@ def as_read(field: Column, chain: Column) -> Column:
 
 def _pairs(rules: DataFrame) -> dict[str, str | None]:
     """Rule to evaluable parent, and no parent where it isn't evaluable."""
-    rows = few(rules.select("rule_id", "parent", "evaluable")).collect()
+    rows = rules.select("rule_id", "parent", "evaluable").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     open_ = {r["rule_id"] for r in rows if r["evaluable"]}
     return {r["rule_id"]: r["parent"] if r["parent"] in open_ else None for r in rows}
 
@@ -375,15 +385,22 @@ def evaluated(fields: DataFrame, rules: DataFrame, slots: DataFrame | None = Non
     A field without a row is a blank. No outcomes: no row. No key and a blank field: no row. No key otherwise:
     needs_review. A value at `<rule_id>__outcome` chooses the outcome, where no comparison does.
     """
-    r = few(compiled(rules.where(F.size("outcomes") > 0), slots))
+    kinds = rules.select("check", F.map_contains_key("params", F.lit("blank_if")).alias("w"), (F.size("steps") > 0 if "steps" in rules.columns else F.lit(False)).alias("s")).limit(MOST_RULES + 1).collect()
+    if len(kinds) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    asked, chained = {k["check"] for k in kinds}, any(k["w"] or k["s"] for k in kinds)
+    r = F.broadcast(compiled(rules.where(F.size("outcomes") > 0), slots))
     df = bundled(fields).crossJoin(r)
     at = lambda k: F.try_element_at("f", k)
-    df = df.withColumn("x", at(F.col("field_id"))).withColumn("own", once(F.col("x"), lambda x: as_read(x, F.col("chain"))))
-    first, second = (as_read(at(F.col(k)), F.col(f"chain_{k}"))["value"] for k in ("first", "second"))
-    other = once(at(F.col("other")), lambda o: F.when(as_read(o, F.col("chain_other"))["value"].isNotNull(), F.coalesce(o["printed"], o["value"])))
+    # Without rules that normalise, fields are as they were read.
+    plain = lambda x: F.struct(x["value"].alias("value"), x["printed"].alias("printed"), F.array().cast("array<string>").alias("failed"))
+    seen = (lambda x, chain: as_read(x, F.col(chain))) if chained else (lambda x, chain: plain(x))
+    df = df.withColumn("x", at(F.col("field_id"))).withColumn("own", once(F.col("x"), lambda x: seen(x, "chain")))
+    first, second = (seen(at(F.col(k)), f"chain_{k}")["value"] for k in ("first", "second"))
+    other = once(at(F.col("other")), lambda o: F.when(seen(o, "chain_other")["value"].isNotNull(), F.coalesce(o["printed"], o["value"])))
     failed = F.array_contains("own.failed", F.col("rule_id"))
     unread = F.struct(F.lit("unstated").alias("result"), F.concat(F.lit("'"), F.col("own.value"), F.lit("' could not be settled; a reviewer corrects it")).alias("detail"))
-    said = once(F.col("own"), lambda o: judged(F.col("check"), o["value"], o["printed"], F.col("x.corrected"), F.col("p"), first, second, other))
+    said = once(F.col("own"), lambda o: judged(F.col("check"), o["value"], o["printed"], F.col("x.corrected"), F.col("p"), first, second, other, asked))
     df = df.withColumn("said", F.when(failed, unread).otherwise(said))
     df = df.withColumn("state", presence(F.col("own.value"), F.col("x.redacted")))
     outcomes = F.col("outcomes")

@@ -211,7 +211,7 @@ def verdicts_after_engine(t: Tables) -> DataFrame:
 def _compared(kind: str, value, params: dict, **more) -> F.Column:
     p = F.create_map(*[F.lit(x).cast("string") if not isinstance(x, F.Column) else x.cast("string") for kv in params.items() for x in kv])
     none = F.lit(None).cast("string")
-    return rules.compare(F.lit(kind), value, none, F.lit(False), p, **more)
+    return rules.compare(kind, value, none, F.lit(False), p, **more)
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice::DECIMAL(18,2) BETWEEN 5000 AND 150000 THEN 'match' ELSE 'mismatch' END AS result FROM orders")
