@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bids, documents, jobs, reports, reviews, sequences, structure
+from . import bids, documents, geometry, jobs, reports, reviews, sequences, structure
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (bids, documents, sequences, jobs, reviews, structure, reports):
+for _module in (bids, documents, sequences, jobs, reviews, structure, reports, geometry):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
