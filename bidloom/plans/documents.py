@@ -68,6 +68,21 @@ def water_fill_shares(t: Tables) -> DataFrame:
     return by.select("doc_id", F.inline(rel.water_fill(F.col("lengths"), 2000)))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT -p_partkey, repeat('1. Heading text' || chr(10), p_size) || repeat('x', (p_partkey % 50) * 100) FROM part),
+ n AS (SELECT doc_id, len(regexp_extract_all(text, '(?m)^\s*(?:[0-9]+\.|PART|Annex)\s*\S'))::BIGINT AS headings, length(text)::BIGINT AS chars FROM d) SELECT * FROM n WHERE headings >= 8 AND chars < 200 * headings""")
 def contents_like(t: Tables) -> DataFrame:
-    return docs.contents_like(t.documents)
+    """Whole documents, and tables of contents made of parts."""
+    made = t.part.select((-F.col("p_partkey")).alias("doc_id"), F.concat(F.expr("repeat('1. Heading text\\n', p_size)"), F.expr("repeat('x', cast(p_partkey % 50 * 100 as int))")).alias("text"))
+    return docs.contents_like(t.documents.select("doc_id", "text").unionByName(made))
+
+
+SHARES = (((10, 2, 50), 30, (10, 2, 18)), ((5, 5, 5), 9, (3, 3, 3)), ((100,), 30, (30,)), ((1, 1, 1, 97), 50, (1, 1, 1, 47)), ((7, 7), 100, (7, 7)))
+
+
+@query("SELECT g::INT AS g, i::INT AS i, share::INT AS share FROM (VALUES " + ", ".join(f"({g}, {i}, {x})" for g, (_, _, out) in enumerate(SHARES) for i, x in enumerate(out)) + ") v(g, i, share)")
+def water_fill_edges(t: Tables) -> DataFrame:
+    df = None
+    for g, (lengths, total, _) in enumerate(SHARES):
+        one = t.spark.range(1).select(F.lit(g).alias("g"), F.inline(rel.water_fill(F.array(*map(F.lit, lengths)), total)))
+        df = one if df is None else df.unionByName(one)
+    return df.toDF("g", "i", "share").select("g", F.col("i").cast("int"), F.col("share").cast("int"))
