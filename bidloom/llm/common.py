@@ -37,6 +37,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def hinted(small: DataFrame) -> DataFrame:
     """small (saved, so that measuring it is cheap) with a broadcast hint if its rows and bytes are proven few."""
     width = F.lit(0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .curriculum import ORACLE as MIXING_SQL
 from .url_rules import ORACLE as URL_SQL
+from .vector_codes import ORACLE as CODES_SQL
 from .warc import ORACLE as WARC_SQL
 
 
@@ -79,6 +80,14 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(laid_out(_read(spark, sf_dir, "documents"))).select("row.doc_id", "path", "own", "cosine", "licence", "from_path", "how")
 
 
+def op12_delta_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import encoded, fingerprint, with_label_errors
+
+    codes, books = encoded(_read(spark, sf_dir, "embeddings"))
+    out = with_label_errors(codes)
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(fingerprint(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,7 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_jaccard_join,
         op9_license_scan,
         op10_quality_rules,
+        op12_delta_lloyd_codes,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_url_filters": URL_SQL, "op6_mixing_curriculum": MIXING_SQL, "op7_warc_bundles": WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": URL_SQL, "op6_mixing_curriculum": MIXING_SQL, "op7_warc_bundles": WARC_SQL, "op12_delta_lloyd_codes": CODES_SQL}
