@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .curriculum import ORACLE as MIXING_SQL
+from .repair import ORACLE as REPAIR_SQL
 from .url_rules import ORACLE as URL_SQL
 from .vector_codes import ORACLE as CODES_SQL
 from .warc import ORACLE as WARC_SQL
@@ -80,6 +81,13 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(laid_out(_read(spark, sf_dir, "documents"))).select("row.doc_id", "path", "own", "cosine", "licence", "from_path", "how")
 
 
+def op11_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import sharded
+
+    out = sharded(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op12_delta_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_codes import encoded, fingerprint, with_label_errors
 
@@ -88,6 +96,12 @@ def op12_delta_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(fingerprint(books)).alias("codebooks_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import damaged, digested, repaired
+
+    return digested(repaired(damaged(_read(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -101,8 +115,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_jaccard_join,
         op9_license_scan,
         op10_quality_rules,
+        op11_karmarkar_karp_shards,
         op12_delta_lloyd_codes,
+        op13_conversation_repair,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_url_filters": URL_SQL, "op6_mixing_curriculum": MIXING_SQL, "op7_warc_bundles": WARC_SQL, "op12_delta_lloyd_codes": CODES_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filters": URL_SQL,
+    "op6_mixing_curriculum": MIXING_SQL,
+    "op7_warc_bundles": WARC_SQL,
+    "op12_delta_lloyd_codes": CODES_SQL,
+    "op13_conversation_repair": REPAIR_SQL,
+}
