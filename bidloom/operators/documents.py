@@ -62,54 +62,6 @@ def quotes_on_texts(quotes: DataFrame, texts: DataFrame, head: int = 6) -> DataF
     return out.where(F.contains("p", F.concat(F.lit(" "), "q", F.lit(" ")))).select("item_id", "doc_id").distinct()
 
 
-_RANGE = re.compile(r"^(?P<a>[A-Z]|\d+|\([a-z]+\))\s+to\s+(?P<b>[A-Z]|\d+|\([a-z]+\))$")
-_CITE = re.compile(r"\b(?P<kind>[Cc]lauses?|[Pp]arts?|[Aa]nnex(?:es)?|[Ss]chedules?|[Ss]ections?)\s+(?P<list>(?:\d+(?:\.\d+)*(?:\([a-z]+\))*|\([a-z]+\)|[A-Z](?![a-z]))(?:\s*(?:,|and|or|to)\s*(?:\d+(?:\.\d+)*(?:\([a-z]+\))*|\([a-z]+\)|[A-Z](?![a-z])))*)")
-_ONE = re.compile(r"\d+(?:\.\d+)*(?:\([a-z]+\))*|\([a-z]+\)|[A-Z](?![a-z])")
-
-
-def _spread(a: str, b: str) -> list[str]:
-    """The members of a range "2 to 4", "A to D" or "(a) to (c)"; its ends if it is none."""
-    x, y = a.strip("()"), b.strip("()")
-    wrap = (lambda s: f"({s})") if a.startswith("(") else (lambda s: s)
-    if x.isdigit() and y.isdigit() and int(x) <= int(y):
-        return [str(i) for i in range(int(x), int(y) + 1)]
-    if len(x) == len(y) == 1 and x.isalpha() and y.isalpha() and x <= y:
-        return [wrap(chr(i)) for i in range(ord(x), ord(y) + 1)]
-    return [a, b]
-
-
-def parse_citations(text: str | None) -> list[tuple[str, str, list[str]]]:
-    """(kind, number, items) of each cited clause, part, annex, schedule or section, lists and ranges spelled out."""
-    out = []
-    for m in _CITE.finditer(text or ""):
-        kind = re.sub(r"(?<=annex)es$|(?<!anne)s$", "", m["kind"].lower())
-        marks = list(_ONE.finditer(m["list"]))
-        i = 0
-        while i < len(marks):
-            one = marks[i].group()
-            joined = m["list"][marks[i].end() : marks[i + 1].start()].strip() if i + 1 < len(marks) else ""
-            many = _spread(one, marks[i + 1].group()) if joined == "to" else [one]
-            i += 2 if joined == "to" else 1
-            for x in many:
-                number, items = re.match(r"^[^(]*", x).group(), re.findall(r"\([a-z]+\)", x)
-                if not number and out and out[-1][0] == kind:
-                    out.append((kind, out[-1][1], items))
-                else:
-                    out.append((kind, number, items))
-    return out
-
-
-def citations(docs: DataFrame) -> DataFrame:
-    """(doc_id, ord, kind, number, items) of every text, a batch at a time."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            rows = [(d, i, *c) for d, t in zip(df["doc_id"], df["text"], strict=True) for i, c in enumerate(parse_citations(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "ord", "kind", "number", "items"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ord int, kind string, number string, items array<string>")
-
-
 _ROMAN = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii"]
 
 

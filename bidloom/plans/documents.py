@@ -57,11 +57,6 @@ def content_hash(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.content_id("lang", "source").alias("id"), (F.length("text") >= 100).alias("has_text"), (F.length(F.trim("text")) >= 20).alias("native"))
 
 
-@query()
-def parse_citations(t: Tables) -> DataFrame:
-    return docs.citations(t.documents)
-
-
 @query()
 def water_fill_shares(t: Tables) -> DataFrame:
     by = lines(t).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", F.length("line").alias("n")))), lambda x: x["n"]).alias("lengths"))

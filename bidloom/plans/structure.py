@@ -61,14 +61,3 @@ def schedule_items(t: Tables) -> DataFrame:
     rows = [(k, i, m) for k, v in CHAINS.items() for i, m in enumerate(v.split())]
     df = t.spark.createDataFrame(rows, "part string, ord int, marker string")
     return docs.per_group(df, ["part"], "ord", "marker", "item", "boolean", structure.item_chain).where("item").select("part", "ord")
-
-
-CITED = ("see Clauses 2 to 4 and 7(a)", "Annexes A to C or E", "in Clause 12.3(b)(ii), sub-items (c) and (d)", "nothing here", "Clause 300 to 620 apply")
-
-
-@query("SELECT doc_id::BIGINT AS doc_id, kind, number, items FROM (VALUES " + _values((
-    (0, "clause", "2", ""), (0, "clause", "3", ""), (0, "clause", "4", ""), (0, "clause", "7", "(a)"), (1, "annex", "A", ""), (1, "annex", "B", ""), (1, "annex", "C", ""), (1, "annex", "E", ""), (2, "clause", "12.3", "(b)(ii)"), *((4, "clause", str(i), "") for i in range(300, 621)),
-)) + ") v(doc_id, kind, number, items)")
-def cited_places(t: Tables) -> DataFrame:
-    df = t.spark.createDataFrame(list(enumerate(CITED)), "doc_id long, text string")
-    return docs.citations(df).select("doc_id", "kind", "number", F.array_join("items", "").alias("items"))
