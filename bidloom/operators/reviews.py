@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import agree
 from ..functions.vocab import SEVERITY
+from .rules import few
 
 #: What a drafted rule's blank means by Part of the schedule.
 BLANK_BY_PART = {"A": "disqualified", "B": "dormant", "C": "pass"}
@@ -48,7 +49,7 @@ def missing_offers(offers: DataFrame, results: DataFrame, version: DataFrame) ->
 def forms_without_pages(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Items of Part A whose form has no page. items: part, form; pages: run_id, form."""
     runs = pages.select("run_id").distinct()
-    return runs.crossJoin(F.broadcast(items.where("part = 'A'").limit(10_000))).join(pages.select("run_id", "form").distinct(), ["run_id", "form"], "left_anti")
+    return runs.crossJoin(few(items.where("part = 'A'"))).join(pages.select("run_id", "form").distinct(), ["run_id", "form"], "left_anti")
 
 
 def uncovered(nodes: DataFrame, cited: DataFrame, covered: DataFrame) -> DataFrame:

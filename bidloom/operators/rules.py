@@ -283,40 +283,50 @@ def as_read(field: Column, chain: Column) -> Column:
     return F.when(F.size(chain) > 0, F.aggregate(chain, F.aggregate(chain, start, blank), steps)).otherwise(start)
 
 
-def _pairs(rules: DataFrame) -> dict[str, str | None]:
-    """Rule to evaluable parent, and no parent where it isn't evaluable."""
-    rows = rules.select("rule_id", "parent", "evaluable").limit(MOST_RULES + 1).collect()
+def scoped(rules: DataFrame) -> list[str]:
+    """The column that tells rule sets apart, where rules have one: then rule ids and letters are theirs."""
+    return ["ruleset"] if "ruleset" in rules.columns else []
+
+
+def _pairs(rules: DataFrame) -> dict[tuple, tuple | None]:
+    """(rule set or nothing, rule) to evaluable parent, and no parent where it isn't evaluable."""
+    rows = rules.select(*scoped(rules), "rule_id", "parent", "evaluable").limit(MOST_RULES + 1).collect()
     if len(rows) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    open_ = {r["rule_id"] for r in rows if r["evaluable"]}
-    return {r["rule_id"]: r["parent"] if r["parent"] in open_ else None for r in rows}
+    key = lambda r, c: (*r[:-3], r[c])
+    open_ = {key(r, "rule_id") for r in rows if r["evaluable"]}
+    return {key(r, "rule_id"): key(r, "parent") if key(r, "parent") in open_ else None for r in rows}
 
 
 def cyclic(rules: DataFrame) -> DataFrame:
     """Rules that are their own ancestor. rules: rule_id, parent."""
-    parents = _pairs(rules.select("rule_id", "parent", F.lit(True).alias("evaluable")))
+    parents = _pairs(rules.select(*scoped(rules), "rule_id", "parent", F.lit(True).alias("evaluable")))
     found = []
     for rule in parents:
         at, seen = parents[rule], set()
         while at is not None and at != rule and at not in seen:
             seen.add(at)
             at = parents.get(at)
-        found += [(rule,)] if at == rule else []
-    return rules.sparkSession.createDataFrame(found, "rule_id string")
+        found += [rule] if at == rule else []
+    return rules.sparkSession.createDataFrame(found, _ids(rules))
+
+
+def _ids(rules: DataFrame) -> str:
+    return "".join(f"{c} {rules.schema[c].dataType.simpleString()}, " for c in scoped(rules)) + "rule_id string"
 
 
 def ancestors(rules: DataFrame) -> DataFrame:
-    """(rule_id, ancestor) over evaluable parents, however many; one that isn't evaluable ends the chain, a cycle raises."""
+    """(rule_id, ancestor), of each rule set, over evaluable parents, however many; one that isn't evaluable ends the chain, a cycle raises."""
     parents, out = _pairs(rules), []
     for rule in parents:
         at, seen = parents[rule], set()
         while at is not None:
             if at in seen or at == rule:
-                raise ValueError(f"the rules above {rule} form a cycle")
+                raise ValueError(f"the rules above {rule[-1]} form a cycle")
             seen.add(at)
             at = parents.get(at)
-        out += [(rule, x) for x in seen]
-    return rules.sparkSession.createDataFrame(out, "rule_id string, ancestor string")
+        out += [(*rule, x[-1]) for x in seen]
+    return rules.sparkSession.createDataFrame(out, f"{_ids(rules)}, ancestor string")
 
 
 def resolution_order(rules: DataFrame) -> list[str]:
@@ -326,11 +336,11 @@ def resolution_order(rules: DataFrame) -> list[str]:
         chain = []
         while rule is not None and rule not in out:
             if rule in chain:
-                raise ValueError(f"the rules above {rule} form a cycle")
+                raise ValueError(f"the rules above {rule[-1]} form a cycle")
             chain.append(rule)
             rule = parents.get(rule)
         out |= dict.fromkeys(reversed(chain))
-    return list(out)
+    return [r[-1] for r in out]
 
 
 def visible(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -339,8 +349,9 @@ def visible(rows: DataFrame, rules: DataFrame) -> DataFrame:
     No order of evaluation: a rule's own result never depends on its parent. A run has at most one row per rule, so its
     rows fit one array, and one aggregation by run suffices; rules are a few hundred.
     """
-    anc = F.broadcast(ancestors(rules).groupBy("rule_id").agg(F.collect_set("ancestor").alias("_above")))
-    wide = rows.join(anc, "rule_id", "left").groupBy("run_id").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "run_id"], "_above")).alias("_r"))
+    keys = [*scoped(rules), "rule_id"]
+    anc = F.broadcast(ancestors(rules).groupBy(*keys).agg(F.collect_set("ancestor").alias("_above")))
+    wide = rows.join(anc, keys, "left").groupBy("run_id").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "run_id"], "_above")).alias("_r"))
     open_ = F.transform(F.filter("_r", lambda r: ~r["status"].isin("disqualified", "dormant")), lambda r: r["rule_id"])
     kept = F.filter("_r", lambda r: F.coalesce(F.size(F.array_except(r["_above"], F.col("_open"))) == 0, F.lit(True)))
     return wide.withColumn("_open", open_).select("run_id", F.inline(kept)).select(*rows.columns)
@@ -354,43 +365,62 @@ def bundled(fields: DataFrame) -> DataFrame:
 
 def compiled(rules: DataFrame, slots: DataFrame | None = None) -> DataFrame:
     """Rules with what their rows need: params with slots filled in and parsed, qualified inputs, and the chains of rules
-    that normalise the fields they read. slots: letter, name, value."""
+    that normalise the fields they read, all within a rule set where there are several. slots: letter, name, value, and
+    ruleset where rules have it."""
+    of = scoped(rules)
     have = lambda c, kind: F.col(c) if c in rules.columns else F.lit(None).cast(kind)
     r = rules.withColumns({"letter": F.coalesce(have("letter", "string"), F.lit("")), "row_ord": have("row_ord", "int"), "steps": F.coalesce(have("steps", "array<struct<op:string,figures:int>>"), F.array().cast("array<struct<op:string,figures:int>>"))})
     if slots is not None:
-        by = slots.groupBy("letter").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("_slots"))
-        r = r.join(by, "letter", "left").withColumn("params", F.transform_values("params", lambda k, v: rendered(v, F.coalesce("_slots", F.create_map().cast("map<string,string>"))))).drop("_slots")
+        by = slots.groupBy(*of, "letter").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("_slots"))
+        r = r.join(by, [*of, "letter"], "left").withColumn("params", F.transform_values("params", lambda k, v: rendered(v, F.coalesce("_slots", F.create_map().cast("map<string,string>"))))).drop("_slots")
     prefix = F.regexp_replace("field_id", r"\.?[^.]*$", "")
     named = lambda x: F.when(x.isNull(), None).when(F.contains(x, F.lit(".")) | (prefix == ""), x).otherwise(F.concat(prefix, F.lit("."), x))
     inputs = F.split(F.try_element_at("params", F.lit("inputs")), r"\|")
     words = F.try_element_at("params", F.lit("blank_if"))
     name = F.replace(F.regexp_replace("field_id", r"^.*\.", ""), F.lit("_"), F.lit(" "))
     r = r.select(
-        "rule_id", "field_id", F.coalesce(have("label", "string"), name).alias("label"), "check", F.col("stage"), "letter", "row_ord", "parent", "outcomes", "tier" if "tier" in rules.columns else F.lit(None).cast("string").alias("tier"),
+        *of, "rule_id", "field_id", F.coalesce(have("label", "string"), name).alias("label"), "check", F.col("stage"), "letter", "row_ord", "parent", "outcomes", "tier" if "tier" in rules.columns else F.lit(None).cast("string").alias("tier"),
         parsed(F.col("params")).alias("p"), prefix.alias("prefix"), named(F.get(inputs, F.lit(0))).alias("first"), named(F.get(inputs, F.lit(1))).alias("second"),
         named(F.coalesce(F.try_element_at("params", F.lit("other")), F.try_element_at("params", F.lit("field")))).alias("other"),
         have("entered_by", "string").alias("entered_by"), F.struct("rule_id", F.when(words.isNotNull(), F.split(words, r"\|")).alias("words"), "steps").alias("own"),
     )
-    chains = r.where("own.words is not null or size(own.steps) > 0").groupBy("letter", "field_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_ord", "own"))), lambda x: x["own"]).alias("chain"))
+    chains = r.where("own.words is not null or size(own.steps) > 0").groupBy(*of, "letter", "field_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_ord", "own"))), lambda x: x["own"]).alias("chain"))
     for key, to in (("field_id", "chain"), ("first", "chain_first"), ("second", "chain_second"), ("other", "chain_other")):
-        r = r.join(chains.select("letter", F.col("field_id").alias(key), F.col("chain").alias(to)), ["letter", key], "left")
+        r = r.join(chains.select(*of, "letter", F.col("field_id").alias(key), F.col("chain").alias(to)), [*of, "letter", key], "left")
         r = r.withColumn(to, F.coalesce(to, F.array().cast(chains.schema["chain"].dataType)))
     return r.drop("own")
 
 
-def evaluated(fields: DataFrame, rules: DataFrame, slots: DataFrame | None = None) -> DataFrame:
+def met(fields: DataFrame, r: DataFrame, runs: DataFrame | None) -> DataFrame:
+    """Each run's fields, as f, with each rule that it has to meet.
+
+    Without runs there is one rule set for all, of MOST_RULES at most. With runs (run_id, ruleset) each meets the rules of its own: these are packed
+    into one row for each rule set, joined by equality and spread out afterwards, so rules of other projects cost
+    nothing and a rule set that a third of all runs share is split like any skewed key. Runs without fields meet theirs too.
+    """
+    if runs is None:
+        return bundled(fields).crossJoin(F.broadcast(r))
+    packed = r.groupBy("ruleset").agg(F.collect_list(F.struct(*[c for c in r.columns if c != "ruleset"])).alias("_rules"))
+    none = F.create_map().cast(bundled(fields).schema["f"].dataType)
+    df = runs.select("run_id", "ruleset").join(bundled(fields), "run_id", "left").join(packed, "ruleset")
+    return df.select("run_id", "ruleset", F.coalesce("f", none).alias("f"), F.inline("_rules"))
+
+
+def evaluated(fields: DataFrame, rules: DataFrame, slots: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
     """A row for each run and rule that says something: run_id, rule_id, field_id, field, letter, row_ord, status, note,
-    stage, redacted, value, and what overrides ask for. rules: with resolved outcomes.
+    stage, redacted, value, and what overrides ask for. rules: with resolved outcomes; with a column ruleset, runs tells
+    which one each run is held against, and rows have it too.
 
     A field without a row is a blank. No outcomes: no row. No key and a blank field: no row. No key otherwise:
     needs_review. A value at `<rule_id>__outcome` chooses the outcome, where no comparison does.
     """
-    kinds = rules.select("check", F.map_contains_key("params", F.lit("blank_if")).alias("w"), (F.size("steps") > 0 if "steps" in rules.columns else F.lit(False)).alias("s")).limit(MOST_RULES + 1).collect()
-    if len(kinds) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+    if (runs is not None) != bool(scoped(rules)):
+        raise ValueError("rules have a column ruleset if and only if runs say which rule set is theirs")
+    if runs is None:
+        counted(rules)
+    kinds = rules.select("check", F.map_contains_key("params", F.lit("blank_if")).alias("w"), (F.size("steps") > 0 if "steps" in rules.columns else F.lit(False)).alias("s")).distinct().collect()
     asked, chained = {k["check"] for k in kinds}, any(k["w"] or k["s"] for k in kinds)
-    r = F.broadcast(compiled(rules.where(F.size("outcomes") > 0), slots))
-    df = bundled(fields).crossJoin(r)
+    df = met(fields, compiled(rules.where(F.size("outcomes") > 0), slots), runs)
     at = lambda k: F.try_element_at("f", k)
     # Without rules that normalise, fields are as they were read.
     plain = lambda x: F.struct(x["value"].alias("value"), x["printed"].alias("printed"), F.array().cast("array<string>").alias("failed"))
@@ -418,7 +448,7 @@ def evaluated(fields: DataFrame, rules: DataFrame, slots: DataFrame | None = Non
         (form.isNotNull() & (F.lower(form) != "false")).alias("form_there"),
     )
     # A filter would be pushed below the comparison and repeat it; a generator isn't.
-    return df.select("run_id", F.inline(F.when(F.col("key").isNotNull() | (F.col("state") != "blank"), F.array(row))))
+    return df.select("run_id", *scoped(rules), F.inline(F.when(F.col("key").isNotNull() | (F.col("state") != "blank"), F.array(row))))
 
 
 def overridden(status: Column, verified: Column, key_present: Column, page_present: Column, by_reviewer: Column, decision: Column, form_present: Column, corrected: Column, redacted: Column, blank: Column, located: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
-from ..operators import pricing, rules, store
+from ..operators import pricing, reviews, rules, store
 from .base import Tables, registrar
 
 QUERIES, ORACLE_SQL, query = registrar()
@@ -164,6 +164,31 @@ def tender_verdicts(t: Tables) -> DataFrame:
     return rules.tender_verdicts(rules.stage_summary(visible_rows(t)))
 
 
+RULE_SETS = """SELECT ruleset, rule_id, field_id, check, tier, 'I' AS stage, parent, letter, 1 AS row_ord, cast(null as map<string,struct<status:string,note:string>>) AS outcomes, params, true AS evaluable FROM VALUES
+ ('p1:1','total','form.total','range','critical','status','b',map('min','1000','max','150000')), ('p1:1','status','form.status','filled','mandatory',null,'a',map('x','')),
+ ('p1:2','total','form.total','range','critical',null,'b',map('min','{least}','max','300000')), ('p1:2','status','form.status','filled','critical','total','a',map('x','')),
+ ('p2:1','total','form.total','filled','mandatory',null,'b',map('x',''))
+ AS r(ruleset,rule_id,field_id,check,tier,parent,letter,params)"""
+
+
+@query(f"""WITH {FIELDS}, r AS (SELECT o_orderkey AS run_id, CASE o_orderkey % 3 WHEN 0 THEN 'p1:1' WHEN 1 THEN 'p1:2' ELSE 'p2:1' END AS ruleset FROM orders),
+ s AS (SELECT r.*, t.state IS NOT NULL AS there, t.value::DOUBLE AS total, x.state FROM r LEFT JOIN states t ON t.run_id = r.run_id AND t.field_id = 'form.total' JOIN states x ON x.run_id = r.run_id AND x.field_id = 'form.status'),
+ v AS (SELECT *, CASE state WHEN 'filled' THEN 'pass' WHEN 'blank' THEN CASE ruleset WHEN 'p1:1' THEN 'dormant' ELSE 'disqualified' END ELSE 'needs_review' END AS status,
+  CASE ruleset WHEN 'p1:1' THEN CASE WHEN NOT there THEN 'disqualified' WHEN total BETWEEN 1000 AND 150000 THEN 'pass' ELSE 'needs_review' END
+   WHEN 'p1:2' THEN CASE WHEN NOT there THEN 'disqualified' WHEN total BETWEEN 50000 AND 300000 THEN 'pass' ELSE 'needs_review' END ELSE CASE WHEN there THEN 'pass' ELSE 'dormant' END END AS of_total FROM s)
+ SELECT run_id, ruleset, 'status' AS rule_id, status FROM v WHERE ruleset = 'p1:1' OR ruleset = 'p1:2' AND of_total <> 'disqualified'
+ UNION ALL SELECT run_id, ruleset, 'total', of_total FROM v WHERE ruleset <> 'p1:1' OR status <> 'dormant'""")
+def verdicts_by_ruleset(t: Tables) -> DataFrame:
+    """Runs of two projects, one with two versions of its rules: each is held against its own, in one call."""
+    table = t.spark.createDataFrame([("p1", 1, "p1:1"), ("p1", 2, "p1:2"), ("p2", 1, "p2:1"), ("p3", 1, "p3:1")], "project string, version int, ruleset string")
+    k = F.col("o_orderkey") % 3
+    results = t.orders.select(F.col("o_orderkey").alias("run_id"), F.when(k == 2, "p2").otherwise("p1").alias("project"), F.when(k == 1, 2).otherwise(1).alias("version"))
+    slots = t.spark.createDataFrame([("p1:2", "b", "least", "50,000"), ("p1:1", "b", "least", "9")], "ruleset string, letter string, name string, value string")
+    own = t.spark.sql(RULE_SETS)
+    rows = rules.evaluated(fields(t), rules.resolved_outcomes(own, t.spark.sql(TIERS)), slots, reviews.with_ruleset(results, table))
+    return rules.visible(rows, own).select("run_id", "ruleset", "rule_id", "status")
+
+
 KINDS = """SELECT rule_id, field_id, check, 'critical' AS tier, 'I' AS stage, cast(null as string) AS parent, 'a' AS letter, row_ord, cast(null as map<string,struct<status:string,note:string>>) AS outcomes, params, true AS evaluable FROM VALUES
  ('is_open','s.status','value',1,map('expected','O')), ('bounds','s.total','range',2,map('min','{least}','max','')), ('urgency','s.priority','unit',3,map('allowed','HIGH|URGENT')),
  ('no_medium','s.priority','contains',4,map('phrases','medium','absent','yes')), ('ordered','s.date','date',5,map('before','1st January 1996')), ('sum_right','s.total','math',6,map('inputs','half|half','op','sum')),
