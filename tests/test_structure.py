@@ -5,18 +5,6 @@ from bidloom.operators import graph, store
 from bidloom.streaming import runs
 
 
-def test_citations():
-    assert d.parse_citations("see clauses 2 to 4 and 7(a), Part A to C or Annex B") == [
-        ("clause", "2", []), ("clause", "3", []), ("clause", "4", []), ("clause", "7", ["(a)"]), ("part", "A", []), ("part", "B", []), ("part", "C", []), ("annex", "B", []),
-    ]
-    assert d.parse_citations(None) == []
-    import time
-
-    begin = time.time()
-    d.parse_citations("clauses " + ", ".join(f"{i}(a)" for i in range(200)))
-    assert time.time() - begin < 1
-
-
 def test_chains_and_levels():
     assert d.longest_chain(["a", "b", "x", "c", "a"]) == [0, 1, 3]
     assert d.longest_chain(["a", "a", "b"]) == [1, 2]
@@ -62,3 +50,35 @@ def test_corrections(spark):
     c = spark.createDataFrame([(1, "a", "6", "r"), (1, "b", "text", "r")], "run_id int, key string, value string, reason string")
     got = {r["field_id"]: (r["value"], r["printed"], r["verified"], r["model_value"]) for r in store.with_corrections(f, c).collect()}
     assert got == {"a": ("6", "5 mg", None, "5"), "b": ("text", None, None, "x")}
+
+
+def test_footers(spark):
+    from pyspark.sql import functions as F
+
+    from bidloom.operators import structure as s
+
+    pages = {
+        "text\nTerms of Tender Page 4 of 9": ("Terms of Tender", 4, 9), "a 3.2 Price (Rev) Form - B Page 1 of 2": ("Price (Rev) Form - B", 1, 2), "Ref. No. 7 (x)\nPage 2 of 3": ("Ref. No. 7 (x)", 2, 3), "Page 2 of 3\nG.F. 1\nbody": ("G.F. 1", 2, 3),
+        "Page 2 of 3\nG.F. 1": None, "Page 1 of 2\nPage 2 of 2\n": ("Page 2 of 2", 1, 2), "第十頁，共一百二十三頁\nG.F. 9\n正文": ("G.F. 9", 10, 123), "第百頁，共二〇頁\nG.F. 9\n正文": ("G.F. 9", 100, 0), "no numbers": None, "abc Page 1 of 2": None, "": None, None: None,
+        "G.F. 1\nPage 9 of 10\nLater Words Page 1 of 2": ("Later Words", 1, 2), "the Long " + "Name " * 12 + "Page 3 of 4": ("Name Name Name Name Name Name Name Name Name", 3, 4),
+    }
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, text string").select("i", s.page_footer(F.col("text")).alias("f"))
+    got = {r["i"]: None if r["f"] is None else tuple(r["f"]) for r in df.collect()}
+    for i, (text, want) in enumerate(pages.items()):
+        assert got[i] == want, text
+    numbers = {"一": 1, "十": 10, "十二": 12, "二十": 20, "九十九": 99, "一百": 100, "一百零三": 103, "二百一十": 210, "九百九十九": 999}
+    df = spark.createDataFrame(list(numbers), "string").select("value", s.zh_number(F.col("value")).alias("n"))
+    assert {r["value"]: r["n"] for r in df.collect()} == numbers
+
+
+def test_line_marks():
+    from bidloom.operators.structure import line_mark
+
+    cases = {
+        ("PART 4 — OFFER", "", ""): ("part_inline", "4", "OFFER"), ("PART 3A", "TITLE", ""): ("part", "3A", "TITLE"), ("PART XI-Title", "", ""): ("part_inline", "XI", "Title"), ("PART 4 – OFFER", "", ""): None, ("PART THE", "LAST", ""): None, ("PART 4 of", "A", ""): None,
+        ("Annex D", "Form of offer", ""): None, ("Annex D to the Terms", "Form", ""): ("annex", "D", "Form"), ("Annex 2 to the Terms", " ", "Form"): ("annex", "2", "Form"), ("Annex D to the Terms", "Page 1 of 2", ""): None, ("ANNEX D to the Terms", "Form", ""): None, ("Annex D to the Terms", "form", ""): None,
+        ("20. Title", "", ""): ("clause", "20", "Title"), ("20.", "  Title", ""): ("clause", "20", "Title"), ("20. title", "", ""): None, ("20.Title", "", ""): ("clause", "20", "Title"), ("20.2 For", "", ""): ("subclause", "20.2", None), ("20.2", "(For", ""): ("subclause", "20.2", None),
+        ("20.2 of", "", ""): None, ("20.2. For", "", ""): None, ("1.2.3 \"For", "", ""): ("subclause", "1.2.3", None), ("(a) x", "", ""): ("subitem", "a", None), ("(xiii)", "", ""): ("subitem", "xiii", None) if len("xiii") <= 4 else None, ("(abc)", "", ""): None, ("(1) x", "", ""): None, ("", "", ""): None,
+    }
+    for args, want in cases.items():
+        assert line_mark(*args) == want, args
