@@ -85,13 +85,16 @@ def scope_names(t: Tables) -> DataFrame:
     return cite.names(nodes(t)).select("project", "key", "node_id", "document")
 
 
-@query(f"""WITH {PATHS},
+LED = f"""WITH {PATHS},
  h AS (SELECT *, 'S' || s_suppkey || CASE WHEN starts_with(name, ' Price') THEN ':00-Price' ELSE ':01-Terms' END AS sub FROM c),
  r AS (SELECT doc_id, said, path, CASE kind
    WHEN 0 THEN [sub || ':P' || path[6] || ':1:' || regexp_extract(path, '1\\.[12]', 0) || CASE WHEN contains(path, '(') THEN ':' || regexp_extract(path, '\\(.\\)', 0) ELSE '' END]
    WHEN 1 THEN [sub || ':PB:2'] WHEN 2 THEN CASE WHEN path = 'number 9' THEN [NULL] ELSE [sub || ':P' || path[6]] END
-   ELSE CASE WHEN path = 'part IA' THEN [NULL] ELSE [sub || ':PA:' || path[8], sub || ':PB:' || path[8], sub || ':PC:' || path[8]] END END AS ids FROM h)
- SELECT doc_id, said AS name, path, unnest(ids) AS node_id, CASE WHEN ids[1] IS NULL THEN 'unresolved' WHEN len(ids) = 1 THEN 'unique' ELSE 'ambiguous' END AS outcome FROM r""")
+   ELSE CASE WHEN path = 'part IA' THEN [NULL] ELSE [sub || ':PA:' || path[8], sub || ':PB:' || path[8], sub || ':PC:' || path[8]] END END AS ids FROM h),
+ u AS (SELECT doc_id, said AS name, path, unnest(ids) AS node_id, CASE WHEN ids[1] IS NULL THEN 'unresolved' WHEN len(ids) = 1 THEN 'unique' ELSE 'ambiguous' END AS outcome FROM r)"""
+
+
+@query(f"{LED} SELECT * FROM u")
 def citations_resolved(t: Tables) -> DataFrame:
     docs, made = cited(t), nodes(t)
     path = F.array_join(F.transform("path", lambda x: F.concat(x["kind"], F.lit(" "), x["ident"])), " > ")
@@ -101,6 +104,12 @@ def citations_resolved(t: Tables) -> DataFrame:
     return found.join(cites.select("project", "cite", "doc_id", "name", F.col("said").alias("path")), ["project", "cite"]).select("doc_id", "name", "path", "node_id", "outcome")
 
 
+@query(f"{LED} SELECT node_id, count(*) AS times FROM u WHERE outcome = 'unique' GROUP BY node_id")
+def cited_places(t: Tables) -> DataFrame:
+    """How often each node is cited beyond doubt."""
+    return citations_resolved(t).where("outcome = 'unique'").groupBy("node_id").agg(F.count("*").alias("times"))
+
+
 @query(f"""WITH s AS (SELECT *, {W} AS w FROM supplier), v(x, k) AS (VALUES (' Price Schedule', ' price schedule'), (' Terms of Tender', ' term of tender'))
  SELECT doc_id, w || x AS name, lower(w) || k AS key FROM documents JOIN s ON doc_id % (SELECT count(*) FROM supplier) + 1 = s_suppkey, v WHERE doc_id % 6 = 4""")
 def document_mentions(t: Tables) -> DataFrame:

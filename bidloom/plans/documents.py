@@ -57,7 +57,9 @@ def content_hash(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.content_id("lang", "source").alias("id"), (F.length("text") >= 100).alias("has_text"), (F.length(F.trim("text")) >= 20).alias("native"))
 
 
-@query()
+@query(f"""WITH {LINES}, g AS (SELECT doc_id, list([n, page] ORDER BY n, page) AS l FROM (SELECT doc_id, page::BIGINT AS page, length(line)::BIGINT AS n FROM lines) GROUP BY doc_id),
+ f AS (SELECT doc_id, l, list_reduce(l, lambda a, x: [a[1] - least(x[1], a[1] // (len(l) - a[2])), a[2] + 1] || a[3:] || [least(x[1], a[1] // (len(l) - a[2]))], [2000::BIGINT, 0]) AS r FROM g)
+ SELECT doc_id, unnest(list_transform(l, lambda x: x[2]))::INT AS i, unnest(r[3:]) AS share FROM f""")
 def water_fill_shares(t: Tables) -> DataFrame:
     by = lines(t).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", F.length("line").alias("n")))), lambda x: x["n"]).alias("lengths"))
     return by.select("doc_id", F.inline(rel.water_fill(F.col("lengths"), 2000)))
@@ -69,15 +71,3 @@ def contents_like(t: Tables) -> DataFrame:
     """Whole documents, and tables of contents made of parts."""
     made = t.part.select((-F.col("p_partkey")).alias("doc_id"), F.concat(F.expr("repeat('1. Heading text\\n', p_size)"), F.expr("repeat('x', cast(p_partkey % 50 * 100 as int))")).alias("text"))
     return docs.contents_like(t.documents.select("doc_id", "text").unionByName(made))
-
-
-SHARES = (((10, 2, 50), 30, (10, 2, 18)), ((5, 5, 5), 9, (3, 3, 3)), ((100,), 30, (30,)), ((1, 1, 1, 97), 50, (1, 1, 1, 47)), ((7, 7), 100, (7, 7)))
-
-
-@query("SELECT g::INT AS g, i::INT AS i, share::INT AS share FROM (VALUES " + ", ".join(f"({g}, {i}, {x})" for g, (_, _, out) in enumerate(SHARES) for i, x in enumerate(out)) + ") v(g, i, share)")
-def water_fill_edges(t: Tables) -> DataFrame:
-    df = None
-    for g, (lengths, total, _) in enumerate(SHARES):
-        one = t.spark.range(1).select(F.lit(g).alias("g"), F.inline(rel.water_fill(F.array(*map(F.lit, lengths)), total)))
-        df = one if df is None else df.unionByName(one)
-    return df.toDF("g", "i", "share").select("g", F.col("i").cast("int"), F.col("share").cast("int"))

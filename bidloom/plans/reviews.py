@@ -260,11 +260,11 @@ TEXTS = ("[REDACTED]", "blacked-out", "████", "XXXX", "masked", " hidden
  e(i, covered, number, blank, places, obligation, meta) AS (VALUES (0, true, NULL, 'redacted', '', NULL, false), (1, true, NULL, 'blackedout', '', NULL, false), (2, true, NULL, '', '', NULL, false), (3, true, NULL, 'xxxx', '', NULL, false), (4, true, NULL, 'masked', '', NULL, false), (5, true, NULL, 'hidden', '', NULL, false),
  (6, false, NULL, 'xx', '', NULL, false), (7, false, 12345.6, '12 34560 kg', '0,2', NULL, false), (8, false, NULL, 'na', '', NULL, false), (9, false, NULL, 'nil', '', NULL, false), (10, false, NULL, '', '', NULL, false), (11, false, 2.5, '250 and 12000', '2,0', NULL, false), (12, false, 30.06, '30062026', '', NULL, false), (13, false, 2505.0, '2505', '3', NULL, false),
  (14, false, NULL, 'the conditions of tenders', '', NULL, false), (15, false, 3.0, 'clause 3 it shall do so then', '0', 'It shall do so;', false), (16, false, NULL, 'no modal here', '', NULL, false), (17, false, NULL, 'formfeeprinted', '', NULL, true), (18, false, NULL, 'formfee', '', NULL, false), (19, false, 7.0, '7day 2505', '0,3', NULL, false))
- SELECT i, covered, number::DOUBLE AS number, blank, places, obligation, meta FROM v JOIN e USING (i)""")
+ SELECT p_partkey, covered, number::DOUBLE AS number, blank, places, obligation, meta FROM v JOIN e USING (i) JOIN part ON p_partkey % (SELECT count(*) FROM v) = i""")
 def text_edges(t: Tables) -> DataFrame:
     """Readings on the edge of their definitions: covered values, spaced thousands, answers for nothing, decimal places."""
-    df = t.spark.createDataFrame(list(enumerate(TEXTS)), "i int, x string")
-    return df.select("i", text.redacted_reading("x").alias("covered"), text.coerced_number("x").alias("number"), text.blank_key("x").alias("blank"), F.array_join(F.transform(text.decimal_places("x"), lambda n: n.cast("string")), ",").alias("places"), text.obligation_sentence("x").alias("obligation"), text.is_meta("x").alias("meta"))
+    df = t.part.select("p_partkey", F.element_at(F.array(*[F.lit(x).cast("string") for x in TEXTS]), (F.col("p_partkey") % len(TEXTS) + 1).cast("int")).alias("x"))
+    return df.select("p_partkey", text.redacted_reading("x").alias("covered"), text.coerced_number("x").alias("number"), text.blank_key("x").alias("blank"), F.array_join(F.transform(text.decimal_places("x"), lambda n: n.cast("string")), ",").alias("places"), text.obligation_sentence("x").alias("obligation"), text.is_meta("x").alias("meta"))
 
 
 @query("""SELECT p_partkey, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS squashed, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS bare, regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, ceil(length(p_name) / 3.5)::BIGINT AS tokens,

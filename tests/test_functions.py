@@ -66,3 +66,14 @@ def test_water_fill_and_normalised_steps(spark):
     steps = F.array(F.struct(F.lit("round_significant_figures").alias("op"), F.lit(2).alias("figures")))
     assert one(spark, rules.normalised_steps(F.lit("2.85 mg"), steps))[0] == 2.9
     assert one(spark, rules.range_low_end(F.lit("5"), F.lit("3 - 5 mg"), F.lit(False)))[0] == 3.0
+
+
+def test_water_fill(spark):
+    from pyspark.sql import functions as F
+
+    from bidloom.operators import relational as rel
+
+    cases = [((10, 2, 50), 30, [10, 2, 18]), ((5, 5, 5), 9, [3, 3, 3]), ((100,), 30, [30]), ((1, 1, 1, 97), 50, [1, 1, 1, 47]), ((7, 7), 100, [7, 7])]
+    for lengths, total, want in cases:
+        row = spark.range(1).select(rel.water_fill(F.array(*map(F.lit, lengths)), total).alias("r")).first()
+        assert [x["share"] for x in row["r"]] == want
