@@ -18,8 +18,8 @@ from .common import saved
 CAPACITY = 1024
 #: Fixed: how byte-level BPE splits a text into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bins that are open at a time.
-OPEN_BINS = 4096
+#: Bins that are open at a time: on the documents table, four times as many leave as many sequences.
+OPEN_BINS = 64
 #: Pieces packed together, about: few enough for one task, many enough to fill bins.
 GROUP_PIECES = 8192
 #: Ranges of the training order that are told apart, at most.
@@ -155,10 +155,11 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     A document longer than `capacity` tokens is cut, its first piece the shorter one. Pieces are dealt into groups of
-    about GROUP_PIECES, and each group is packed online, longest pieces first; a group fits one task at any size of the
-    input, and leaves at most its last few bins unfilled. Groups are dealt by hash; with order, a column of docs with the
-    training order as whole numbers, they are ranges of it and sequence_id rises with it, so that a curriculum survives
-    packing up to the length of a group; the column `place` is kept. Offsets in a sequence have no gaps. Repeated rows
+    about GROUP_PIECES, and each group is packed online: its pieces come one by one, each goes into one of open_bins bins
+    and stays there, and no later piece is known. A group fits one task at any size of the input, and leaves at most
+    open_bins bins unfilled at its end. Groups are dealt by hash, and pieces come in the order of theirs; with order, a
+    column of docs with the training order as whole numbers, groups are ranges of it, pieces come in it and sequence_id
+    rises with it, so that a curriculum survives packing up to the length of a group; the column `place` is kept. Offsets in a sequence have no gaps. Repeated rows
     are packed like others; an empty table gives none.
     """
     found = saved(pieces(docs, tokenizer, end_id, capacity, with_ids, order), "pieces")
@@ -168,7 +169,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     keep = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), *(["place"] if order else [])]
 
     def pack(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["length", "h", "doc_id", "piece", "salt"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
+        df = df.sort_values([*(["place"] if order else ["h"]), "doc_id", "piece", "salt"], kind="stable").reset_index(drop=True)
         to, at = best_fit(df["length"].tolist(), capacity, open_bins)
         out = df[keep].copy()
         out["sequence_id"] = np.array(to, np.int64) + (np.int64(df["bucket"].iloc[0]) << 32) if len(df) else 0
