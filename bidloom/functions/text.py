@@ -135,10 +135,10 @@ def obligation_sentence(text: Column | str, modal: str = r"\b(shall|must)\b") ->
 
 
 def title(text: Column | str) -> Column:
-    """The first sentence without its marker, cut at a word before 120 characters."""
-    t = F.regexp_replace(F.trim(col(text)), r"^(\(?[A-Za-z0-9]{1,4}[).]\s*)+", "")
-    t = F.get(F.split(t, r"(?<!i\.e)(?<=[.;:])\s+"), F.lit(0))
-    return F.when(F.length(t) <= 120, t).otherwise(F.concat(F.regexp_replace(F.left(t, F.lit(121)), r"\s+\S*$", ""), F.lit(" ...")))
+    """The first sentence without its marker "(a)", cut at a word within 120 characters; "i.e." and the like end none."""
+    t = F.regexp_replace(F.trim(F.regexp_replace(col(text), r"\s+", " ")), r"^\([a-z]\) ?", "")
+    t = F.get(F.split(t, r"(?<=[.;:])(?<!\b[a-z]\.[a-z]\.) ", 2), F.lit(0))
+    return F.when(F.length(t) <= 120, t).otherwise(F.concat(F.regexp_replace(F.left(t, F.lit(120)), " [^ ]*$", ""), F.lit(" ...")))
 
 
 def slug(text: Column | str) -> Column:

@@ -250,8 +250,8 @@ def innermost(path: Column) -> list[Column]:
 
 
 def folded_name(name: Column | str) -> Column:
-    """A document's name as a key: lower case, letters and digits only, plurals folded word by word, without a leading
-    "the" or a marker at its end."""
+    """A document's name as a key, without a marker at its end: lower case, letters and digits only, plurals folded word by
+    word, without a leading "the"."""
     x = F.col(name) if isinstance(name, str) else name
     x = F.regexp_replace(F.coalesce(x, F.lit("")), r"\s*\([a-z]{1,4}\)\s*$", "")
     x = F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
