@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .vocab import META_SUFFIXES, MONTHS
 
@@ -193,6 +196,19 @@ def money(amount: Column | str, sign: str = "HK$") -> Column:
     return F.concat(F.lit(sign), F.format_number(col(amount), 2))
 
 
+@F.pandas_udf(T.DoubleType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the characters in matching blocks, the longest first and then those on either side, over all characters; null
+    for a null text. Equal texts, most pairs of two good readings, are told apart beforehand."""
+
+    def ratio(x: str | None, y: str | None) -> float | None:
+        if x is None or y is None:
+            return None
+        return 1.0 if x == y else SequenceMatcher(None, x, y).ratio()
+
+    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def literal_pattern(words: str) -> str:
     """A regular expression for words set apart by anything but letters and digits."""
     return r"(?<![A-Za-z0-9])" + r"[^A-Za-z0-9]+".join(map(re.escape, words.split())) + r"(?![A-Za-z0-9])"
