@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text handled together; one longer text makes a group of its own.
 GROUP_BYTES = 1 << 20
@@ -34,6 +35,18 @@ def _weights(n: int) -> np.ndarray:
     return mix((np.arange(n, dtype=np.uint64) + np.uint64(7)) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
 
+#: Rows whose texts are Python objects at a time.
+SLICE = 512
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of SLICE rows; at the end, memory that is free goes back to the machine and not to the idle worker."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+    pa.default_memory_pool().release_unused()
+
+
 def grouped(texts: list) -> Iterator[list[int]]:
     """Indexes of texts, in runs of about GROUP_BYTES."""
     run, size = [], 0

@@ -28,7 +28,7 @@ MOST_FREQUENT = 1 << 20
 #: A token of so many distinct sets, as far as two or more of them are seen together, is frequent.
 FREQUENT = 64
 #: Tokens that a task counts together.
-COUNTED = 1 << 21
+COUNTED = 1 << 20
 #: Cells of the histogram by hash that a set carries: the sum of the smaller counts bounds an intersection.
 CELLS = 256
 #: Rows of a class of equal sets from which it is looked up by broadcast (if few classes are so large), not shuffled.
@@ -71,7 +71,7 @@ def _describe(k: int):
             many = int(keep.sum())
             return _table([None] * many, n=pa.array(n[keep].astype(np.int64)), fp=pa.nulls(many, pa.binary()), token=pa.array(tokens[keep].view(np.int64)))
 
-        for batch in batches:
+        for batch in kernels.sliced(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             sizes, fps = [], []
             for _, tokens in kernels.shingle_sets(texts, k):
@@ -93,7 +93,7 @@ def _describe(k: int):
 
 def _tokens(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.sliced(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in kernels.grouped(texts):
                 sets = [s for _, s in kernels.shingle_sets([texts[i] for i in part], k)]
@@ -145,7 +145,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
 def _signed(k: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
-        for batch in batches:
+        for batch in kernels.sliced(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in kernels.grouped(texts):
                 own, n, hot, single, pair, cells = [], [], [], [], [], []
