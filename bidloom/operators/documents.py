@@ -27,14 +27,6 @@ def contents_like(docs: DataFrame, headings: int = 8, per_heading: int = 200) ->
     return docs.select("doc_id", n.cast("long").alias("headings"), F.length("text").cast("long").alias("chars")).where((F.col("headings") >= headings) & (F.col("chars") < per_heading * F.col("headings")))
 
 
-def subdocuments(pages: DataFrame) -> DataFrame:
-    """Adds segment: a new one at page 1 or at a change of the footer's name. pages: file, page, name, printed_page."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("file").orderBy("page")
-    known = F.last("name", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return islands(pages, ["file"], "page", (F.col("printed_page") == 1) | (F.col("name").isNotNull() & (F.col("name") != known)))
-
 
 def quotes_on_texts(quotes: DataFrame, texts: DataFrame, head: int = 6) -> DataFrame:
     """(item_id, doc_id) of quotes whose words are a run of a text's. quotes: item_id, quote; texts: doc_id, text.
@@ -123,8 +115,3 @@ def per_group(df: DataFrame, keys: list[str], order: str, column: str, name: str
         return g.assign(**{name: fn(list(g[column]))})
 
     return df.groupBy(*keys).applyInPandas(run, f"{df.schema.toDDL()}, {name} {kind}")
-
-
-def chain_flags(markers: list[str]) -> list[bool]:
-    own = set(longest_chain(markers))
-    return [i in own for i in range(len(markers))]

@@ -5,28 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 
 def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, id, depth, path) below each root, itself included, at any depth; path sorts depth first in table order.
 
-    nodes: id, parent, ord. Each node climbs to its ancestors, whose number doubles with every join, until a round finds
-    none; a cycle raises. The joined rows are nodes times ancestors, as is the result.
+    nodes: id, parent, ord. From the roots down, a level at a time: what no root reaches is never touched, each level is
+    one join of the last with its children, and is written, so that no level is computed again. A cycle below a root raises.
     """
     n = nodes.select("id", "parent", "ord")
-    # up: (id, at, depth, path): at lies depth steps above id; path holds the ords below at, down to id.
-    up = n.where("parent is not null").select("id", F.col("parent").alias("at"), F.lit(1).alias("depth"), F.array("ord").alias("path"))
-    out, step = up, up
-    while not step.isEmpty():
-        if step.where("id = at").limit(1).count():
+    below = n.select(F.col("id").alias("child"), F.col("parent").alias("id"), F.col("ord").alias("o"))
+    level = cut(roots.join(n, "id").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array("ord").alias("path"), F.array("id").alias("line")), "level")
+    out = None
+    while True:
+        out = level if out is None else out.unionByName(level)
+        again = F.array_contains("line", F.col("child"))
+        step = level.join(below, "id").select("root", F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("o")).alias("path"), F.array_append("line", F.col("child")).alias("line"), again.alias("again"))
+        level = cut(step, "level")
+        found = level.agg(F.count("*").alias("n"), F.coalesce(F.bool_or("again"), F.lit(False)).alias("again")).first()
+        if found["again"]:
             raise ValueError("nodes above each other form a cycle")
-        far = step.alias("a").join(out.alias("b"), F.col("a.at") == F.col("b.id"))
-        most = step.agg(F.max("depth")).first()[0]
-        longer = far.select("a.id", "b.at", (F.col("a.depth") + F.col("b.depth")).alias("depth"), F.concat("b.path", "a.path").alias("path"))
-        step = longer.where(F.col("depth") > most).dropDuplicates(["id", "at"])
-        out = out.unionByName(step).dropDuplicates(["id", "at"])
-    top = roots.join(n, "id").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array("ord").alias("path"))
-    below = out.join(roots.join(n.select("id", F.col("ord").alias("o")), "id").select(F.col("id").alias("at"), "o"), "at")
-    return top.unionByName(below.select(F.col("at").alias("root"), "id", "depth", F.concat(F.array("o"), "path").alias("path")))
+        if not found["n"]:
+            return out.select("root", "id", "depth", "path")
+        level = level.drop("again")
 
 
 def ancestor_table(nodes: DataFrame, separator: str = ":") -> DataFrame:

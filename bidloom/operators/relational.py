@@ -21,12 +21,6 @@ def as_of(points: DataFrame, marks: DataFrame, key: str, at: str, value: str) ->
     return both.withColumn(value, last).where("_point").drop("_mark", "_point")
 
 
-def with_fallback(items: DataFrame, own: DataFrame, library: DataFrame, keys: list[str], by: str, value: str) -> DataFrame:
-    """value from the item's own copy, else from the library."""
-    o = own.select(*keys, by, F.col(value).alias("_own"))
-    lib = library.select(by, F.col(value).alias("_lib"))
-    return items.join(o, [*keys, by], "left").join(lib, by, "left").withColumn(value, F.coalesce("_own", "_lib")).drop("_own", "_lib")
-
 
 def full_diff(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """keys and change (added, removed, changed); equal rows are left out."""
@@ -77,12 +71,6 @@ def next_or_end(df: DataFrame, keys: list[str], at: str, end: str) -> DataFrame:
     return df.withColumn("until", F.coalesce(F.lead(at).over(Window.partitionBy(*keys).orderBy(at)), F.col(end)))
 
 
-def far_from_others(df: DataFrame, keys: list[str], at: str, within: int = 300) -> DataFrame:
-    """Marks without another one within so many characters."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    near = F.least(F.coalesce(F.col(at) - F.lag(at).over(w), F.lit(1 << 30)), F.coalesce(F.lead(at).over(w) - F.col(at), F.lit(1 << 30)))
-    return df.withColumn("_near", near).where(F.col("_near") > within).drop("_near")
-
 
 def overlap(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> Column:
     """Area that two boxes (x0, y0, x1, y1) share."""

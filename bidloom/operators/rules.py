@@ -78,12 +78,6 @@ def outcome_key(outcomes: Column, state: Column, bucket: Column | None = None, e
     )
 
 
-def with_injected(outcomes: Column, result: Column) -> Column:
-    """A comparison's result overrides or extends the declared outcomes; it never disqualifies."""
-    status = F.element_at(F.create_map(*[F.lit(x) for kv in INJECTED.items() for x in kv]), result)
-    entry = F.map_from_arrays(F.array(result), F.array(F.struct(status.alias("status"), F.lit(None).cast("string").alias("note"))))
-    return F.when(result.isNull(), outcomes).otherwise(F.map_concat(F.map_filter(outcomes, lambda k, _: k != result), entry))
-
 
 def rendered(param: Column, slots: Column) -> Column:
     """A parameter that is exactly {slot} becomes the slot's value, null if it is missing."""

@@ -185,20 +185,26 @@ def node_table(marks: DataFrame) -> DataFrame:
     """id, parent, kind, number, title, doc, offset: every mark as a node below what is open where it stands.
 
     A part or annex opens a scope and closes all below it, a clause closes sub-clauses, a sub-clause sub-items. Open levels
-    are running values of windows by document, so no text is read again. Ids are paths; repeated ones get #2, #3.
+    are running values of windows by document, so no text is read again. Ids are paths, minted from the top: a mark that
+    comes again below the same node gets #2, #3, and so do all paths through it, so that children of repeats are apart.
     """
     w = Window.partitionBy("doc").orderBy("offset")
     scope, clause, sub = F.col("kind").isin("part", "annex"), F.col("kind") == "clause", F.col("kind") == "subclause"
     df = marks.withColumn("_s", F.sum(scope.cast("int")).over(w))
     df = df.withColumn("_c", F.sum(clause.cast("int")).over(Window.partitionBy("doc", "_s").orderBy("offset")))
     df = df.withColumn("_b", F.sum(sub.cast("int")).over(Window.partitionBy("doc", "_s", "_c").orderBy("offset")))
-    name = F.concat(F.when(F.col("kind").isin("part", "annex"), F.concat("kind", F.lit(" "))).otherwise(""), "number")
-    opened = lambda keys, is_: F.max(F.when(is_, name)).over(Window.partitionBy("doc", *keys))
+    name = F.concat(F.when(scope, F.concat("kind", F.lit(" "))).otherwise(""), "number")
+    # What a mark is repeated below: the document, its scope, its clause or its sub-clause.
+    below = F.when(scope, F.array("doc")).when(clause, F.array("doc", "_s")).when(sub, F.array("doc", "_s", "_c")).otherwise(F.array("doc", "_s", "_c", "_b"))
+    nth = F.row_number().over(Window.partitionBy("_below", "_level", "_name").orderBy("offset"))
+    level = F.when(scope, 0).when(clause, 1).when(sub, 2).otherwise(3)
+    df = df.withColumns({"_name": name, "_level": level, "_below": F.transform(below, lambda x: x.cast("string"))}).withColumn("_n", nth)
+    df = df.withColumn("_name", F.concat("_name", F.when(F.col("_n") > 1, F.concat(F.lit("#"), F.col("_n").cast("string"))).otherwise("")))
+    opened = lambda keys, is_: F.max(F.when(is_, F.col("_name"))).over(Window.partitionBy("doc", *keys))
     df = df.withColumns({"_scope": opened(["_s"], scope), "_clause": opened(["_s", "_c"], clause), "_sub": opened(["_s", "_c", "_b"], sub)})
     up = F.when(scope, F.array("doc")).when(clause, F.array("doc", "_scope")).when(sub, F.array("doc", "_scope", "_clause")).otherwise(F.array("doc", "_scope", "_clause", "_sub"))
-    df = df.withColumn("_path", F.array_join(F.filter(up, lambda x: x.isNotNull()), ":")).withColumn("_id", F.concat("_path", F.lit(":"), name))
-    n = F.row_number().over(Window.partitionBy("doc", "_id").orderBy("offset"))
-    return df.select(F.concat("_id", F.when(n > 1, F.concat(F.lit("#"), n.cast("string"))).otherwise("")).alias("id"), F.col("_path").alias("parent"), "kind", "number", "title", "doc", "offset")
+    df = df.withColumn("_path", F.array_join(F.filter(up, lambda x: x.isNotNull()), ":"))
+    return df.select(F.concat("_path", F.lit(":"), F.col("_name")).alias("id"), F.col("_path").alias("parent"), "kind", "number", "title", "doc", "offset")
 
 
 _ROMAN_BEFORE = {"v": "iv", "x": "ix"}

@@ -68,11 +68,11 @@ def page_segments(t: Tables) -> DataFrame:
 TEXT = (
     "Annex A to the Terms", "Annex B to the Terms", "Annex C to the Terms", "PART 1 — TERMS OF TENDER", "PART 2 - CONDITIONS", "1. Definitions of {k}", "1.1 The words mean this.", "(a) first", " (b) second", "93.70 Index of prices",
     "0.3 Ratio", "2.", "Offers", "2.1", "\"Offers\" are sealed. ", "19.5 of the conditions", "PART THE", "LAST", "x" * 320, "Annex D", "Form of offer", "Annex E to the Terms of {k}", "", "Undertaking", "1. Signature", "(a) of the tenderer", "(iii) third", "(abc) no mark",
-    "1. Signature", "PART IV", "MEMORANDUM", "Annex F to the Terms", "Page 1 of 2",
+    "1. Signature", "(a) again", "(a) once more", "PART IV", "MEMORANDUM", "Annex F to the Terms", "Page 1 of 2",
 )
 FOUND = (
     ("d", "part 2", "part", "CONDITIONS"), ("part 2", "1", "clause", "Definitions of {k}"), ("part 2:1", "1.1", "subclause", None), ("part 2:1:1.1", "a", "subitem", None), ("part 2:1:1.1", "b", "subitem", None), ("part 2", "2", "clause", "Offers"),
-    ("part 2:2", "2.1", "subclause", None), ("d", "annex E", "annex", "Undertaking"), ("annex E", "1", "clause", "Signature"), ("annex E:1", "a", "subitem", None), ("annex E:1", "iii", "subitem", None), ("annex E", "1#2", "clause", "Signature"), ("d", "part IV", "part", "MEMORANDUM"),
+    ("part 2:2", "2.1", "subclause", None), ("d", "annex E", "annex", "Undertaking"), ("annex E", "1", "clause", "Signature"), ("annex E:1", "a", "subitem", None), ("annex E:1", "iii", "subitem", None), ("annex E", "1#2", "clause", "Signature"), ("annex E:1#2", "a", "subitem", None), ("annex E:1#2", "a#2", "subitem", None), ("d", "part IV", "part", "MEMORANDUM"),
 )
 
 

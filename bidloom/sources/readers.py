@@ -79,9 +79,3 @@ def read_with(rows: DataFrame, reader: Reader, schema: str) -> DataFrame:
 def answered(asked: DataFrame, answers: DataFrame, key: str) -> DataFrame:
     """A reader made of a table: every asked row once, with its answer or null."""
     return asked.join(answers, key, "left")
-
-
-def labelled_pages(pages: DataFrame, labels: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Every page gets exactly one label of the vocabulary; other where it has none or an unknown one."""
-    known = labels.join(vocabulary.select("label"), "label", "left_semi").groupBy("seq").agg(F.min("label").alias("label"))
-    return pages.join(known, "seq", "left").withColumn("label", F.coalesce("label", F.lit("other")))

@@ -82,3 +82,15 @@ def test_line_marks():
     }
     for args, want in cases.items():
         assert line_mark(*args) == want, args
+
+
+def test_subtree(spark):
+    import pytest
+
+    rows = [("a", None, 1), ("b", "a", 2), ("c", "b", 3), ("d", "a", 4), ("e", None, 5), ("f", "e", 6), ("x", "y", 7), ("y", "x", 8)]
+    nodes = spark.createDataFrame(rows, "id string, parent string, ord int")
+    roots = spark.createDataFrame([("a",), ("b",), ("gone",)], "id string")
+    got = sorted((r["root"], r["path"], r["id"], r["depth"]) for r in graph.subtree(nodes, roots).collect())
+    assert got == [("a", [1], "a", 0), ("a", [1, 2], "b", 1), ("a", [1, 2, 3], "c", 2), ("a", [1, 4], "d", 1), ("b", [2], "b", 0), ("b", [2, 3], "c", 1)]
+    with pytest.raises(ValueError, match="cycle"):
+        graph.subtree(nodes, spark.createDataFrame([("x",)], "id string"))
