@@ -575,25 +575,34 @@ def test_licences(spark):
     assert license_scan.scanned(df.limit(0)).count() == 0
 
 
-def cosines(text: str, least: float) -> dict[str, float]:
-    """The best cosine of each licence over the stretches at all anchors, counted plainly."""
+def announced(text: str, least: float, margin: float) -> tuple[bool, dict[str, float]]:
+    """Whether any place announces a licence, and the best cosine of the licences at clear places, counted plainly."""
     terms = lambda t: [x for x in re.split(r"[\W_]+", t.lower()) if x]
-    all_ = [(k, terms(t)) for k, t in license_scan.TEMPLATES]
-    idf = {x: math.log(1 + len(all_) / sum(x in t for _, t in all_)) for _, t in all_ for x in t}
+    all_ = [(k, terms(t), set(terms(needs)), set(terms(bars))) for k, t, needs, bars in license_scan.TEMPLATES]
+    idf = {x: math.log(1 + len(all_) / sum(x in t for _, t, _, _ in all_)) for _, t, _, _ in all_ for x in t}
     vector = lambda t: {x: n * idf.get(x, math.log(1 + len(all_))) for x, n in Counter(t).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    anchors = {(t[i], i, len(t)) for _, t in all_ for i in [next(j for j, x in enumerate(t) if re.search(license_scan.HINT, x))]}
-    out, words = {}, terms(text)
+    anchors = {(t[i], i, len(t)) for _, t, _, _ in all_ for i in [next(j for j, x in enumerate(t) if re.search(license_scan.HINT, x))]}
+    out, words, said = {}, terms(text), False
     for i, x in enumerate(words):
+        here: dict[str, float] = {}
         for word, place, n in anchors:
-            if x == word:
-                v = vector(words[max(0, i - place) : i - place + n])
-                for k, t in all_:
+            start, end = max(0, i - place), min(len(words), i - place + n)
+            if x != word or set(words[max(0, start - 3) : start]) & set(license_scan.DENIALS):
+                continue
+            v, own, near = vector(words[start:end]), set(words[start:end]), set(words[start : end + license_scan.LOOK])
+            for k, t, needs, bars in all_:
+                if needs <= own and not bars & near:
                     u = vector(t)
-                    c = sum(v[y] * u[y] for y in v.keys() & u.keys()) / norm(u) / norm(v)
-                    if c >= least - 1e-9:
-                        out[k] = max(out.get(k, 0), c)
-    return out
+                    c = round(sum(v[y] * u[y] for y in v.keys() & u.keys()) / norm(u) / norm(v), 9)
+                    if c >= least:
+                        here[k] = max(here.get(k, 0), c)
+        best = sorted(here.values(), reverse=True)
+        said |= bool(best)
+        if best and (len(best) == 1 or best[0] - best[1] >= margin):
+            k = max(here, key=here.get)
+            out[k] = max(out.get(k, 0), here[k])
+    return said, out
 
 
 def test_licences_of_documents(spark):
@@ -603,9 +612,29 @@ def test_licences_of_documents(spark):
     for d, t in documents():
         want = {k for k, v in names.items() if v in t}
         assert (got[d]["own"] in want) if want else got[d]["own"] is None
-        near = cosines(t, license_scan.LEAST_COSINE)
+        said, near = announced(t, license_scan.LEAST_COSINE, license_scan.MARGIN)
         if not got[d]["path"].endswith("LICENSE"):
             assert (got[d]["cosine"] is None) == (not near) and (not near or abs(got[d]["cosine"] - max(near.values())) < 1e-8)
+            assert (got[d]["how"] == "unknown") == (said and not near)
+
+
+def test_licence_versions_relatives_and_denials(spark):
+    """Headers of other versions and relatives give their own licence or none; what two share, and what is denied, give none."""
+    clause = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    probes = [
+        (license_scan._GNU.format("General Public License", "2"), "GPL-2.0", "own"), (license_scan._GNU.format("General Public License", "3"), "GPL-3.0", "own"), (license_scan._GNU.format("Lesser General Public License", "2.1"), "LGPL-2.1", "own"), (license_scan._GNU.format("Affero General Public License", "3"), "AGPL-3.0", "own"),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0", "own"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0", "own"), ("Licensed under CC BY-NC-SA 4.0.", None, "none"), ("Licensed under CC BY 3.0.", None, "none"), ("This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0", "own"),
+        ("Licensed under the Apache Software License, Version 1.1.", "Apache-1.1", "own"), ("Licensed under the Apache License, Version 1.0", None, "none"), ("SPDX-License-Identifier: MPL-2.0", "MPL-2.0", "own"), ("SPDX-License-Identifier: EPL-2.0", None, "none"), ("SPDX-License-Identifier: CC-BY-NC-4.0", "CC-BY-NC-4.0", "own"),
+        (license_scan._BSD + license_scan._BSD3, "BSD-3-Clause", "own"), (license_scan._BSD + " This software is provided as is, without any warranty of any kind at all from anyone.", "BSD-2-Clause", "own"), ("This file is not released under the MIT License.", None, "none"), ("This isn't licensed under CC BY 4.0.", None, "none"),
+        ("This is not a toy. Released under the MIT License.", "MIT", "own"), (license_scan._ISC, "ISC", "own"), (license_scan._MIT, "MIT", "own"), ("This work is licensed under the GNU General Public License.", None, "none"),
+    ]
+    df = spark.createDataFrame([(i, f"x/{i}.c", t) for i, (t, _, _) in enumerate(probes)], "id int, path string, text string")
+    got = {r["row"]["id"]: (r["licence"], r["how"]) for r in license_scan.scanned(df).collect()}
+    for i, (t, licence, how) in enumerate(probes):
+        assert got[i] == (licence, how), t
+    shared = spark.createDataFrame([("d/LICENSE", "Released under the MIT License."), ("d/e.c", clause)], "path string, text string")
+    row = next(r for r in license_scan.scanned(shared).collect() if r["path"] == "d/e.c")
+    assert row["own"] is None and row["how"] in ("unknown", "inherited")
 
 
 def plain_kneser_ney(texts: list[str], order: int):
