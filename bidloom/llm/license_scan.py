@@ -36,11 +36,11 @@ TEMPLATES = (
     *((n, _GNU.format(name, v), f"{own} {v.replace('.', ' ')}", bars) for n, name, v, own, bars in _GNU_NAMES),
     *((n, f"Licensed under CC {short} 4.0", f"cc {own} 4", bars) for n, short, _, own, _, bars in _CC_NAMES),
     *((n, f"This work is licensed under the Creative Commons {name} 4.0 International License", f"commons {own} 4", bars) for n, _, name, _, own, bars in _CC_NAMES),
-    ("BSD-2-Clause", _BSD, "redistribution permitted provided", "neither endorse"), ("BSD-3-Clause", _BSD + _BSD3, "redistribution permitted provided", ""),
+    ("BSD-2-Clause", _BSD, "redistribution permitted reproduce", "neither endorse"), ("BSD-3-Clause", _BSD + _BSD3, "redistribution permitted reproduce neither", ""),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "waived rights", ""),
     *((x, f"SPDX-License-Identifier: {x}", f"spdx {x.lower().replace('-', ' ').replace('.', ' ')}", _OTHER_CC if x == "CC-BY-4.0" else "") for x in SPDX),
 )
-#: Terms of which one within three before a stretch denies it, and terms behind a stretch in which relatives show.
+#: Terms of which one before a stretch's anchor denies it, from two before the stretch on, and terms behind a stretch in which relatives show.
 DENIALS, LOOK = ("not", "never", "cannot", "isn", "aren", "wasn", "nor"), 40
 #: A licence must be ahead of the next by so much where both are announced at one place.
 MARGIN = 0.03
@@ -96,7 +96,7 @@ def scanned(files: DataFrame, templates: DataFrame | None = None, least: float =
     template's anchor stands in the whole text, the stretch that the template would fill there is a vector, across line
     ends and comment marks, and so is a licence file as a whole. A template counts where the stretch has all terms that
     it needs and, with LOOK terms behind it, none that it bars: so another version or a relative is no match, however
-    like. A stretch behind a denial counts nowhere. Where another licence comes within `margin` at one place, that place
+    like. A stretch with a denial before its anchor, or up to two terms before itself, counts nowhere. Where another licence comes within `margin` at one place, that place
     tells nothing. A file's own licence is that of the best cosine from `least` on, ties by name; one whose places all
     tell nothing is unknown (how), and inherits none. A file without any takes that of the licence file in the nearest
     directory at or above its own (how: inherited); else none. A file without a path is in no directory; null texts are empty. Rows stay one row each, and a row's licence
@@ -122,8 +122,8 @@ def scanned(files: DataFrame, templates: DataFrame | None = None, least: float =
     whole = F.expr(f"if(path rlike '{LICENCE_FILE.replace(chr(92), chr(92) * 2)}' and size(t) > 0, array(struct(-1 as spot, 0 as place, 0 as n, 0 as start, size(t) - 1 as last)), array())")
     units = units.withColumn("at", at).withColumn("u", F.explode(F.concat(spans, whole)))
     start, last = F.col("u.start"), F.col("u.last")
-    denied = F.arrays_overlap(F.slice("t", F.greatest(start - 2, F.lit(1)), F.least(start, F.lit(3))), F.array(*map(F.lit, DENIALS)))
-    units = units.withColumn("denied", (start > 0) & denied)
+    before = F.slice("t", F.greatest(start - 1, F.lit(1)), F.greatest(F.col("u.spot") - F.greatest(start - 2, F.lit(0)), F.lit(0)))
+    units = units.withColumn("denied", F.arrays_overlap(before, F.array(*map(F.lit, DENIALS))))
     inside, near = F.slice("t", start + 1, last - start + 1), F.slice("t", start + 1, last - start + 1 + LOOK)
     fits = F.filter(_marks(templates), lambda m: (F.size(F.array_except(m["needs"], inside)) == 0) & ~F.arrays_overlap(m["bars"], near))
     units = saved(units.where("not denied").select("key", "path", "t", "u", F.transform(fits, lambda m: m["template"]).alias("fits")), "units")

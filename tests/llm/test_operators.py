@@ -588,7 +588,7 @@ def announced(text: str, least: float, margin: float) -> tuple[bool, dict[str, f
         here: dict[str, float] = {}
         for word, place, n in anchors:
             start, end = max(0, i - place), min(len(words), i - place + n)
-            if x != word or set(words[max(0, start - 3) : start]) & set(license_scan.DENIALS):
+            if x != word or set(words[max(0, start - 2) : i]) & set(license_scan.DENIALS):
                 continue
             v, own, near = vector(words[start:end]), set(words[start:end]), set(words[start : end + license_scan.LOOK])
             for k, t, needs, bars in all_:
