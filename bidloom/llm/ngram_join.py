@@ -28,7 +28,7 @@ MOST_FREQUENT = 1 << 20
 #: A token of so many distinct sets, as far as two or more of them are seen together, is frequent.
 FREQUENT = 64
 #: Tokens that a task counts together.
-COUNTED = 1 << 20
+COUNTED = 1 << 21
 #: Cells of the histogram by hash that a set carries: the sum of the smaller counts bounds an intersection.
 CELLS = 256
 #: Rows of a class of equal sets from which it is looked up by broadcast (if few classes are so large), not shuffled.

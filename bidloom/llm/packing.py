@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
+from .kernels import sliced
 
 CAPACITY = 1024
 #: Fixed: how byte-level BPE splits a text into words.
@@ -73,6 +74,14 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, min(head, n)), *[(s, capacity) for s in range(head, n, capacity)]] if n else []
 
 
+@lru_cache(maxsize=4)
+def _whole(path: str):
+    """The file as the `tokenizers` library reads it: only where a text needs it, since it takes memory in every worker."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str):
     """Texts to lists of ids, as the `tokenizers` library gives them without added special tokens.
@@ -80,12 +89,9 @@ def encoder(path: str):
     A byte-level BPE file whose ids follow its merges is run by tiktoken's engine, which yields the same ids from
     the same vocabulary several times faster; any other file is run by `tokenizers` itself.
     """
-    from tokenizers import Tokenizer
-
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    tok = Tokenizer.from_file(path)
-    plain = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    plain = lambda texts: [e.ids for e in _whole(path).encode_batch_fast(texts, add_special_tokens=False)]
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
     same = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex") and not spec.get("normalizer") and model.get("type") == "BPE"
@@ -122,7 +128,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(found_file(tokenizer))
         salt = 0
-        for batch in batches:
+        for batch in sliced(batches):
             doc_ids, texts, places = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             run_, size = [], 0
             for i in range(len(texts)):
