@@ -59,5 +59,20 @@ def test_stages_on_awkward_rows(spark):
             assert table.columns == columns
             if name == "near_duplicates":
                 assert table.count() == left
-        pieces = pipeline.packing(spark, table.drop("place"), FOLDER)
+        # The column place of the documents clashes with that of the training order, which wins.
+        pieces = pipeline.packing(spark, table, FOLDER)
         assert pieces.where("piece = 0").count() == table.count()
+        assert dict(pieces.dtypes)["place"] == "bigint"
+
+
+def test_run_on_awkward_rows(spark, tmp_path):
+    """run() over a folder: nulls, copies, a shared id and a clashing column, from the files to sequences."""
+    text = lambda i, n: " ".join(f"t{i}w{j}" for j in range(n))
+    rows = [(1, text(1, 40), "en", "s"), (1, text(1, 40), "en", "s"), (1, text(2, 30), None, None), (None, text(3, 30), "en", "t"), (2, None, "en", "s"), (4, text(5, 3000), "de", "t")]
+    spark.createDataFrame([(*r, len(r[1] or ""), "k") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, place string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{FOLDER}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    out = pipeline.run(spark, str(tmp_path)).toPandas()
+    assert set(out.doc_id.dropna()) <= {1, 4} and (out.groupby("sequence_id").length.sum() <= 1024).all()
+    starts = out.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    assert all((g.offset.to_numpy() == g.length.cumsum().shift(fill_value=0).to_numpy()).all() for _, g in starts)
+    assert not out.duplicated(["place", "piece"]).any()
