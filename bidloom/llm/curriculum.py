@@ -18,13 +18,13 @@ BLOCK_ROWS = 4096
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size: the words of the whole text; null texts have none. A column row_key is kept."""
+    """doc_id, source and size: the words of the whole text; null texts have none. Columns row_key and mix_key are kept."""
     n = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
     return docs.select("doc_id", "source", n.alias("size"), *_key(docs))
 
 
 def _key(df: DataFrame) -> list[str]:
-    return ["row_key"] if "row_key" in df.columns else []
+    return [c for c in ("row_key", "mix_key") if c in df.columns]
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -78,8 +78,8 @@ def starts(sized: DataFrame) -> DataFrame:
     return df.join(s, F.col("source").eqNullSafe(F.col("its")) & (F.col("block") == F.col("bl"))).withColumn("start", F.col("before") + F.col("within")).select("doc_id", "source", "size", "hash", "start", *_key(sized))
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, tilt: float = TILT) -> DataFrame:
-    """doc_id, source, size, source_size, target, takes, taken, hash: one row per row of docs.
+def allotted(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, tilt: float = TILT) -> DataFrame:
+    """doc_id, source, size, source_size, target, takes, hash: one row per row of docs, in no order.
 
     The words of a source, in hash order and again for each repeat, are one stream, and the mix takes its first
     floor(target) words; a document at the end of the stream is taken in part. takes: for each repeat with words
@@ -88,7 +88,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     and inverting it at the words of the stream before a document gives the document's position.
 
     Null texts count as empty and take nothing; repeated rows are rows of their own; a null source is a source.
-    A column row_key of docs is kept.
+    Columns row_key and mix_key of docs are kept.
     """
     sized = saved(sizes(docs), "sizes")
     t = targets(sized, weights, share, repeats).withColumnRenamed("source", "its")
@@ -104,14 +104,30 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
         return F.struct(j.cast("int").alias("repeat"), words.alias("words"), position.alias("position"))
 
     takes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), take), lambda c: c["words"] > 0)
-    df = df.withColumn("takes", takes)
-    taken = F.aggregate("takes", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    return df.select("doc_id", "source", "size", "source_size", "target", "takes", taken.alias("taken"), "hash", *_key(df))
+    return df.select("doc_id", "source", "size", "source_size", "target", takes.alias("takes"), "hash", *_key(df))
 
 
 def scheduled(mix: DataFrame) -> DataFrame:
     """One row per document and repeat, range-sorted by position: the order of training."""
-    return mix.select("*", F.explode("takes").alias("take")).select("doc_id", "source", "size", "hash", "take.*", *_key(mix)).orderBy("position", "hash", "repeat")
+    return mix.select("*", F.explode("takes").alias("take")).select("doc_id", "source", "size", "hash", "take.*", *_key(mix)).orderBy("position", "hash", "repeat", *_key(mix))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, tilt: float = TILT) -> DataFrame:
+    """doc_id, source, size, source_size, target, takes, taken, hash: one row per row of docs, in the order of training.
+
+    The takes that `allotted` finds are range-sorted by position and written: that is the mix. Each has its place in the
+    sorted files, so takes of all sources and repeats are in one order; a document's takes are read from there, first repeat
+    first. Rows come by the place of their first take, those that the mix leaves out behind all others.
+    A column row_key of docs is kept.
+    """
+    plan = saved(allotted(docs.withColumn("mix_key", F.monotonically_increasing_id()), weights, share, repeats, tilt), "allotted")
+    mix = with_place(saved(scheduled(plan), "mix"))
+    take = F.struct("repeat", "words", "position", "place")
+    of = mix.groupBy(F.col("mix_key").alias("its")).agg(F.sort_array(F.collect_list(take)).alias("takes"), F.sum("words").alias("taken"))
+    df = plan.drop("takes").join(of, F.col("mix_key") == F.col("its"), "left")
+    df = df.withColumns({"takes": F.coalesce("takes", F.array().cast(of.schema["takes"].dataType)), "taken": F.coalesce("taken", F.lit(0).cast("long"))})
+    df = df.orderBy(F.get("takes.place", F.lit(0)).asc_nulls_last(), "hash", "mix_key")
+    return df.select("doc_id", "source", "size", "source_size", "target", "takes", "taken", "hash", *_key(docs.drop("mix_key")))
 
 
 def remixed(docs: DataFrame) -> DataFrame:
@@ -124,8 +140,8 @@ def remixed(docs: DataFrame) -> DataFrame:
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = saved(docs.select(row, F.monotonically_increasing_id().alias("row_key")), "keyed")
-    mix = mixed(keyed.select("row.doc_id", "row.source", "row.text", "row_key"))
-    takes = mix.select("row_key", "size", F.inline("takes"))
+    takes = allotted(keyed.select("row.doc_id", "row.source", "row.text", "row_key"))
+    takes = takes.select("row_key", "size", F.inline("takes"))
     takes = saved(takes.select(F.col("row_key").alias("its"), "repeat", F.when(F.col("words") < F.col("size"), F.col("words")).alias("words"), "position"), "takes")
     df = keyed.join(hinted(takes), F.col("row_key") == F.col("its"))
     words = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))

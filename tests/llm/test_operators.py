@@ -379,6 +379,34 @@ def test_mixing(spark, awkward):
     assert curriculum.mixed(awkward.limit(0)).count() == 0
 
 
+def test_mix_is_sorted_by_position(spark, awkward):
+    """Takes have places in the sorted mix that rise with their positions over all sources and repeats; rows come in that order."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    got = curriculum.mixed(docs).collect()
+    takes = [(t["place"], t["position"], r["source"], t["repeat"], t["words"]) for r in got for t in r["takes"]]
+    takes.sort()
+    assert len({t[0] for t in takes}) == len(takes) and [t[1] for t in takes] == sorted(t[1] for t in takes) and {t[3] for t in takes} == {0, 1}
+    assert all([t["repeat"] for t in r["takes"]] == list(range(len(r["takes"]))) and sum(t["words"] for t in r["takes"]) == r["taken"] for r in got)
+    # Along the mix, a source's words follow its schedule: up to t, (1 - s) t + s t^2 of its target, to a document.
+    ranks = {s: i for i, s in enumerate(sorted({r["source"] for r in got}))}
+    target = {r["source"]: r["target"] for r in got}
+    longest = max(r["size"] for r in got)
+    before = Counter()
+    for _, t, source, _, words in takes:
+        s = 0.5 if ranks[source] % 2 == 0 else -0.5
+        assert abs(before[source] - target[source] * ((1 - s) * t + s * t * t)) < 1e-6 * longest
+        before[source] += words
+    order = [r["position"] for r in queries.op6_mixing_curriculum(spark, FOLDER).collect()]
+    placed = [x for x in order if x is not None]
+    assert placed == sorted(placed) and order == placed + [None] * (len(order) - len(placed)) and len(order) == docs.count()
+    # Repeated rows, null ids and a clashing column stay rows of their own.
+    clash = awkward.withColumn("mix_key", F.lit(1)).withColumn("row_key", F.lit(7))
+    rows = curriculum.mixed(clash).collect()
+    places = [t["place"] for r in rows for t in r["takes"]]
+    assert len(rows) == clash.count() and len(set(places)) == len(places) > 0 and all(r["row_key"] == 7 for r in rows) and "mix_key" not in rows[0]
+    assert Counter((r["doc_id"], r["size"]) for r in rows) == Counter((r["doc_id"], len(WORD.findall(r["text"] or ""))) for r in awkward.collect())
+
+
 def test_stages_on_null_and_shared_ids(spark):
     """Rows without an id or with another's meet their own takes, and only copies are dropped."""
     text = lambda i, n: " ".join(f"r{i}w{j}" for j in range(n))
