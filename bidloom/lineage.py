@@ -24,3 +24,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/bidloom/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """df as a side of joins by shuffle only: the planner takes exploded rows and packed files for smaller than they are, and would
+    build them into one table in the driver's memory."""
+    return df.hint("merge")

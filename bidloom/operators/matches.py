@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import apart, cut
 
 #: Characters of a key's first words, blanks aside, that a node's text must hold, after so many others at most.
 PREFIX, SLACK = 24, 12
@@ -60,10 +60,10 @@ def key_matches(keys: DataFrame, nodes: DataFrame) -> DataFrame:
     n = n.withColumn("n", F.explode(at)).where("n <= size(segments)")
     n = n.withColumn("tail", F.slice("segments", F.size("segments") - F.col("n") + 1, F.col("n"))).withColumn("end", F.array_join(F.transform("tail", _plain), ":"))
     k = keys.where("path is not null").select("project", "key_id", "file", "page", "first_words", "path", F.size("path").alias("n"), F.array_join(F.transform("path", lambda f: _plain(f[0])), ":").alias("end"))
-    hit = k.join(n.select("project", "file", "page", "n", "end", "tail", "node_id", "text", "ord"), ["project", "file", "page", "n", "end"])
+    hit = k.join(apart(n.select("project", "file", "page", "n", "end", "tail", "node_id", "text", "ord")), ["project", "file", "page", "n", "end"])
     hit = hit.where(F.forall(F.zip_with("tail", "path", lambda s, f: F.array_contains(f, s)), lambda x: x))
     best = hit.groupBy("project", "key_id").agg(F.min_by("node_id", F.struct(~opens_with(F.col("text"), F.col("first_words")), F.col("ord"))).alias("node_id"))
-    marked = cut(k.select("project", "key_id").join(best, ["project", "key_id"], "left"), "marked")
+    marked = cut(k.select("project", "key_id").join(apart(best), ["project", "key_id"], "left"), "marked")
 
     # Up from each key node without a path to the nearest with one, a level a round.
     up = keys.select("project", F.col("key_id").alias("above"), F.col("parent_id").alias("next"), F.col("path").isNotNull().alias("there"))
@@ -71,19 +71,19 @@ def key_matches(keys: DataFrame, nodes: DataFrame) -> DataFrame:
     done = open_.where("above is null")
     open_ = open_.where("above is not null")
     while not open_.isEmpty():
-        step = cut(open_.join(up, ["project", "above"], "left"), "climb")
+        step = cut(open_.join(apart(up), ["project", "above"], "left"), "climb")
         found = step.where("there or there is null").withColumn("above", F.when(F.col("there"), F.col("above")))
         more = step.where("not there").withColumn("above", F.col("next"))
         done = done.unionByName(found.select(done.columns)).unionByName(more.where("above is null").select(done.columns))
         open_ = more.where("above is not null").select(done.columns)
-    own = done.join(marked.select("project", F.col("key_id").alias("above"), F.col("node_id").alias("anchor")), ["project", "above"], "left")
+    own = done.join(apart(marked.select("project", F.col("key_id").alias("above"), F.col("node_id").alias("anchor"))), ["project", "above"], "left")
     p = F.split("node_id", ":")
     line = F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, 1, i), ":"))
     inside = nodes.select("project", "file", "page", "node_id", "text", "ord", F.explode(F.array_append(line, F.lit(""))).alias("anchor"))
     free = own.where(F.col("above").isNull() | F.col("anchor").isNotNull()).withColumn("anchor", F.coalesce("anchor", F.lit("")))
-    hit = free.join(inside, ["project", "file", "page", "anchor"]).where(opens_with(F.col("text"), F.col("first_words")))
+    hit = free.join(apart(inside), ["project", "file", "page", "anchor"]).where(opens_with(F.col("text"), F.col("first_words")))
     best = hit.groupBy("project", "key_id").agg(F.min_by("node_id", "ord").alias("node_id"))
     lost = F.when(F.col("node_id").isNotNull(), "").when(F.col("above").isNull(), "first words not on this page").when(F.col("anchor").isNull(), "marked ancestor not found").otherwise("first words not inside the ancestor on this page")
-    rest = own.join(best, ["project", "key_id"], "left").select("project", "key_id", F.lit(False).alias("marked"), "node_id", lost.alias("why"))
+    rest = own.join(apart(best), ["project", "key_id"], "left").select("project", "key_id", F.lit(False).alias("marked"), "node_id", lost.alias("why"))
     why = F.when(F.col("node_id").isNull(), "no node with this path on this page").otherwise("")
     return marked.select("project", "key_id", F.lit(True).alias("marked"), "node_id", why.alias("why")).unionByName(rest)

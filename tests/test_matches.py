@@ -49,3 +49,17 @@ def test_titles(spark):
     want = {"(a) Proof, i.e. a letter. More": "Proof, i.e. a letter.", "(b)\n x; y": "x;", "3. z": "3.", long: ("word " * 24).strip() + " ...", "(ab) q": "(ab) q"}
     df = spark.createDataFrame(list(want), "string").select("value", text.title("value").alias("t"))
     assert {r["value"]: r["t"] for r in df.collect()} == want
+
+
+def test_keys_met_by_shuffles(spark):
+    """However small the planner takes exploded nodes and packed keys for, no side of a join goes through the driver."""
+    from bidloom.plans import registry
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        df = registry.QUERIES["key_matches"](spark, "/root/testdata/sf0.001")
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == 10 * spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
