@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import apart, cut
 from ..operators import citations as cite
-from .base import Tables, registrar
+from .base import Tables, registrar, spread
 
 QUERIES, ORACLE_SQL, query = registrar()
 
@@ -26,7 +26,7 @@ def word(key: F.Column) -> F.Column:
 
 
 def nodes(t: Tables) -> DataFrame:
-    s = t.supplier.select(F.col("s_nationkey").alias("project"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("root"), word(F.col("s_suppkey")).alias("w"), (F.col("s_suppkey") % 10).alias("digit"))
+    s = spread(t.supplier, "s_suppkey").select(F.col("s_nationkey").alias("project"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("root"), word(F.col("s_suppkey")).alias("w"), (F.col("s_suppkey") % 10).alias("digit"))
     none = lambda *c: [F.lit(None).cast("string").alias(x) for x in c]
     no = F.lit(None).cast("array<string>").alias("aliases")
     file = F.concat(F.lit("in/0"), F.col("digit").cast("string"), F.lit(" "), "w", F.lit(" Contact Details (G.F.999).pdf"))
@@ -101,7 +101,7 @@ def citations_resolved(t: Tables) -> DataFrame:
     cites = cite.citations(cite.chains(docs)).join(docs.select("doc_id", "project"), "doc_id").withColumn("said", path)
     cites = cut(cites.withColumn("cite", F.concat_ws("/", "doc_id", "chain", "ord")), "cited")
     found = cite.resolved(cites, made, cite.names(made))
-    return found.join(cites.select("project", "cite", "doc_id", "name", F.col("said").alias("path")), ["project", "cite"]).select("doc_id", "name", "path", "node_id", "outcome")
+    return found.join(apart(cites.select("project", "cite", "doc_id", "name", F.col("said").alias("path"))), ["project", "cite"]).select("doc_id", "name", "path", "node_id", "outcome")
 
 
 @query(f"{LED} SELECT node_id, count(*) AS times FROM u WHERE outcome = 'unique' GROUP BY node_id")

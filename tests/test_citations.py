@@ -135,3 +135,21 @@ def test_mentions_against_plain_search(spark):
                         want.append((d, run, i, said[words[i].start() : words[i + n - 1].end()], key))
     assert got == sorted(want) and len(want) > 50
     assert cite.mentions(spark.createDataFrame(texts, "doc_id long, project int, flat string"), reg.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["citations_resolved"])
+def test_nodes_met_by_shuffles(spark, monkeypatch, name):
+    """However small the planner takes what is made of nodes for, no side of a join on it goes through the driver."""
+    from bidloom.operators import citations
+    from bidloom.plans import registry
+
+    plans, plain = [], citations.cut
+    monkeypatch.setattr(citations, "cut", lambda df, step: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, step))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) > 5 and not any("Broadcast" in x for x in plans)
