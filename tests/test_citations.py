@@ -137,7 +137,7 @@ def test_mentions_against_plain_search(spark):
     assert cite.mentions(spark.createDataFrame(texts, "doc_id long, project int, flat string"), reg.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["citations_resolved"])
+@pytest.mark.parametrize("name", ["citations_resolved", "cited_places"])
 def test_nodes_met_by_shuffles(spark, monkeypatch, name):
     """However small the planner takes what is made of nodes for, no side of a join on it goes through the driver."""
     from bidloom.operators import citations
