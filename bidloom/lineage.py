@@ -30,3 +30,8 @@ def apart(df: DataFrame) -> DataFrame:
     """df as a side of joins by shuffle only: the planner takes exploded rows and packed files for smaller than they are, and would
     build them into one table in the driver's memory."""
     return df.hint("merge")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt over as many tasks as a shuffle has: few bytes come as one task, however many rows are made of them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import apart, spread
+
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Length that two intervals share."""
@@ -29,14 +31,17 @@ def placed_in_grid(items: DataFrame, rows: DataFrame, cells: DataFrame) -> DataF
 def beside(marks: DataFrame, blocks: DataFrame, left: bool = True) -> DataFrame:
     """(page, mark, block): the block left (or right) of a mark that shares most of its height, the nearest on ties.
 
-    marks: page, mark and a box; blocks: page, block and a box. A mark without such a neighbour has none.
+    marks: page, mark and a box; blocks: page, block and a box. A mark without such a neighbour has none. Marks with equal
+    edges have the same neighbour, and of blocks with equal edges only the first can be one: each set of edges is compared once.
     """
-    b = blocks.select(F.col("page").alias("_p"), "block", *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
-    side = F.col("bx1") <= F.col("x0") if left else F.col("bx0") >= F.col("x1")
-    gap = F.col("x0") - F.col("bx1") if left else F.col("bx0") - F.col("x1")
-    j = marks.join(b, (F.col("page") == F.col("_p")) & side).withColumn("h", overlap(F.col("y0"), F.col("y1"), F.col("by0"), F.col("by1"))).where("h > 0")
-    best = j.groupBy("page", "mark").agg(F.max_by("block", F.struct("h", -gap, -F.col("block"))).alias("block"))
-    return marks.select("page", "mark").join(best, ["page", "mark"], "left")
+    edge, own = ("x0", "x1") if left else ("x1", "x0")
+    b = blocks.groupBy(F.col("page").alias("_p"), F.col(own).alias("_x"), F.col("y0").alias("by0"), F.col("y1").alias("by1")).agg(F.min("block").alias("block"))
+    m = marks.select("page", F.col(edge).alias("_m"), "y0", "y1").distinct()
+    side = F.col("_x") <= F.col("_m") if left else F.col("_x") >= F.col("_m")
+    gap = F.col("_m") - F.col("_x") if left else F.col("_x") - F.col("_m")
+    j = spread(m, "page").join(apart(spread(b, "_p")), (F.col("page") == F.col("_p")) & side).withColumn("h", overlap(F.col("y0"), F.col("y1"), F.col("by0"), F.col("by1"))).where("h > 0")
+    best = j.groupBy("page", "_m", "y0", "y1").agg(F.max_by("block", F.struct("h", -gap, -F.col("block"))).alias("block"))
+    return marks.select("page", "mark", F.col(edge).alias("_m"), "y0", "y1").join(apart(best), ["page", "_m", "y0", "y1"], "left").select("page", "mark", "block")
 
 
 def united(boxes: DataFrame, keys: list[str], width: float, height: float) -> DataFrame:

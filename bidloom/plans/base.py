@@ -37,8 +37,3 @@ class Tables:
 def micros(c: str) -> F.Column:
     """Microseconds since 1970 of a timestamp without zone, taken as UTC."""
     return F.unix_micros(F.col(c).cast("timestamp"))
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """df dealt over as many tasks as a shuffle has: a table of few bytes comes as one, however many rows are made of it."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import apart, cut
+from ..lineage import apart, cut, spread
 from ..operators import citations as cite
-from .base import Tables, registrar, spread
+from .base import Tables, registrar
 
 QUERIES, ORACLE_SQL, query = registrar()
 
