@@ -32,6 +32,6 @@ def apart(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt over as many tasks as a shuffle has: few bytes come as one task, however many rows are made of them."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

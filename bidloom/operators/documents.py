@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise, padded
+from ..lineage import spread
 from .relational import islands
 
+#: Quotes, and bytes of them, that may go to every text.
+FEW_QUOTES, FEW_BYTES = 1000, 1 << 20
 MARKER = r"^\(?[a-z0-9]{1,4}[).]"
 
 
@@ -31,11 +34,16 @@ def contents_like(docs: DataFrame, headings: int = 8, per_heading: int = 200) ->
 def quotes_on_texts(quotes: DataFrame, texts: DataFrame, head: int = 6) -> DataFrame:
     """(item_id, doc_id) of quotes whose words are a run of a text's. quotes: item_id, quote; texts: doc_id, text.
 
-    Hashes of a quote's first words, as many as it has up to `head`, meet the hashes of equally long runs of each text;
-    rows of the exchange hold two numbers. Only the candidates' texts are fetched, and the whole quote is looked for.
-    Quotes without words are on no text.
+    Few quotes (FEW_QUOTES, counted) go to the texts, which are neither moved nor taken apart. Of more, hashes of a quote's first
+    words, as many as it has up to `head`, meet the hashes of equally long runs of each text; rows of the exchange hold
+    two numbers. Only the candidates' texts are fetched, and the whole quote is looked for. Quotes without words are on no text.
     """
-    q = quotes.select("item_id", normalise("quote").alias("q")).where("q <> ''").withColumn("w", F.split("q", " "))
+    q = quotes.select("item_id", normalise("quote").alias("q")).where("q <> ''")
+    many, size = q.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("q")), F.lit(0))).first()
+    if many <= FEW_QUOTES and size <= FEW_BYTES:
+        on = texts.select("doc_id", padded("text").alias("p")).join(F.broadcast(q), F.contains("p", F.concat(F.lit(" "), "q", F.lit(" "))))
+        return on.where("doc_id is not null").select("item_id", "doc_id").distinct()
+    q = q.withColumn("w", F.split("q", " "))
     q = q.withColumn("n", F.least(F.size("w"), F.lit(head)))
     key = lambda at: F.expr(f"case n {' '.join(f'when {k} then xxhash64({k}, ' + ', '.join(f'get(w, {at} + {j})' for j in range(k)) + ')' for k in range(1, head + 1))} end")
     q = q.select("item_id", "q", "n", key("0").alias("h"))
@@ -108,10 +116,14 @@ def reading_lines(items: list[tuple[float, float]]) -> list[int]:
 
 
 def per_group(df: DataFrame, keys: list[str], order: str, column: str, name: str, kind: str, fn) -> DataFrame:
-    """Adds name: fn over a group's ordered values, a number each. Groups are single clauses or blocks."""
+    """Adds name: fn over a group's ordered values, a number each. Groups are single clauses or blocks, an array each; thousands
+    of them go through Python together."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
-        return g.assign(**{name: fn(list(g[column]))})
+    @F.pandas_udf(f"array<{kind}>")
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([fn(list(x)) for x in values])
 
-    return df.groupBy(*keys).applyInPandas(run, f"{df.schema.toDDL()}, {name} {kind}")
+    rows = F.array_sort(F.collect_list(F.struct(order, *[c for c in df.columns if c not in (*keys, order)])))
+    by = spread(df, *keys).groupBy(*keys).agg(rows.alias("_rows")).withColumn("_out", run(F.col(f"_rows.{column}")))
+    one = by.select(*keys, F.explode(F.arrays_zip("_rows", "_out")).alias("_x")).select(*keys, "_x._rows.*", F.col("_x._out").alias(name))
+    return one.select(*df.columns, name)

@@ -94,3 +94,14 @@ def test_subtree(spark):
     assert got == [("a", [1], "a", 0), ("a", [1, 2], "b", 1), ("a", [1, 2, 3], "c", 2), ("a", [1, 4], "d", 1), ("b", [2], "b", 0), ("b", [2, 3], "c", 1)]
     with pytest.raises(ValueError, match="cycle"):
         graph.subtree(nodes, spark.createDataFrame([("x",)], "id string"))
+
+
+def test_many_groups(spark):
+    """Groups go through Python by thousands, an array each."""
+    import time
+
+    k = spark.range(60_000).selectExpr("id AS g", "explode(array(2, 1, 3)) AS o").selectExpr("g", "o", "element_at(array('a', 'b', 'i'), o) AS m", "named_struct('x', g) AS more")
+    begin = time.time()
+    got = d.per_group(k, ["g"], "o", "m", "level", "int", d.levels)
+    assert got.where("level = IF(o = 3, 1, 0) AND more.x = g").count() == 180_000
+    assert time.time() - begin < 30
