@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import col, once
 from .vocab import DATE_FORMATS
 
 
 def parse_date(text: Column | str) -> Column:
     """The printed date forms in order, ordinal endings dropped; null for anything else."""
     t = F.regexp_replace(F.trim(col(text).cast("string")), r"(\d)(st|nd|rd|th)\b", "$1")
-    return F.coalesce(*[F.try_to_date(t, f) for f in DATE_FORMATS])
+    # A form is tried where the text has its marks: each trial that fails costs an exception.
+    marks = lambda x, f: reduce(and_, [F.contains(x, F.lit(m)) for m in sorted({c for c in f if not c.isalpha()})])
+    return once(t, lambda x: F.coalesce(*[F.when(marks(x, f), F.try_to_date(x, f)) for f in DATE_FORMATS]))
 
 
 def add_working_days(day: Column | str, n: int) -> Column:

@@ -30,6 +30,10 @@ class Item:
     def param(self, *names: str) -> Column:
         return F.coalesce(*[F.try_element_at("params", F.lit(n)) for n in names])
 
+    def limit(self, *names: str) -> Column:
+        """A param's number, read once per rule."""
+        return F.coalesce(*[F.try_element_at("_numbers", F.lit(n)) for n in names])
+
     def input(self, i: int) -> Column:
         return self.at(F.coalesce(F.get(F.split(self.param("inputs"), r"\|"), F.lit(i)), F.lit("")))
 
@@ -40,7 +44,7 @@ def _said(bucket: Column | None = None, value: Column | None = None) -> Column:
 
 
 def _passed(ok: Column) -> Column:
-    return F.when(ok, "positive").when(~ok, "negative")
+    return text.once(ok, lambda x: F.when(x, "positive").when(~x, "negative"))
 
 
 _num = text.number
@@ -48,27 +52,27 @@ _num = text.number
 
 def _product(x: Item) -> Column:
     expected = F.round(_num(x.input(0)) * _num(x.input(1)), 2)
-    return _said(_passed(F.abs(_num(x.own) - expected) <= F.coalesce(_num(x.param("tolerance")), F.lit(0.01))), expected)
+    return text.once(expected, lambda e: _said(_passed(F.abs(_num(x.own) - e) <= F.coalesce(x.limit("tolerance"), F.lit(0.01))), e))
 
 
 def _deadline(step: Callable[[Column, Column], Column]) -> Callable[[Item], Column]:
     def build(x: Item) -> Column:
-        due = step(dates.parse_date(x.of_rule("base_date")), _num(x.param("offset")).cast("int"))
-        return _said(_passed(dates.parse_date(x.of_rule("actual_date")) <= due), F.date_format(due, "yyyy-MM-dd"))
+        said = lambda due: _said(_passed(dates.parse_date(x.of_rule("actual_date")) <= due), F.date_format(due, "yyyy-MM-dd"))
+        return text.once(step(dates.parse_date(x.of_rule("base_date")), x.limit("offset").cast("int")), said)
 
     return build
 
 
 def _range(x: Item) -> Column:
-    return _said(numbers.in_range(_num(x.own), _num(x.param("min", "min_kg")), _num(x.param("max", "max_kg"))), x.own)
+    return _said(text.once(_num(x.own), lambda v: numbers.in_range(v, x.limit("min", "min_kg"), x.limit("max", "max_kg"))), x.own)
 
 
 def _thresholds(x: Item) -> Column:
     """values "3|40" against checks "min:2|max:50", of which there must be as many."""
-    values, checks = F.split(x.of_rule("values"), r"\|"), F.split(x.param("checks"), r"\|")
+    both = F.struct(F.split(x.of_rule("values"), r"\|").alias("v"), F.split(x.param("checks"), r"\|").alias("c"))
     limit = lambda c: _num(F.substring_index(c, ":", -1))
-    fails = F.exists(F.zip_with(values, checks, lambda v, c: F.when(c.startswith("max:"), _num(v) > limit(c)).otherwise(_num(v) < limit(c))), lambda b: F.coalesce(b, F.lit(False)))
-    return _said(F.when(F.size(values) == F.size(checks), _passed(~fails)))
+    fails = lambda n: F.exists(F.zip_with(n["v"], n["c"], lambda v, c: F.when(c.startswith("max:"), _num(v) > limit(c)).otherwise(_num(v) < limit(c))), lambda b: F.coalesce(b, F.lit(False)))
+    return _said(text.once(both, lambda n: F.when(F.size(n["v"]) == F.size(n["c"]), _passed(~fails(n)))))
 
 
 def _same_text(x: Item) -> Column:
@@ -77,17 +81,17 @@ def _same_text(x: Item) -> Column:
 
 
 OPERATIONS: dict[str, Callable[[Item], Column]] = {
-    "round_significant_figures": lambda x: _said(None, numbers.significant_any(_num(x.own), _num(x.param("max_sig_figs")).cast("int"))),
+    "round_significant_figures": lambda x: _said(None, numbers.significant_any(_num(x.own), x.limit("max_sig_figs").cast("int"))),
     "resolve_range_to_lower_bound": lambda x: _said(None, F.least(_num(x.own), F.coalesce(_num(x.beside("_max")), _num(x.own)))),
     "arithmetic_product": _product,
     "add_working_days": _deadline(dates.add_working_days_by),
     "add_calendar_days": _deadline(F.date_add),
-    "date_not_earlier_than": lambda x: _said(_passed(dates.parse_date(x.input(0)) >= F.add_months(dates.parse_date(x.at("tender_closing_date")), -_num(x.param("max_age_value")).cast("int")))),
+    "date_not_earlier_than": lambda x: _said(_passed(dates.parse_date(x.input(0)) >= F.add_months(dates.parse_date(x.at("tender_closing_date")), -x.limit("max_age_value").cast("int")))),
     "date_within_range": lambda x: _said(_passed(dates.parse_date(F.coalesce(x.at("original_tender_closing_date"), x.at("tender_closing_date"))).between(dates.parse_date(x.beside("_issue_date")), dates.parse_date(x.beside("_expiry_date"))))),
-    "min_value_check": lambda x: _said(_passed(_num(x.own) >= _num(x.param("min_kg", "min"))), x.own),
+    "min_value_check": lambda x: _said(_passed(_num(x.own) >= x.limit("min_kg", "min")), x.own),
     "value_in_range": _range,
     "range_check": _range,
-    "percentage_threshold": lambda x: _said(F.when(F.abs(_num(x.of_rule("deviation_pct"))) <= _num(x.param("max_deviation_pct")), "neutral"), x.of_rule("deviation_pct")),
+    "percentage_threshold": lambda x: _said(F.when(F.abs(_num(x.of_rule("deviation_pct"))) <= x.limit("max_deviation_pct"), "neutral"), x.of_rule("deviation_pct")),
     "threshold_checks": _thresholds,
     "text_match": _same_text,
 }
@@ -103,6 +107,8 @@ def operated(items: DataFrame, rules: DataFrame) -> DataFrame:
     asked = sorted(r["operation"] for r in rules.select("operation").distinct().collect())
     if unknown := [x for x in asked if x not in OPERATIONS]:
         raise KeyError(f"no such operation: {', '.join(map(str, unknown))}")
-    df = items.crossJoin(few(rules))
-    said = F.coalesce(*[F.when(F.col("operation") == name, OPERATIONS[name](Item())) for name in asked], _said())
-    return df.withColumn("_said", said).select(*[c for c in df.columns if c not in ("params", "f", "operation")], "_said.bucket", "_said.value")
+    df = items.crossJoin(few(rules.withColumn("_numbers", F.transform_values("params", lambda _, x: _num(x)))))
+    one = F.coalesce(*[F.when(F.col("operation") == name, OPERATIONS[name](Item())) for name in asked], _said())
+    # One generated method with all operations is too long to be compiled; in a lambda, one row's operation is evaluated, and by a generator once.
+    said = F.transform(F.array(F.lit(True)), lambda _: one)
+    return df.select(*[c for c in df.columns if c not in ("params", "f", "operation", "_numbers")], F.inline(said))
