@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..lineage import shared_folder
+from ..lineage import cut, shared_folder
 from ..operators import matches
-from ..sources import readers
-from ..sources.page_source import PageSource
+from ..sources import page_source, readers
 from .base import Tables, registrar
 from .citations import nodes as files
 
@@ -57,11 +56,9 @@ def page_files(t: Tables) -> DataFrame:
 
     folder = f"{shared_folder(t.spark)}/bidloom/{uuid.uuid4().hex}/pages"
     said = F.replace(F.coalesce("text", F.lit("")), F.lit("\f"), F.lit(" "))
-    # Pages come in order of ids; a file is one task's, as files in a folder are.
-    rows = t.documents.select((F.col("doc_id") % 7).cast("string").alias("f"), "doc_id", said.alias("value")).repartition(7, "f").sortWithinPartitions("f", "doc_id")
+    # Pages come in order of ids: a file is a folder of parts, ranges of ids that many tasks write, named in their order.
+    rows = t.documents.select((F.col("doc_id") % 7).cast("string").alias("f"), "doc_id", said.alias("value")).repartitionByRange("f", "doc_id").sortWithinPartitions("f", "doc_id")
     rows.select("f", "value").write.partitionBy("f").option("lineSep", "\f").text(folder)
-    t.spark.dataSource.register(PageSource)
-    pages = t.spark.read.format("page_texts").option("bytes", 200_000).load(folder)
-    pages = pages.select(F.lit("all").alias("offer"), F.regexp_extract("file", "f=([0-9]+)", 1).alias("doc"), "page", "text")
-    out = readers.page_sequence(pages)
-    return out.select(F.col("doc").alias("file"), "page", F.col("seq").cast("long").alias("seq"), "has_text", F.md5(F.col("text").cast("binary")).alias("digest"))
+    pages = page_source.pages(t.spark, folder, 4 << 20, "f=([0-9]+)").select(F.lit("all").alias("offer"), F.col("file").alias("doc"), "page", (F.length("text") >= readers.HAS_TEXT).alias("has_text"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    out = readers.gapless_sequence(cut(pages, "digests"))
+    return out.select(F.col("doc").alias("file"), "page", F.col("seq").cast("long").alias("seq"), "has_text", "digest")

@@ -25,6 +25,15 @@ def page_sequence(pages: DataFrame) -> DataFrame:
     return pages.withColumn("seq", seq).withColumn("has_text", F.length("text") >= HAS_TEXT)
 
 
+def gapless_sequence(pages: DataFrame) -> DataFrame:
+    """Adds seq as page_sequence does, for documents whose pages are numbered from 1 without gaps: pages of the documents before are added, so no
+    page moves. One row for each document is sorted."""
+    n = pages.groupBy("offer", "doc").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("offer").orderBy("doc")) - F.col("_n")
+    found = pages.join(n.select("offer", "doc", before.alias("_before")), ["offer", "doc"])
+    return found.withColumn("seq", F.col("_before") + F.col("page")).drop("_before")
+
+
 def text_source(pages: DataFrame, most: int = OCR_PAGES) -> DataFrame:
     """Adds source: text, ocr for the first scanned pages of a document, skipped beyond."""
     scanned = F.length(F.trim(F.coalesce("text", F.lit("")))) < HAS_TEXT

@@ -28,6 +28,23 @@ def test_pages_in_ranges(spark, tmp_path):
     assert df.where("has_text").count() == 1
 
 
+def test_ranges_are_read_once_for_texts(spark, tmp_path):
+    """Pages of all sizes of ranges, with parts as one file, and no range that reads what stands before it."""
+    from bidloom.sources import page_source
+
+    rng = random.Random(4)
+    files = {f"f={f}/part-{p}.txt": ["q" * rng.randrange(0, 7) for _ in range(rng.randrange(1, 6))] for f in (1, 2) for p in range(3)}
+    for name, pages in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes("".join(p + "\f" for p in pages).encode())
+    want = sorted((f, i + 1, p) for f in "12" for i, p in enumerate(x for n in sorted(files) if n.startswith(f"f={f}") for x in files[n]))
+    for size in (1, 5, 1 << 20):
+        got = page_source.pages(spark, str(tmp_path), size, "f=([0-9]+)")
+        assert sorted((r["file"], r["page"], r["text"]) for r in got.collect()) == want
+    one = page_source.pages(spark, str(tmp_path), 7)
+    assert sorted((r["file"], r["page"], r["text"]) for r in one.collect()) == sorted((n, i + 1, p) for n, ps in files.items() for i, p in enumerate(ps))
+
+
 def test_similarity(spark):
     rng = random.Random(3)
     pairs = [("".join(rng.choices("abc d", k=rng.randrange(0, 300))), "".join(rng.choices("abc d", k=rng.randrange(0, 300)))) for _ in range(100)] + [("", ""), ("a", ""), (None, "a")]
