@@ -153,3 +153,23 @@ def test_nodes_met_by_shuffles(spark, monkeypatch, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(plans) > 5 and not any("Broadcast" in x for x in plans)
+
+
+def test_reading_begins_at_openings():
+    """Chains of a text are those of the text without prose that opens none, and such prose is hardly read."""
+    said = "Paragraphs 1.1(a) to (b) and 1.2 of Parts A and C of the Blue Terms of Tender please note. The Blue Terms of Tender - (Part A - Fees and Part B) end; Annex A to the Blue Terms of Tender - Part IA - Refunds"
+    prose = "Some Words of the Long Name and others, a part of it in parts; the Table is - items. "
+    alone = [x[2:] for x in cite._Reader(said).chains()]
+    reader, begun = cite._Reader(prose * 500 + said + ". " + prose * 500), []
+    name = reader._name
+    reader._name = lambda i: begun.append(i) or name(i)
+    assert len(alone) == 4 and [x[2:] for x in reader.chains()] == alone
+    assert len(begun) < 100
+
+
+def test_mentions_with_odd_letters(spark):
+    """A Kelvin sign is a k in lower case: a window with one folds as a whole."""
+    reg = spark.createDataFrame([(1, "blue kook", "n", True), (1, "blue rule book", "m", True)], "project int, key string, node_id string, document boolean")
+    texts = spark.createDataFrame([(1, 1, "See Blue Rules Book and Blue \u212aook now"), (2, 1, "Blue Rule Books; blue rule book")], "doc_id long, project int, flat string")
+    got = sorted((r["doc_id"], r["name"], r["key"]) for r in cite.mentions(texts, reg).collect())
+    assert (1, "Blue Rules Book", "blue rule book") in got and (2, "Blue Rule Books", "blue rule book") in got
